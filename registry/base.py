@@ -45,13 +45,13 @@ def settled(c: Column | str) -> Column:
     """Round a double far below its size, so the order of summation does not show."""
     c = F.col(c) if isinstance(c, str) else c
     # Adding zero turns a negative zero into a plain one.
-    return F.when(F.abs(c) >= 1e6, F.round(c, 0)).when(F.abs(c) >= 1e3, F.round(c, 2)).otherwise(F.round(c, 6)) + 0.0
+    return F.when(F.abs(c) >= 1e6, F.round(c, -1)).when(F.abs(c) >= 1e3, F.round(c, 4)).otherwise(F.round(c, 6)) + 0.0
 
 
 def settled_sql(expr: str) -> str:
     return (
-        f"CASE WHEN abs({expr}) >= 1e6 THEN round({expr}, 0) "
-        f"WHEN abs({expr}) >= 1e3 THEN round({expr}, 2) ELSE round({expr}, 6) END + 0.0"
+        f"CASE WHEN abs({expr}) >= 1e6 THEN round({expr}, -1) "
+        f"WHEN abs({expr}) >= 1e3 THEN round({expr}, 4) ELSE round({expr}, 6) END + 0.0"
     )
 
 

@@ -84,9 +84,9 @@ def catalog_by_status(spark, sf):
     return C.items_by_status(items(spark, sf), C.PENDING)
 
 
-@query("catalog_by_id", f"SELECT id, file_type, dataset_preprocessed FROM ({ITEMS_SQL}) WHERE id = 42")
+@query("catalog_by_id", f"SELECT id, file_type, dataset_preprocessed FROM ({ITEMS_SQL}) WHERE id = 25")
 def catalog_by_id(spark, sf):
-    return C.item_by_id(items(spark, sf), 42)
+    return C.item_by_id(items(spark, sf), 25)
 
 
 @query("catalog_status", f"SELECT dataset_preprocessed FROM ({ITEMS_SQL}) WHERE id = 77")

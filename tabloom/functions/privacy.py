@@ -26,6 +26,15 @@ ENTITY_PATTERNS = {
     "PHONE_NUMBER": "(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{2,4}\\)|\\b[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}\\b",
 }
 
+# What a text must contain for a pattern to match at all: a far cheaper test.
+ENTITY_HINTS = {
+    "EMAIL": "@",
+    "IP_ADDRESS": "[0-9]\\.",
+    "CREDIT_CARD": "[0-9]{4}",
+    "SSN": "[0-9]{3}-",
+    "PHONE_NUMBER": "[0-9]{3}",
+}
+
 # Share of entities per sampled row, and rows sampled per column.
 PII_THRESHOLD = 0.15
 PII_SAMPLE_ROWS = 10
@@ -47,23 +56,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def pattern_entity_counts(text: Column | str) -> dict[str, Column]:
-    """One count per pattern label; text already matched does not count again."""
-    rest = F.coalesce(_col(text).cast("string"), F.lit(""))
-    counts = {}
-    for label, pattern in ENTITY_PATTERNS.items():
-        counts[label] = F.regexp_count(rest, F.lit(pattern))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return counts
-
-
-def pattern_entity_total(text: Column | str) -> Column:
-    total = F.lit(0)
-    for count in pattern_entity_counts(text).values():
-        total = total + count
-    return total
-
-
 def file_category(file_type: Column | str) -> Column:
     low = F.lower(_col(file_type))
     return F.when(low.isin(*IMAGE_TYPES), "image").when(low.isin(*DATA_TYPES), "data").otherwise("unknown")

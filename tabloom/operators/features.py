@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import names, text
 from ..functions.stopwords import stop_words
+from ..session import written
 from ..sources.tables import STAMP_COLUMN
 
 READY_STATUS = "SUCCESS"
@@ -133,7 +134,7 @@ def lemmatize_with_table(df: DataFrame, key: str, tokens: str, lexicon: DataFram
     if len(head) <= INLINE_LEXICON:
         return df.withColumn(output, text.lemmatize(F.col(tokens), {r.form: r.lemma for r in head}))
     low = df.withColumn(output, F.transform(tokens, F.lower))
-    pairs = low.select(key, F.explode(F.array_distinct(output)).alias("form"))
+    pairs = written(low.select(key, F.explode(F.array_distinct(output)).alias("form")), "forms")
     found = spread_join(pairs, lexicon.select("form", "lemma").dropDuplicates(["form"]), "form")
     maps = found.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas")
@@ -147,7 +148,8 @@ def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """Inner join on a key that may be very frequent in ``many`` and is unique in ``one``.
 
     The most frequent keys, at most ``HOT_TERMS`` rows, meet their matches by broadcast;
-    all others are shuffled, where no single key can be large any more.
+    all others are shuffled, where no single key can be large any more. ``many`` is read
+    three times and should be a table rather than a costly plan.
     """
     frequency = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot_keys = frequency.orderBy(F.desc("_n"), key).limit(HOT_TERMS).select(key)
@@ -167,9 +169,10 @@ def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, term, tf, df, tfidf)`` with ``tf * ln((N + 1) / (df + 1))``; N counts all rows.
 
     A term found in most rows is one of the hot terms, whose document counts are
-    broadcast as at most ``HOT_TERMS`` rows; the rest join by shuffle.
+    broadcast as at most ``HOT_TERMS`` rows; the rest join by shuffle. The term counts are
+    written once, since both the document counts and the weights are made from them.
     """
-    counts = term_counts(df, key, column)
+    counts = written(term_counts(df, key, column), "terms")
     docs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hot = docs.orderBy(F.desc("df"), "term").limit(HOT_TERMS)
     by_broadcast = counts.join(F.broadcast(hot), "term")

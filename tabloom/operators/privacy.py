@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.names import WHITESPACE_RUN
+from ..functions.names import WHITESPACE_CLASS
 from .profile.columns import sql_text
 from ..functions.privacy import (
+    ENTITY_HINTS,
+    ENTITY_PATTERNS,
     PII_SAMPLE_ROWS,
     PII_THRESHOLD,
     landmark_box,
-    pattern_entity_counts,
-    pattern_entity_total,
 )
 
+# From the first to the last letter or digit of a run without white space.
+BARE_WORD = f"[\\p{{L}}\\p{{N}}](?:[^{WHITESPACE_CLASS}]*[\\p{{L}}\\p{{N}}])?"
+
 # Landmark numbers of the two eyes.
 FIRST_EYE_POINT, LAST_EYE_POINT = 36, 47
 
@@ -42,11 +47,29 @@ def sample_cells(df: DataFrame, key: list[str], columns: list[str] | None = None
     return present.join(F.broadcast(winners), ["column_name", *key]).select("column_name", *key, "rank", "value")
 
 
+def count_patterns(df: DataFrame, text: str) -> DataFrame:
+    """The given columns and one count per pattern label, named ``n_<label>``.
+
+    Matches of a label are taken out before the next label is counted. Each label is a
+    projection of its own, so the shortened text is computed once, and only where it is
+    needed.
+    """
+    kept = df.columns
+    out = df.withColumn("_rest", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    counts = []
+    for label, pattern in ENTITY_PATTERNS.items():
+        hint = F.col("_rest").rlike(ENTITY_HINTS[label])
+        found = F.when(hint, F.regexp_count("_rest", F.lit(pattern))).otherwise(0)
+        out = out.select(*kept, *counts, "_rest", found.cast("bigint").alias(f"n_{label}"))
+        counts.append(f"n_{label}")
+        rest = F.when(F.col(f"n_{label}") > 0, F.regexp_replace("_rest", pattern, " ")).otherwise(F.col("_rest"))
+        out = out.select(*kept, *counts, rest.alias("_rest"))
+    return out.drop("_rest")
+
+
 def bare_words(text: Column | str) -> Column:
     """Lower-cased words without the marks around them."""
-    marks = "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$"
-    words = F.transform(F.split(F.lower(text), WHITESPACE_RUN), lambda w: F.regexp_replace(w, marks, ""))
-    return F.filter(words, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(BARE_WORD), F.lit(0))
 
 
 def _word_runs(words: str, longest: int) -> Column:
@@ -56,7 +79,7 @@ def _word_runs(words: str, longest: int) -> Column:
         following = F.slice(words, k, F.size(words))
         # Runs cut off by the end of the text have no following word and are null.
         runs.append(F.array_compact(F.zip_with(runs[-1], following, lambda run, w: F.concat(run, F.lit(" "), w))))
-    return F.concat(*runs) if longest > 1 else runs[0]
+    return F.concat(*runs)
 
 
 def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 1) -> DataFrame:
@@ -65,25 +88,30 @@ def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataF
     Names are lower-case runs of up to ``longest`` words. Equal words of one key are
     counted before they meet the table.
     """
-    words = df.select(*keys, bare_words(text).alias("_words"))
-    found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
+    if longest == 1:
+        found = df.select(*keys, F.explode(bare_words(text)).alias("name"))
+    else:
+        words = df.select(*keys, bare_words(text).alias("_words"))
+        found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
     counts = found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(gazetteer.select("name", "label"), "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
 def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int = 1) -> DataFrame:
     """``(key, label, n)`` for the labels found in every document; n is above 0."""
-    patterns = pattern_entity_counts(F.col(text))
-    pairs = F.array(*[F.struct(F.lit(label).alias("label"), n.cast("bigint").alias("n")) for label, n in patterns.items()])
-    counts = df.select(key, F.inline(pairs)).where("n > 0")
+    pairs = ", ".join(f"'{label}', n_{label}" for label in ENTITY_PATTERNS)
+    counted = count_patterns(df.select(key, text), text)
+    counts = counted.select(key, F.expr(f"stack({len(ENTITY_PATTERNS)}, {pairs}) as (label, n)")).where("n > 0")
     if gazetteer is None:
         return counts
     return counts.unionByName(gazetteer_counts(df, [key], text, gazetteer, longest))
 
 
 def _column_totals(sample: DataFrame, gazetteer: DataFrame | None, longest: int) -> DataFrame:
-    totals = sample.groupBy("column_name").agg(
-        F.sum(pattern_entity_total("value")).alias("n_entities"), F.count(F.lit(1)).alias("n_sampled")
+    counted = count_patterns(sample.select("column_name", "value"), "value")
+    per_cell = reduce(lambda a, b: a + b, [F.col(f"n_{label}") for label in ENTITY_PATTERNS])
+    totals = counted.groupBy("column_name").agg(
+        F.sum(per_cell).alias("n_entities"), F.count(F.lit(1)).alias("n_sampled")
     )
     if gazetteer is None:
         return totals

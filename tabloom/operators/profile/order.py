@@ -6,62 +6,90 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from .columns import present
 
 _EDGES = ("first_lo", "first_hi", "last_lo", "last_hi")
 _FLAGS = ("up", "down", "up_strict", "down_strict")
 
 
-def _summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for a sorted partition: its end values and whether each direction holds within.
+def _check(batch: pd.DataFrame, last: pd.DataFrame | None, flags: dict[str, bool]) -> None:
+    """Compare each row with the one before it, the last of the batch before included."""
+    rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
+    lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
+    single = bool((batch["n"] == 1).all())
+    flags["up"] &= bool((hi[:-1] <= lo[1:]).all())
+    flags["down"] &= bool((lo[:-1] >= hi[1:]).all())
+    flags["up_strict"] &= single and bool((hi[:-1] < lo[1:]).all())
+    flags["down_strict"] &= single and bool((lo[:-1] > hi[1:]).all())
+
+
+def _summarizer(columns: list[str]):
+    """One row per column for a sorted partition: its ends, and the directions that hold within.
 
     Batches pass by one at a time; only the last row of a batch is carried to the next.
     """
-    start = last = None
-    flags = dict.fromkeys(_FLAGS, True)
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
-        start = batch.iloc[0] if start is None else start
-        lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
-        single = bool((batch["n"] == 1).all())
-        flags["up"] &= bool((hi[:-1] <= lo[1:]).all())
-        flags["down"] &= bool((lo[:-1] >= hi[1:]).all())
-        flags["up_strict"] &= single and bool((hi[:-1] < lo[1:]).all())
-        flags["down_strict"] &= single and bool((lo[:-1] > hi[1:]).all())
-        last = batch.iloc[[-1]]
-    if start is not None:
-        ends = (start["lo"], start["hi"], last["lo"].iloc[0], last["hi"].iloc[0])
-        yield pd.DataFrame([{"at": start["k"], **dict(zip(_EDGES, ends)), **flags}])
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: dict[int, pd.Series] = {}
+        last: dict[int, pd.DataFrame] = {}
+        flags = [dict.fromkeys(_FLAGS, True) for _ in columns]
+        for batch in batches:
+            for i in range(len(columns)):
+                part = batch[["k", f"lo{i}", f"hi{i}", f"n{i}"]].set_axis(["k", "lo", "hi", "n"], axis=1)
+                part = part[part["n"] > 0]
+                if part.empty:
+                    continue
+                _check(part, last.get(i), flags[i])
+                first.setdefault(i, part.iloc[0])
+                last[i] = part.iloc[[-1]]
+        rows = []
+        for i in first:
+            ends = (first[i]["lo"], first[i]["hi"], last[i]["lo"].iloc[0], last[i]["hi"].iloc[0])
+            rows.append({"variable": columns[i], "at": first[i]["k"], **dict(zip(_EDGES, ends)), **flags[i]})
+        if rows:
+            yield pd.DataFrame(rows)
+
+    return summarize
 
 
 def monotonic_profile(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """``(variable, increasing, decreasing, strictly_increasing, strictly_decreasing)``.
 
-    Nulls are skipped. Rows with the same order value may stand in any order among
-    themselves, and rule out a strict direction. They are combined before the shuffle;
-    each task checks one range of the order column, and the ends of the ranges are
-    compared afterwards, one row per task.
+    For numeric columns. Nulls are skipped. Rows with the same order value may stand in
+    any order among themselves, and rule out a strict direction. They are combined before
+    the shuffle; each task checks one range of the order column, and the ends of the
+    ranges are compared afterwards, one row per task and column.
     """
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    parts = [
+        _ranges(df, order, names, value_type)
+        for names, value_type in ((whole, "bigint"), ([c for c in columns if c not in whole], "double"))
+        if names
+    ]
+    return reduce(DataFrame.unionByName, [_stitch(p) for p in parts])
+
+
+def _ranges(df: DataFrame, order: str, columns: list[str], value_type: str) -> DataFrame:
+    aggregates = []
+    for i, c in enumerate(columns):
+        value = present(df, c).cast(value_type)
+        # A range without values of this column is passed over, so zero stands in for null.
+        aggregates += [
+            F.coalesce(F.min(value), F.lit(0).cast(value_type)).alias(f"lo{i}"),
+            F.coalesce(F.max(value), F.lit(0).cast(value_type)).alias(f"hi{i}"),
+            F.count(value).alias(f"n{i}"),
+        ]
+    per_key = df.where(F.col(f"`{order}`").isNotNull()).groupBy(F.col(f"`{order}`").alias("k")).agg(*aggregates)
+    edges = ", ".join(f"{e} {value_type}" for e in _EDGES)
+    flags = ", ".join(f"{f} boolean" for f in _FLAGS)
     key_type = df.schema[order].dataType.simpleString()
-    parts = []
-    for c in columns:
-        value_type = df.schema[c].dataType.simpleString()
-        edge_fields = ", ".join(f"{e} {value_type}" for e in _EDGES)
-        flag_fields = ", ".join(f"{f} boolean" for f in _FLAGS)
-        per_key = (
-            df.where(F.col(f"`{c}`").isNotNull())
-            .groupBy(F.col(f"`{order}`").alias("k"))
-            .agg(F.min(f"`{c}`").alias("lo"), F.max(f"`{c}`").alias("hi"), F.count(F.lit(1)).alias("n"))
-        )
-        ranges = (
-            per_key.repartitionByRange("k")
-            .sortWithinPartitions("k")
-            .mapInPandas(_summarize, f"at {key_type}, {edge_fields}, {flag_fields}")
-        )
-        parts.append(_stitch(ranges.withColumn("variable", F.lit(c))))
-    return reduce(DataFrame.unionByName, parts)
+    return (
+        per_key.repartitionByRange("k")
+        .sortWithinPartitions("k")
+        .mapInPandas(_summarizer(columns), f"variable string, at {key_type}, {edges}, {flags}")
+    )
 
 
 def _stitch(ranges: DataFrame) -> DataFrame:

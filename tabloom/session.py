@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback_roots: dict[str, str] = {}
 
@@ -52,3 +52,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def scratch_table(label: str) -> str:
     """A new, unused table name."""
     return f"{label}_{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder, for plans that read them several times.
+
+    Later steps read only the columns they need, and a lost executor costs one task of a
+    file read instead of the whole computation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
