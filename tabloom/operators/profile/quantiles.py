@@ -257,7 +257,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 50) -
             continue
         lo, hi = (lo, hi) if lo < hi else (lo - 0.5, lo + 0.5)
         place = f"floor(({values[c]} - {_literal(lo)}) / {_literal(hi - lo)} * {bins})"
-        cells.append(f"{sql_text(c)}, int(least({place}, {bins - 1}))")
+        # least() passes over nulls, so a missing value must not reach it.
+        cells.append(f"{sql_text(c)}, CASE WHEN {values[c]} IS NOT NULL THEN int(least({place}, {bins - 1})) END")
         frames.append(
             df.sparkSession.range(bins).selectExpr(
                 f"{sql_text(c)} as variable",

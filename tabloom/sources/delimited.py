@@ -94,22 +94,29 @@ def read_lenient(
 ) -> DataFrame:
     """The reader used before profiling: long rows are dropped, short rows padded with nulls.
 
-    A spare column after the header's takes the first surplus field, so a row is long
-    exactly when that column is present. Empty fields are nulls.
+    A row whose fields do not match the header arrives with its raw text beside it; it is
+    long if that has more delimiters outside quotes than the header. Column pruning is
+    off for this read, since a row cannot be judged by some of its fields.
     """
     delimiter = "\t" if file_type == "tsv" else delimiter_of(first_line(spark, path))
     multi_line = has_quoted_line_breaks(spark, path)
     options = {"header": True, "sep": delimiter, "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
-    spare = "_surplus"
-    while spare in header:
-        spare += "_"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, spare]])
-    # A null marker that cannot occur keeps an empty field apart from an absent one.
-    rows = spark.read.schema(schema).options(**options, nullValue="\u0000", mode="PERMISSIVE").csv(path)
-    kept = rows.where(F.col(spare).isNull()).select(
-        *[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in header]
+    raw = "_raw"
+    while raw in header:
+        raw += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, raw]])
+    rows = (
+        spark.read.schema(schema)
+        .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, columnPruning=False)
+        .csv(path)
     )
+    unquoted = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
+    delimiters = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
+    # Always true, and names a field: a plan that needs the raw text alone is refused.
+    readable = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0
+    fits = F.col(raw).isNull() | (delimiters < len(header))
+    kept = rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
     return infer_column_types(kept) if infer_types else kept
 
 
