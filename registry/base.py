@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.functions.names import WHITESPACE_RUN
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 
-def re2(pattern: str) -> str:
-    """A Java pattern in RE2 spelling."""
-    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
-
-
-WS = re2(WHITESPACE_RUN)
+# White space and tokens in RE2 spelling, which has no Unicode-aware classes.
+WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WS_CLASS}]+"
+TOKEN = rf"([\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{WS_CLASS}])"
 
 
 def query(name: str, sql: str | None = None):

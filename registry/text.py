@@ -15,7 +15,7 @@ from tabloom.operators.catalog import visible
 from tabloom.operators.features import lemmatize_with_table
 from tabloom.operators.word_count import top_words
 
-from .base import WS, load, query, re2, sql_list
+from .base import TOKEN, WS, load, query, sql_list
 
 CODES = ("en", "fr", "de", "es")
 
@@ -110,8 +110,7 @@ def text_lower(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.lower_case("text").alias("text"))
 
 
-TOKEN_SQL = re2(T.TOKEN_PATTERN)
-TOKENS = f"regexp_extract_all(text, '{TOKEN_SQL}', 1)"
+TOKENS = f"regexp_extract_all(text, '{TOKEN}', 1)"
 MARKS = T.PUNCTUATION.replace("'", "''")
 STRIPPED = f"list_transform({TOKENS}, lambda w: translate(w, '{MARKS}', ''))"
 LISTS = {code: bundled_list(code) for code in CODES}

@@ -7,11 +7,10 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Fixed value: the characters Python's str.split() and \s treat as white space.
-WHITESPACE_CLASS = (
-    "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-)
-WHITESPACE_RUN = f"[{WHITESPACE_CLASS}]+"
+# White space as Python's str.split() sees it: Unicode's, and four separators.
+# (?U) keeps it one class test per character, several times faster than a list of ranges.
+WHITESPACE_CLASS = "\\s\\x1c-\\x1f"
+WHITESPACE_RUN = f"(?U)[{WHITESPACE_CLASS}]+"
 
 
 def clean_name(c: Column | str) -> Column:
@@ -32,11 +31,11 @@ def camel_to_snake(c: Column | str) -> Column:
 
 def clean_name_text(name: str) -> str:
     """``clean_name`` for one name held by the driver."""
-    return re.sub("[^A-Za-z0-9_]", "", re.sub(WHITESPACE_RUN, "_", name)).lower()
+    return re.sub("[^A-Za-z0-9_]", "", re.sub(r"\s+", "_", name)).lower()
 
 
 def clean_table_name_text(name: str) -> str:
-    return re.sub("[^A-Za-z0-9_]", "", re.sub(WHITESPACE_RUN, "_", name.lower()))
+    return re.sub("[^A-Za-z0-9_]", "", re.sub(r"\s+", "_", name.lower()))
 
 
 def snake_text(name: str) -> str:

@@ -11,8 +11,8 @@ from .names import WHITESPACE_CLASS, WHITESPACE_RUN
 # Fixed value: the 32 ASCII punctuation marks.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-# A run of letters, marks, digits and underscores in any script, or one other mark.
-TOKEN_PATTERN = "([\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_" + WHITESPACE_CLASS + "])"
+# A run of word characters (letters, marks, digits, underscore) of any script, or one other mark.
+TOKEN_PATTERN = f"(?U)(\\w+|[^\\w{WHITESPACE_CLASS}])"
 
 CLEANING_METHODS = (
     "remove_punctuation",

@@ -17,7 +17,10 @@ from ..functions.privacy import (
 )
 
 # From the first to the last letter or digit of a run without white space.
-BARE_WORD = f"[\\p{{L}}\\p{{N}}](?:[^{WHITESPACE_CLASS}]*[\\p{{L}}\\p{{N}}])?"
+BARE_WORD = f"(?U)[\\p{{L}}\\p{{N}}](?:[^{WHITESPACE_CLASS}]*[\\p{{L}}\\p{{N}}])?"
+
+# Names up to this many are sent to every task.
+BROADCAST_NAMES = 200_000
 
 # Landmark numbers of the two eyes.
 FIRST_EYE_POINT, LAST_EYE_POINT = 36, 47
@@ -85,16 +88,21 @@ def _word_runs(words: str, longest: int) -> Column:
 def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 1) -> DataFrame:
     """``(keys, label, n)``: names from a ``(name, label)`` table found in a text column.
 
-    Names are lower-case runs of up to ``longest`` words. Equal words of one key are
-    counted before they meet the table.
+    Names are lower-case runs of up to ``longest`` words. A table of at most
+    ``BROADCAST_NAMES`` names goes to the words, and only matches are counted. A longer
+    table is joined by shuffle after equal words of one key have been counted, so that a
+    frequent word is one row per key.
     """
     if longest == 1:
         found = df.select(*keys, F.explode(bare_words(text)).alias("name"))
     else:
         words = df.select(*keys, bare_words(text).alias("_words"))
         found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
+    names = gazetteer.select("name", "label")
+    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        return found.join(F.broadcast(names), "name").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     counts = found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(gazetteer.select("name", "label"), "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+    return counts.join(names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
 def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int = 1) -> DataFrame:

@@ -68,7 +68,9 @@ def test_empty_table_flags_nothing(spark):
     assert P.pii_columns(spark.createDataFrame([], "id int, v string"), ["id"]).collect() == []
 
 
-def test_names_of_several_words(spark):
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_names_of_several_words(spark, monkeypatch, limit):
+    monkeypatch.setattr(P, "BROADCAST_NAMES", limit)
     df = spark.createDataFrame([(1, "From «New York City», to york; Middle East.")], "id int, t string")
     names = spark.createDataFrame(
         [("new york city", "GPE"), ("york", "PERSON"), ("middle east", "LOC"), ("absent", "LOC")], "name string, label string"
