@@ -73,6 +73,9 @@ MOMENTS = (
 DOUBLES = set(MOMENTS) - {"n_negative", "n_zeros", "n_infinite"} | {"p_missing", "p_distinct", "p_unique"}
 
 
+QUANTILES = ("q05", "q25", "q50", "q75", "q95", "iqr")
+
+
 def settled_columns(columns) -> str:
     return ", ".join(f"{settled_sql(c)} AS {c}" if c in DOUBLES or c[0] == "q" or c in ("iqr", "mad", "median") else c for c in columns)
 
@@ -274,7 +277,45 @@ def profile_grouped(spark, sf):
     return settle(P.grouped_profile(load(spark, sf, "lineitem"), ["l_returnflag"], columns))
 
 
-QUANTILES = ("q05", "q25", "q50", "q75", "q95", "iqr")
+@query(
+    "profile_grouped_quantiles",
+    f"SELECT event_type, variable, {settled_columns(QUANTILES)} FROM ("
+    + " UNION ALL ".join(
+        f"SELECT event_type, '{c}' AS variable, {quantiles_sql(c)} FROM events GROUP BY event_type"
+        for c in ("event_id", "user_id", "value")
+    )
+    + ")",
+)
+def profile_grouped_quantiles(spark, sf):
+    return settle(P.grouped_quantiles(load(spark, sf, "events"), ["event_type"], ["event_id", "user_id", "value"]))
+
+
+@query(
+    "profile_grouped_columns",
+    f"SELECT event_type, variable, {settled_columns(COUNTS)} FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT event_type, '{c}' AS variable, CAST(sum(n) AS BIGINT) AS n, 0 AS n_missing, CAST(0 AS DOUBLE) AS p_missing, count(*) AS n_distinct,
+        count(*) / sum(n) AS p_distinct, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n = 1) / sum(n) AS p_unique,
+        count(*) FILTER (n = 1) = sum(n) AS is_unique
+        FROM (SELECT event_type, {c}, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type"""
+        for c in ("event_id", "user_id", "props")
+    )
+    + ")",
+)
+def profile_grouped_columns(spark, sf):
+    columns = ["event_id", "user_id", "props"]
+    return settle(P.distinct_counts(load(spark, sf, "events"), columns, keys=["event_type"]))
+
+
+@query(
+    "profile_grouped_values",
+    """
+    SELECT * FROM (SELECT event_type, 'user_id' AS variable, CAST(row_number() OVER (PARTITION BY event_type
+        ORDER BY count(*) DESC, user_id) AS INTEGER) AS rank, CAST(user_id AS VARCHAR) AS value, count(*) AS count
+      FROM events GROUP BY event_type, user_id) WHERE rank <= 5""",
+)
+def profile_grouped_values(spark, sf):
+    return P.top_values(load(spark, sf, "events"), ["user_id"], n=5, keys=["event_type"])
 
 
 def report_sql(source: str, numeric=(), text=(), times=()) -> str:

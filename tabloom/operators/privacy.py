@@ -93,13 +93,15 @@ def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataF
     table is joined by shuffle after equal words of one key have been counted, so that a
     frequent word is one row per key.
     """
+    names = gazetteer.select("name", "label")
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("name", " "))).alias("longest")).first()
+    longest = min(longest, size.longest or 1)
     if longest == 1:
         found = df.select(*keys, F.explode(bare_words(text)).alias("name"))
     else:
         words = df.select(*keys, bare_words(text).alias("_words"))
         found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
-    names = gazetteer.select("name", "label")
-    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+    if size.n <= BROADCAST_NAMES:
         return found.join(F.broadcast(names), "name").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     counts = found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))

@@ -10,7 +10,7 @@ from .frequencies import (
 )
 from .moments import grouped_profile, numeric_profile, table_profile
 from .order import monotonic_profile
-from .quantiles import histogram, median_absolute_deviation, quantiles
+from .quantiles import grouped_quantiles, histogram, median_absolute_deviation, quantiles
 from .report import alerts, profile_json, profile_report
 
 __all__ = [
@@ -19,6 +19,7 @@ __all__ = [
     "datetime_profile",
     "distinct_counts",
     "grouped_profile",
+    "grouped_quantiles",
     "histogram",
     "imbalance",
     "median_absolute_deviation",

@@ -23,15 +23,33 @@ def _storage_type(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
-def value_frequencies(df: DataFrame, columns: list[str] | None = None, keys: list[str] = ()) -> list[DataFrame]:
-    """``(keys, variable, value, n)`` with nulls kept, one DataFrame per value type."""
+# Texts longer than this travel as digests where only their equality matters. A digest is
+# longer still, so it never equals a text that was left as it is.
+DIGEST_ABOVE = 64
+
+
+def _digest(c: Column) -> Column:
+    return F.when(F.octet_length(c) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
+
+
+def value_frequencies(
+    df: DataFrame, columns: list[str] | None = None, keys: list[str] = (), digest: bool = False
+) -> list[DataFrame]:
+    """``(keys, variable, value, n)`` with nulls kept, one DataFrame per value type.
+
+    With ``digest`` long texts are replaced by their SHA-256, so that documents do not
+    cross the network to be counted.
+    """
     keys = list(keys)
     by_type: dict[str, list[str]] = {}
     for c in columns or [c for c in df.columns if c not in keys]:
         by_type.setdefault(_storage_type(df.schema[c].dataType), []).append(c)
     frames = []
     for value_type, names in by_type.items():
-        cells = df.select(*keys, *[present(df, c).cast(value_type).alias(c) for c in names])
+        values = {c: present(df, c).cast(value_type) for c in names}
+        if digest and value_type == "string":
+            values = {c: _digest(v) for c, v in values.items()}
+        cells = df.select(*keys, *[v.alias(c) for c, v in values.items()])
         cells = cells.unpivot([F.col(k) for k in keys], [F.col(f"`{c}`") for c in names], "variable", "value")
         frames.append(cells.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
     return frames
@@ -53,7 +71,7 @@ def frequency_summary(df: DataFrame, columns: list[str] | None = None, keys: lis
             F.count_if(seen & (F.col("n") == 1)).alias("n_unique"),
             F.coalesce(F.sum(F.when(seen, F.col("n") * F.log2("n"))), F.lit(0.0)).alias("n_log_n"),
         )
-        for f in value_frequencies(df, names, keys)
+        for f in value_frequencies(df, names, keys, digest=True)
     ]
     if keys:
         return reduce(DataFrame.unionByName, parts)
@@ -108,18 +126,19 @@ def approximate_distinct(df: DataFrame, columns: list[str] | None = None, rsd: f
     return row.select(F.inline(F.array(*pairs)))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent present values per column: ``(variable, rank, value, count)``.
+def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 10, keys: list[str] = ()) -> DataFrame:
+    """The ``n`` most frequent present values per column: ``(keys, variable, rank, value, count)``.
 
     Ties go to the lower value. Each task keeps its own best ``n`` before rows move.
     """
-    order = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
+    keys = list(keys)
+    order = Window.partitionBy(*keys, "variable").orderBy(F.desc("n"), "value")
     parts = [
         f.where("value is not null")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
-        .select("variable", "rank", F.col("value").cast("string").alias("value"), F.col("n").alias("count"))
-        for f in value_frequencies(df, columns)
+        .select(*keys, "variable", "rank", F.col("value").cast("string").alias("value"), F.col("n").alias("count"))
+        for f in value_frequencies(df, columns, keys)
     ]
     return reduce(DataFrame.unionByName, parts)
 

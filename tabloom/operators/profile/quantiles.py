@@ -15,8 +15,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ...session import written
 from .columns import chunks, columns_of_kind, sql_text
 
 DEFAULT_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -223,6 +224,54 @@ def quantiles(df: DataFrame, columns: list[str] | None = None, probs: Iterable[f
     return df.sparkSession.createDataFrame(rows, f"variable string, {names}, iqr double")
 
 
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], columns: list[str] | None = None, probs: Iterable[float] = DEFAULT_PROBS
+) -> DataFrame:
+    """``quantiles`` for every value of the keys, any number of them, in one job.
+
+    Equal values are combined and written once in order of key, column and value, so each
+    file is one range however large a single group is. Rows per file and group give the
+    offset of every file; only files that hold a wanted rank are looked into.
+    """
+    probs = sorted({*probs, 0.25, 0.75})
+    group = [*keys, "variable"]
+    values = {c: v for c, v in _numeric(df, columns).items() if c not in keys}
+    pairs = ", ".join(f"{sql_text(c)}, {v}" for c, v in values.items())
+    cells = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (variable, value)")).where("value is not null")
+    counted = cells.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counted.repartitionByRange(*group, "value").sortWithinPartitions(*group, "value")
+    ordered = written(ranged, "ordered").select("*", F.col("_metadata.file_path").alias("_file"))
+
+    per_file = ordered.groupBy(*group, "_file").agg(F.sum("n").alias("_rows"), F.min("value").alias("_least"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("_rows").over(whole.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1))
+    files = per_file.withColumns(
+        {"_offset": F.coalesce(before, F.lit(0)), "_total": F.sum("_rows").over(whole)}
+    ).drop("_least")
+    places = [(F.col("_total") - 1) * F.lit(p) for p in probs]
+    ranks = F.array(*[fn(h) for h in places for fn in (F.floor, F.ceil)])
+    files = files.where(F.exists(ranks, lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_rows"))))
+
+    left, right = ordered.alias("l"), files.alias("r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_file"]]
+    inside = left.join(right, same).select("l.*", "r._offset", "r._total")
+    running = F.col("_offset") + F.sum("n").over(Window.partitionBy(*group, "_file").orderBy("value"))
+    placed = inside.withColumn("_upto", running)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_upto") - F.col("n")) & (rank < F.col("_upto")), F.col("value")))
+
+    ends = [at(fn(h)).alias(f"{fn.__name__}{i}") for i, h in enumerate(places) for fn in (F.floor, F.ceil)]
+    found = placed.groupBy(*group, "_total").agg(*ends)
+
+    def between(i: int) -> Column:
+        low, high, h = F.col(f"floor{i}"), F.col(f"ceil{i}"), places[i]
+        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
+
+    named = found.select(*group, *[between(i).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probs)])
+    return named.withColumn("iqr", F.col("q75") - F.col("q25"))
+
+
 def median_absolute_deviation(
     df: DataFrame, columns: list[str] | None = None, medians: dict[str, float | None] | None = None
 ) -> DataFrame:

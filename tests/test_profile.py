@@ -205,3 +205,30 @@ def test_report_policies(spark):
     with pytest.raises(ValueError):
         P.profile_report(df, "guess")
     assert P.profile_json(P.profile_report(df)).count() == 2
+
+
+def test_grouped_quantiles_with_a_hot_group_and_null_key(spark):
+    rows = distributions()[["ties", "hot", "infinite"]]
+    rows["g"] = ["hot" if i % 3 else None if i % 5 == 0 else f"g{i % 7}" for i in range(len(rows))]
+    df = spark.createDataFrame(rows)
+    got = {(r["g"], r["variable"]): r for r in P.grouped_quantiles(df, ["g"]).collect()}
+    groups = set(rows["g"])
+    assert len(got) == 3 * len(groups)
+    for g in groups:
+        part = rows[rows["g"].isna()] if g is None else rows[rows["g"] == g]
+        for c in ("ties", "hot", "infinite"):
+            ordered = sorted(part[c])
+            for p, name in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95")):
+                h = (len(ordered) - 1) * p
+                low, high = ordered[math.floor(h)], ordered[math.ceil(h)]
+                want = low if low == high else low + (high - low) * (h - math.floor(h))
+                assert got[(g, c)][name] == pytest.approx(want), (g, c, name)
+
+
+def test_long_texts_are_told_apart_by_digest(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(long + "a",), (long + "a",), (long + "b",), ("x" * 64,), ("x" * 65,)], "t string")
+    r = P.distinct_counts(df).first()
+    assert (r["n_distinct"], r["n_unique"]) == (4, 3)
+    top = P.top_values(df, n=1).first()
+    assert (top["value"], top["count"]) == (long + "a", 2)
