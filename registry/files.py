@@ -47,7 +47,8 @@ def scan_csv_delim(spark, sf):
 @query(
     "scan_csv_lenient",
     """
-    SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey < 22 THEN c_acctbal END AS c_acctbal
+    SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+      CASE WHEN c_nationkey < 22 THEN c_acctbal END AS c_acctbal
     FROM customer WHERE c_nationkey >= 3""",
 )
 def scan_csv_lenient(spark, sf):

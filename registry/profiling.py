@@ -294,7 +294,7 @@ def profile_grouped_quantiles(spark, sf):
     "profile_grouped_columns",
     f"SELECT event_type, variable, {settled_columns(COUNTS)} FROM ("
     + " UNION ALL ".join(
-        f"""SELECT event_type, '{c}' AS variable, CAST(sum(n) AS BIGINT) AS n, 0 AS n_missing, CAST(0 AS DOUBLE) AS p_missing, count(*) AS n_distinct,
+        f"""SELECT event_type, '{c}' AS variable, CAST(sum(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS DOUBLE) AS p_missing, count(*) AS n_distinct,
         count(*) / sum(n) AS p_distinct, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n = 1) / sum(n) AS p_unique,
         count(*) FILTER (n = 1) = sum(n) AS is_unique
         FROM (SELECT event_type, {c}, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type"""
