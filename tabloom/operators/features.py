@@ -12,6 +12,7 @@ from ..functions import names, text
 from ..functions.stopwords import stop_words
 from ..session import written
 from ..sources.tables import STAMP_COLUMN
+from .joins import spread_join
 
 READY_STATUS = "SUCCESS"
 
@@ -28,9 +29,6 @@ FEATURE_FIELDS = {
     "feature_group_id": "string",
 }
 
-# Rows above this go through the shuffle join; the list of hot terms never exceeds it.
-HOT_TERMS = 1000
-
 # Above this many entries a lexicon is joined instead of written into the expression.
 INLINE_LEXICON = 2000
 
@@ -144,21 +142,6 @@ def lemmatize_with_table(df: DataFrame, key: str, tokens: str, lexicon: DataFram
     return joined.withColumn(output, F.when(F.col("_lemmas").isNull(), F.col(output)).otherwise(lemmas)).drop("_lemmas")
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """Inner join on a key that may be very frequent in ``many`` and is unique in ``one``.
-
-    The most frequent keys, at most ``HOT_TERMS`` rows, meet their matches by broadcast;
-    all others are shuffled, where no single key can be large any more. ``many`` is read
-    three times and should be a table rather than a costly plan.
-    """
-    frequency = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = frequency.orderBy(F.desc("_n"), key).limit(HOT_TERMS).select(key)
-    hot = one.join(F.broadcast(hot_keys), key, "left_semi")
-    by_broadcast = many.join(F.broadcast(hot), key)
-    by_shuffle = many.join(F.broadcast(hot_keys), key, "left_anti").join(one, key)
-    return by_broadcast.unionByName(by_shuffle.select(*by_broadcast.columns))
-
-
 def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, term, tf)``: lower-cased white-space words per row."""
     terms = df.select(key, F.explode(F.split(F.lower(column), names.WHITESPACE_RUN)).alias("term"))
@@ -168,16 +151,12 @@ def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, term, tf, df, tfidf)`` with ``tf * ln((N + 1) / (df + 1))``; N counts all rows.
 
-    A term found in most rows is one of the hot terms, whose document counts are
-    broadcast as at most ``HOT_TERMS`` rows; the rest join by shuffle. The term counts are
-    written once, since both the document counts and the weights are made from them.
+    The term counts are written once, since both the document counts and the weights are
+    made from them. A term found in most rows stays where it is: see ``spread_join``.
     """
     counts = written(term_counts(df, key, column), "terms")
     docs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hot = docs.orderBy(F.desc("df"), "term").limit(HOT_TERMS)
-    by_broadcast = counts.join(F.broadcast(hot), "term")
-    by_shuffle = counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(docs, "term")
-    both = by_broadcast.unionByName(by_shuffle.select(*by_broadcast.columns))
+    both = spread_join(counts, docs, "term")
     n = df.agg(F.count(F.lit(1))).scalar()
     weight = F.col("tf") * F.log((n + 1) / (F.col("df") + 1))
     return both.select(key, "term", "tf", "df", weight.alias("tfidf"))

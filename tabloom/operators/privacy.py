@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import WHITESPACE_CLASS
+from ..session import written
+from .joins import salted_join, spread_join
 from .profile.columns import sql_text
 from ..functions.privacy import (
     ENTITY_HINTS,
@@ -93,7 +95,7 @@ def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataF
     table is joined by shuffle after equal words of one key have been counted, so that a
     frequent word is one row per key.
     """
-    names = gazetteer.select("name", "label")
+    names = gazetteer.select("name", "label").distinct()
     size = names.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("name", " "))).alias("longest")).first()
     longest = min(longest, size.longest or 1)
     if longest == 1:
@@ -103,8 +105,8 @@ def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataF
         found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
     if size.n <= BROADCAST_NAMES:
         return found.join(F.broadcast(names), "name").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    counts = found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+    counts = written(found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n")), "words")
+    return spread_join(counts, names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
 def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int = 1) -> DataFrame:
@@ -183,7 +185,7 @@ def eye_boxes(points: DataFrame, images: DataFrame) -> DataFrame:
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "image_id") -> DataFrame:
     """The primary detections, and the fallback's for images where the primary has none."""
-    unmatched = fallback.join(primary.select(key).distinct(), key, "left_anti")
+    unmatched = salted_join(fallback, primary.select(key).distinct(), key, "left_anti")
     return primary.unionByName(unmatched.select(*primary.columns))
 
 

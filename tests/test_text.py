@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text as T
 from tabloom.functions.stopwords import ENGLISH, read_stop_words, stop_word_frame, stop_words
-from tabloom.operators import features as X
+from tabloom.operators import features as X, joins as J
 from tabloom.operators.word_count import top_words
 
 
@@ -70,19 +70,10 @@ def test_large_lexicon_gives_the_same_as_a_small_one(spark, monkeypatch):
     assert [r.lemmas for r in large] == [["cat", "x", "cat"], [], ["mouse"]]
 
 
-def test_spread_join_with_more_keys_than_hot_ones(spark, monkeypatch):
-    monkeypatch.setattr(X, "HOT_TERMS", 2)
-    many = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10).alias("k"), "id")
-    one_side = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    got = sorted(tuple(r) for r in X.spread_join(many, one_side, "k").select("id", "v").collect())
-    want = sorted(tuple(r) for r in many.join(one_side, "k").select("id", "v").collect())
-    assert got == want
-
-
 def test_tfidf_with_few_hot_terms(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b a"), (2, "a c"), (3, "")], "id int, t string")
     want = sorted(tuple(r) for r in X.tfidf(df, "id", "t").collect())
-    monkeypatch.setattr(X, "HOT_TERMS", 1)
+    monkeypatch.setattr(J, "HOT_KEYS", 1)
     got = sorted(tuple(r) for r in X.tfidf(df, "id", "t").collect())
     assert got == want and len(got) == 4
     assert got[0][:4] == (1, "a", 2, 2)
