@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import piece_bpe, secrets, simhash
+from . import piece_bpe, secrets, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 @query("op4_piece_bpe")
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
