@@ -25,7 +25,7 @@ SPACE = "▁"
 # A word is a run of spaces and what follows up to the next one; no piece reaches across its start.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Words remembered by a task, and characters of a word up to which rounds are used.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONG_WORD = 4096
 NONE = np.iinfo(np.int64).max
 
@@ -177,17 +177,43 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
+        # Words without their first space mark, their ids, and the ids as text.
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text with the end id."""
-        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.shown: dict[str, str] = {}
+        # One object per id keeps the memory of a word small.
+        self.one = list(range(self.model.size))
+        self.names = list(map(str, self.one))
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, each without the one space mark that starts it."""
+        if "  " not in text and SPACE not in text and text.strip(" ") == text:
+            return text.split(" ") if text else []
+        return [w[1:] for w in WORD.findall(SPACE + text.replace(" ", SPACE))]
+
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them known afterwards."""
+        split = list(map(self._split, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.shown.clear()
         fresh = list(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(fresh, self.model.encode_words(fresh)))
-        ids_of, end = self.known.__getitem__, (self.model.end,)
-        return [list(chain(chain.from_iterable(map(ids_of, words)), end)) for words in split]
+        one, name = self.one, self.names
+        for w, ids in zip(fresh, self.model.encode_words([SPACE + w for w in fresh])):
+            self.known[w] = tuple([one[i] for i in ids])
+            self.shown[w] = " ".join([name[i] for i in ids])
+        return split
+
+    def ids(self, words: list[str]) -> list[int]:
+        """Ids of a text, given by its words, with the end id."""
+        return list(chain(chain.from_iterable(map(self.known.__getitem__, words)), (self.model.end,)))
+
+    def shown_ids(self, words: list[str]) -> str:
+        """The same ids in decimals, joined by one space."""
+        return " ".join([*map(self.shown.__getitem__, words), self.names[self.model.end]])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text with the end id."""
+        return list(map(self.ids, self.words(texts)))
 
     def decode(self, ids: list[int]) -> str:
         return self.model.processor.decode(ids)
@@ -255,11 +281,12 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
-                encoded = enc.encode(text_list(part.column(1)))
+                words = enc.words(text_list(part.column(1)))
+                encoded = list(map(enc.ids, words))
                 columns = [
                     part.column(0),
                     pa.array([len(ids) for ids in encoded], pa.int64()),
-                    pa.array([sha(" ".join(map(str, ids)).encode()).hexdigest() for ids in encoded], pa.string()),
+                    pa.array([sha(enc.shown_ids(w).encode()).hexdigest() for w in words], pa.string()),
                     pa.array([sha(enc.decode(ids).encode()).hexdigest() for ids in encoded], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -41,6 +41,7 @@ def test_random_texts(enc, texts):
 def test_whole_texts(enc, docs):
     texts = [r.text for r in docs.collect()]
     assert enc.encode(texts) == library(enc, texts)
+    assert [enc.shown_ids(w) for w in enc.words(texts)] == [" ".join(map(str, ids)) for ids in library(enc, texts)]
 
 
 def test_rounds_equal_queue(enc):
