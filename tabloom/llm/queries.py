@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, packing, piece_bpe, quality, secrets, simhash, token_counts, toxicity
+from . import embed_dedup, packing, piece_bpe, quality, secrets, simhash, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 @query("op8_embed_dedup")
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
