@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, packing, piece_bpe, quality, secrets, simhash, token_counts, toxicity, warc
+from . import embed_dedup, packing, piece_bpe, quality, secrets, simhash, token_counts, toxicity, training_order, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op9_training_order")
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 @query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
