@@ -5,13 +5,19 @@ follows the start of a word does not depend on what stands before it. Two encodi
 overlapping chunks may therefore be joined at a place where both start a word, far enough
 from the ends of both chunks that no word, special token or normalised character there was
 cut. If the overlap has no such place, it is widened, to the whole text if need be.
+
+White space is such a place always: no word holds it, no special token holds it, and no
+character is normalised together with it. Texts that are not huge are therefore encoded
+at their spaces, and a task encodes a word that it has met before only once.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,23 +28,19 @@ CHUNK = 1 << 14
 OVERLAP = 512
 EDGE = 64
 TOKEN_LIMIT = 2048
+# Words whose counts a task remembers.
+REMEMBERED = 500_000
+# Words that are encoded together.
+TOGETHER = 1000
 
 
-def _word_starts(encoding, low: int, high: int, shift: int) -> dict[int, int]:
-    """{place in the text: number of tokens before it} of tokens that start a word within [low, high)."""
-    words, offsets = encoding.word_ids, encoding.offsets
-    found, lo, hi = {}, 0, len(offsets)
-    while lo < hi:  # offsets never fall, so the first token of the range is found by halving
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if offsets[mid][0] + shift < low else (lo, mid)
-    for i in range(max(lo, 1), len(offsets)):
-        at = offsets[i][0] + shift
-        if at >= high:
-            break
-        # A word starts where the word number changes and no character is shared with the token before.
-        if words[i] is not None and words[i] != words[i - 1] and offsets[i - 1][1] + shift <= at:
-            found[at] = i
-    return found
+def _starts_word(encoding, at: int) -> int | None:
+    """The number of tokens before a place, if a token there starts a word and shares no character with the one before."""
+    token = encoding.char_to_token(at)
+    if not token or encoding.token_to_chars(token)[0] != at or encoding.token_to_chars(token - 1)[1] > at:
+        return None
+    word = encoding.token_to_word(token)
+    return token if word is not None and word != encoding.token_to_word(token - 1) else None
 
 
 def spliced_ids(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, edge: int = EDGE) -> list[int]:
@@ -64,32 +66,65 @@ def spliced_ids(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
                 now = tokenizer.encode(text[start:reach], add_special_tokens=False)
             stop = min(reach + chunk, len(text))
             later = tokenizer.encode(text[begin:stop], add_special_tokens=False)
-            a = _word_starts(now, begin + edge, reach - edge, start)
-            b = _word_starts(later, begin + edge, reach - edge, begin)
-            common = [p for p in a if p in b and a[p] >= first]
-            if common:
-                at = max(common)
-                ids += now.ids[first : a[at]]
-                now, first, start, end = later, b[at], begin, stop
+            for at in range(reach - edge - 1, begin + edge - 1, -1):
+                a = _starts_word(now, at - start)
+                b = _starts_word(later, at - begin) if a is not None and a >= first else None
+                if b is not None:
+                    break
+            else:
+                a = b = None
+            if b is not None:
+                ids += now.ids[first:a]
+                now, first, start, end = later, b, begin, stop
                 break
             wide *= 2
     return ids + now.ids[first:]
 
 
-_tokenizers: dict[str, object] = {}
-
+class Counter:
+    """Counts tokens of texts, and remembers the counts of words between spaces."""
 
-def tokenizer_of(path: str):
-    """The tokenizer of a file, kept by the Python worker; it uses the worker's one thread."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one thread
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _tokenizers[path] = tokenizer
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[str, int] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words together, spaces between them, and count the tokens that start in each."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(size + 1) - size - 1
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        places = np.fromiter((s for s, _ in encoded.offsets), np.int64, len(encoded))
+        owner = np.searchsorted(starts, places, side="right") - 1
+        self.known.update(zip(words, np.bincount(owner, minlength=len(words)).tolist()))
+
+    def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        """Tokens of each text."""
+        words = [t.replace("\n", " ").split(" ") if len(t) <= chunk else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        fresh = list(set(chain.from_iterable(words)).difference(self.known))
+        for at in range(0, len(fresh), TOGETHER):
+            self._learn(fresh[at : at + TOGETHER])
+        count = self.known.__getitem__
+        return [
+            sum(map(count, w)) if len(t) <= chunk else len(spliced_ids(self.tokenizer, t, chunk, overlap))
+            for t, w in zip(texts, words)
+        ]
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    """The counter of a tokenizer file, kept by the Python worker."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
 
 
 def count_tokens(
@@ -111,19 +146,11 @@ def count_tokens(
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
         for batch in batches:
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
                 texts = text_list(part.column(1))
-                whole = [i for i, t in enumerate(texts) if len(t) <= chunk]
-                counts = [0] * len(texts)
-                encoded = tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-                for i, e in zip(whole, encoded):
-                    counts[i] = len(e)
-                for i, t in enumerate(texts):
-                    if len(t) > chunk:
-                        counts[i] = len(spliced_ids(tokenizer, t, chunk, overlap))
+                counts = counter(path).counts(texts, chunk, overlap)
                 n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
                 n_tokens = pa.array(counts, pa.int64())
                 over = pa.array([n > limit for n in counts], pa.bool_())

@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tok():
-    return token_counts.tokenizer_of(PATH)
+    return token_counts.counter(PATH).tokenizer
 
 
 def whole(tok, text):
@@ -22,7 +22,7 @@ def whole(tok, text):
 
 @pytest.mark.parametrize("path", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_whole_table(docs, path):
-    tok = token_counts.tokenizer_of(public_tokenizers.path(path))
+    tok = token_counts.counter(public_tokenizers.path(path)).tokenizer
     for r in docs.collect():
         assert token_counts.spliced_ids(tok, r.text, 400, 60, 16) == whole(tok, r.text)
 
@@ -46,6 +46,18 @@ def test_random_texts(tok, parts):
     assert token_counts.spliced_ids(tok, text, 120, 50, 16) == whole(tok, text)
 
 
+def test_words_between_spaces(docs, tok):
+    texts = [r.text for r in docs.collect()] + ODD + ["a\x1c!\x1f! \u0301 b\u00a0c", " e \u0301", "!\n!  !\r\n!"]
+    assert token_counts.Counter(PATH).counts(texts, 10**6) == [len(whole(tok, t)) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=4))
+def test_any_words(tok, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    assert token_counts.counter(PATH).counts(texts) == [len(whole(tok, t)) for t in texts]
+
+
 def test_columns(spark, tok, clash):
     texts = [None, "", "two words", "two words", "a long text " * 4000]
     rows = token_counts.count_tokens(clash(frame(spark, texts, [0, 1, 2, 2, None])), PATH).collect()
