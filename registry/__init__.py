@@ -1,6 +1,6 @@
 """Every operator as a named query over the test tables, with its SQL counterpart."""
 
 from . import catalog, features, files, names, privacy, profiling, text  # noqa: F401
-from .base import ORACLES, QUERIES
+from .base import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

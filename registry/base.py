@@ -8,9 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 # White space and tokens in RE2 spelling, which has no Unicode-aware classes.
 WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -18,16 +16,23 @@ WS = f"[{WS_CLASS}]+"
 TOKEN = rf"([\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{WS_CLASS}])"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query and its SQL; SQL that needs files is made by a function, when it is asked for."""
+
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql.strip()
+            ORACLES[name] = sql if callable(sql) else sql.strip()
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    """All SQL counterparts as texts."""
+    return {name: sql().strip() if callable(sql) else sql for name, sql in ORACLES.items()}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 

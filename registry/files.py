@@ -9,7 +9,7 @@ from tabloom.plans.training import create_training_set, preview_training_set
 from tabloom.session import scratch_path, scratch_table, shared_root
 from tabloom.sources import delimited as D, online, tables as T
 
-from .base import load, query, texts, texts_sql
+from .base import WS, load, query, settle, settled_sql, texts, texts_sql
 
 PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 SUPPLIER = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
@@ -67,6 +67,49 @@ def scan_txt_detect(spark, sf):
     return D.read_text_table(spark, write_lines(load(spark, sf, "supplier"), line, "suppkey name  acctbal", "words"))
 
 
+@query(
+    "scan_csv_mixed_headers",
+    """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CASE WHEN p_size <= 20 THEN p_brand END AS p_brand,
+         CASE WHEN p_size > 40 THEN p_type || chr(10) || 'x' END AS p_type FROM part""",
+)
+def scan_csv_mixed_headers(spark, sf):
+    """Three groups of files in one folder: other columns, in another order, one with records that span lines."""
+    rows, path = load(spark, sf, "part"), scratch_path(spark, "mixed")
+    for where, columns in {
+        "p_size <= 20": ["p_partkey", "p_brand", "p_name"],
+        "p_size > 20 AND p_size <= 40": ["p_name", "p_partkey"],
+        "p_size > 40": ["concat(p_type, '\\nx') AS p_type", "p_partkey", "p_name"],
+    }.items():
+        rows.where(where).selectExpr(*columns).write.options(header=True, escape='"').mode("append").csv(path)
+    return D.read_csv(spark, path)
+
+
+@query(
+    "scan_csv_long_rows",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE c_nationkey >= 3",
+)
+def scan_csv_long_rows(spark, sf):
+    line = "concat_ws(',', c_custkey, c_name, CASE WHEN c_nationkey < 3 THEN 'extra' END)"
+    path = write_lines(load(spark, sf, "customer"), line, "c_custkey,c_name", "long")
+    return D.read_csv(spark, path, long_rows="drop")
+
+
+@query(
+    "scan_csv_na_markers",
+    """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey,
+         CASE WHEN c_nationkey % 4 <> 1 THEN c_acctbal END AS c_acctbal,
+         CASE WHEN c_nationkey % 5 <> 2 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+)
+def scan_csv_na_markers(spark, sf):
+    rows = load(spark, sf, "customer").selectExpr(
+        "c_custkey",
+        "CASE WHEN c_nationkey % 3 = 0 THEN 'NA' ELSE string(c_nationkey) END AS c_nationkey",
+        "CASE WHEN c_nationkey % 4 = 1 THEN 'NaN' ELSE string(c_acctbal) END AS c_acctbal",
+        "CASE WHEN c_nationkey % 5 = 2 THEN 'n/a' ELSE c_mktsegment END AS c_mktsegment",
+    )
+    return D.read_lenient(spark, write_csv(rows, "markers", ","))
+
+
 @query("scan_training_set", f"SELECT {texts_sql(PART)} FROM part")
 def scan_training_set(spark, sf):
     path = scratch_path(spark, "training")
@@ -95,7 +138,23 @@ def online_json_rows(spark, sf):
         "CASE event_type WHEN 'click' THEN 'string' WHEN 'view' THEN 'list' ELSE 'hash' END AS kind",
         "CASE event_type WHEN 'click' THEN concat('[', props, ',', props, ']') ELSE props END AS payload",
     )
-    return online.json_rows(stored, "kind", "payload", "k: bigint", keep=["event_id"])
+    return online.json_rows(stored, "kind", "payload", keep=["event_id"])
+
+
+@query(
+    "online_json_schema",
+    """SELECT event_id, CASE WHEN event_type <> 'click' THEN user_id END AS user_id,
+         CASE WHEN event_type = 'click' THEN CAST(value AS DOUBLE) END AS value,
+         CASE WHEN event_type = 'view' THEN props END AS props FROM events""",
+)
+def online_json_schema(spark, sf):
+    """Payloads whose fields differ by event type; none holds all of them."""
+    stored = load(spark, sf, "events").selectExpr(
+        "'list' AS kind",
+        """CASE event_type WHEN 'click' THEN to_json(struct(event_id, value))
+           WHEN 'view' THEN to_json(struct(event_id, user_id, props)) ELSE to_json(struct(event_id, user_id)) END AS payload""",
+    )
+    return online.json_rows(stored, "kind", "payload").select("event_id", "user_id", "value", "props")
 
 
 @query(
@@ -170,6 +229,26 @@ def feature_group_create(spark, sf):
     return T.scan_table(spark, spec["table_name"]).drop(T.STAMP_COLUMN)
 
 
+TFIDF_SPEC = """{"featureGroupId": "g8", "tableName": "%s", "dataType": "csv",
+  "features": [{"name": "Event Id"}, {"name": "Props", "extractionAlgorithm": "TF-IDF"}]}"""
+
+
+@query(
+    "feature_group_tfidf",
+    f"""
+    WITH w AS (SELECT event_id, unnest(regexp_split_to_array(lower(event_type || ' ' || props), '{WS}')) AS term FROM events),
+    c AS (SELECT event_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+    d AS (SELECT term, count(*) AS df FROM c GROUP BY term)
+    SELECT CAST(event_id AS VARCHAR) AS event_id, term,
+      {settled_sql("tf * ln(((SELECT count(*) FROM events) + 1) / (df + 1))")} AS weight FROM c JOIN d USING (term)""",
+)
+def feature_group_tfidf(spark, sf):
+    source = load(spark, sf, "events").selectExpr("event_id AS `Event Id`", "concat(event_type, ' ', props) AS Props", "value AS Unused")
+    spec = create_feature_group(spark, TFIDF_SPEC % scratch_table("event_group"), write_csv(source, "group", "|"), shared_root(spark))
+    stored = T.scan_table(spark, spec["table_name"])
+    return settle(stored.select("event_id", F.explode("props_tfidf").alias("term", "weight")))
+
+
 @query("sink_training_csv", f"SELECT {texts_sql(CUSTOMER)} FROM customer")
 def sink_training_csv(spark, sf):
     path = scratch_path(spark, "training")
@@ -216,13 +295,25 @@ def drop_table(spark, sf):
     )
 
 
-@query("table_size")
+@query(
+    "table_size",
+    "SELECT unnest(['orders', 'part', 'supplier']) AS source, true AS matches",
+)
 def table_size(spark, sf):
-    names = []
+    """Sizes from listings against the sizes that Spark reports with the rows of each file."""
+    names = {}
     for source in ("supplier", "part", "orders"):
-        names.append(scratch_table(source))
-        T.save_feature_table(load(spark, sf, source), names[-1], scratch_path(spark, names[-1]))
-    return T.table_sizes(spark, [*names, "no_such_table"])
+        names[source] = scratch_table(source)
+        T.save_feature_table(load(spark, sf, source), names[source], scratch_path(spark, names[source]))
+    listed = T.table_sizes(spark, [*names.values(), "no_such_table"])
+    found = None
+    for source, table in names.items():
+        files = T.scan_table(spark, table).select("_metadata.file_path", "_metadata.file_size").distinct()
+        size = files.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"))
+        size = size.select(F.lit(table).alias("table_name"), F.lit(source).alias("source"), "files", "bytes")
+        found = size if found is None else found.unionByName(size)
+    same = (F.col("files") == F.col("n_files")) & (F.col("bytes") == F.col("total_bytes"))
+    return found.join(listed, "table_name", "left").select("source", F.coalesce(same, F.lit(False)).alias("matches"))
 
 
 @query("training_set_create", f"SELECT {texts_sql(SUPPLIER)}, '2024-01-02T03:04:05.000Z' AS fg_date FROM supplier")

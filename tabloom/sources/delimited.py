@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -12,6 +15,18 @@ NUMBER_PATTERN = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 INTEGER_PATTERN = "^\\s*[+-]?[0-9]+\\s*$"
 BOOLEAN_PATTERN = "^(?i)(true|false)$"
 
+# Marks that can separate fields.
+DELIMITERS = "\t,;|"
+
+# Texts that stand for a missing value in typed files.
+MISSING_MARKERS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+# What to do with a row that has more fields than its header.
+LONG_ROWS = ("fail", "drop")
+
 
 def first_line(spark: SparkSession, path: str | list[str]) -> str:
     row = spark.read.text(path).limit(1).collect()
@@ -19,15 +34,70 @@ def first_line(spark: SparkSession, path: str | list[str]) -> str:
 
 
 def delimiter_of(line: str, default: str = ",") -> str:
-    """The first tab, comma, semicolon or bar in a line."""
-    found = re.search("[\t,;|]", line)
-    return found.group() if found else default
+    """The delimiter that stands earliest in a line."""
+    places = {line.index(mark): mark for mark in DELIMITERS if mark in line}
+    return places[min(places)] if places else default
+
 
+def _open_quote(line: Column, delimiter: str) -> Column:
+    """True if a line ends inside a quoted field; a quote within a plain field opens nothing."""
+    mark = re.escape(delimiter)
+    closed = F.regexp_replace(line, f'(^|{mark})"(?:[^"]++|"")*+"(?=$|{mark})', "$1")
+    return closed.rlike(f'(?:^|{mark})"')
 
-def has_quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
-    """True if some line holds an odd number of quotes, as any broken record does."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+def file_headers(spark: SparkSession, path: str | list[str], delimiter: str) -> dict[str, tuple[str, bool]]:
+    """{file: (its first line, does a record of it span lines)}, for files that have lines.
+
+    One splittable pass; a row per file reaches the driver, as does the listing of files.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        # Only the task that reads the start of a file sees its first line, and sees it first.
+        F.when(F.col("_metadata.file_block_start") == 0, F.col("value")).alias("head"),
+        _open_quote(F.col("value"), delimiter).alias("open"),
+    )
+    found = lines.groupBy("file").agg(F.first("head", ignorenulls=True).alias("head"), F.bool_or("open").alias("open"))
+    return {unquote(r["file"]): (r["head"], r["open"]) for r in found.collect()}
+
+
+def _literal(path: str) -> str:
+    """A path whose special characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _rows(spark: SparkSession, path: str | list[str], delimiter: str, multi_line: bool, long_rows: str) -> DataFrame:
+    """Files that share one header; short rows are padded with nulls.
+
+    A row whose fields do not match the header arrives with its raw text beside it; it is
+    long if that has more delimiters outside quotes than the header. Column pruning is
+    off for this read, since a row cannot be judged by some of its fields.
+    """
+    if long_rows not in LONG_ROWS:
+        raise ValueError(f"long_rows must be one of {LONG_ROWS}")
+    options = {"header": True, "sep": delimiter, "escape": '"', "multiLine": multi_line}
+    # Names come from the first line alone unless a quote in it is still open.
+    named = spark.read.options(**{**options, "multiLine": first_line(spark, path).count('"') % 2 == 1}).csv(path)
+    header = named.columns
+    if not header:
+        return named
+    raw = "_raw"
+    while raw in header:
+        raw += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, raw]])
+    rows = (
+        spark.read.schema(schema)
+        .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, columnPruning=False)
+        .csv(path)
+    )
+    unquoted = F.regexp_replace(raw, '"(?:[^"]++|"")*+"', "")
+    delimiters = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
+    # Always true, and names a field: a plan that needs the raw text alone is refused.
+    readable = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0
+    fits = F.col(raw).isNull() | (delimiters < len(header))
+    if long_rows == "fail":
+        fits = fits | F.raise_error(F.concat(F.lit(f"a row has more than {len(header)} fields: "), F.col(raw))).cast("boolean")
+    return rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
 
 
 def read_csv(
@@ -35,22 +105,45 @@ def read_csv(
     path: str | list[str],
     delimiter: str | None = None,
     multi_line: bool | str = "auto",
+    long_rows: str = "fail",
 ) -> DataFrame:
-    """A CSV file or folder with a header and doubled quotes, all columns strings.
+    """CSV files with headers and doubled quotes, all columns strings.
 
-    The delimiter is found in the first line unless given. A multi-line file cannot be
-    split between tasks, so ``"auto"`` looks for records that span lines in a first,
-    splittable pass and reads in multi-line mode only where there are any.
+    The delimiter is found in the first line unless given. Files whose headers differ are
+    joined by column name; a column that a file lacks is null there. A row with more
+    fields than its header is an error, or is left out with ``long_rows="drop"``. A
+    multi-line file cannot be split between tasks, so ``"auto"`` reads in that mode only
+    the files in which a quoted field stays open at the end of a line.
     """
     delimiter = delimiter or delimiter_of(first_line(spark, path))
-    if multi_line == "auto":
-        multi_line = has_quoted_line_breaks(spark, path)
-    return spark.read.options(header=True, sep=delimiter, escape='"', multiLine=bool(multi_line)).csv(path)
+    files = file_headers(spark, path, delimiter)
+    broken = {f: o if multi_line == "auto" else bool(multi_line) for f, (_, o) in files.items()}
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for file, (head, _) in sorted(files.items()):
+        kinds.setdefault((head, broken[file]), []).append(_literal(file))
+    if len(kinds) < 2:
+        return _rows(spark, path, delimiter, any(broken.values()), long_rows)
+    parts = [_rows(spark, group, delimiter, spans, long_rows) for (_, spans), group in kinds.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = ",", long_rows: str = "fail") -> DataFrame:
+    """A file whose delimiter the caller knows, without type inference."""
+    return read_csv(spark, path, delimiter=delimiter, long_rows=long_rows)
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
-    """A file whose delimiter the caller knows, without type inference."""
-    return read_csv(spark, path, delimiter=delimiter)
+def blank_markers(df: DataFrame, markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
+    """Null in place of every text that stands for a missing value, in all string columns."""
+    markers = list(markers)
+    if not markers:
+        return df
+    strings = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(
+        *[
+            F.when(~F.col(f"`{n}`").isin(markers), F.col(f"`{n}`")).alias(n) if n in strings else F.col(f"`{n}`")
+            for n in df.columns
+        ]
+    )
 
 
 def _castable(c: Column, pattern: str) -> Column:
@@ -91,47 +184,39 @@ def read_lenient(
     path: str | list[str],
     file_type: str = "csv",
     infer_types: bool = True,
+    markers: Iterable[str] = MISSING_MARKERS,
 ) -> DataFrame:
     """The reader used before profiling: long rows are dropped, short rows padded with nulls.
 
-    A row whose fields do not match the header arrives with its raw text beside it; it is
-    long if that has more delimiters outside quotes than the header. Column pruning is
-    off for this read, since a row cannot be judged by some of its fields.
+    Texts that stand for missing values (``markers``) are null before types are found.
     """
     delimiter = "\t" if file_type == "tsv" else delimiter_of(first_line(spark, path))
-    multi_line = has_quoted_line_breaks(spark, path)
-    options = {"header": True, "sep": delimiter, "escape": '"', "multiLine": multi_line}
-    header = spark.read.options(**options).csv(path).columns
-    raw = "_raw"
-    while raw in header:
-        raw += "_"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, raw]])
-    rows = (
-        spark.read.schema(schema)
-        .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, columnPruning=False)
-        .csv(path)
-    )
-    unquoted = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
-    delimiters = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
-    # Always true, and names a field: a plan that needs the raw text alone is refused.
-    readable = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0
-    fits = F.col(raw).isNull() | (delimiters < len(header))
-    kept = rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
+    kept = blank_markers(read_csv(spark, path, delimiter, long_rows="drop"), markers)
     return infer_column_types(kept) if infer_types else kept
 
 
-def read_text_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A ``.txt`` table: tab or comma if the first line has one, else white space."""
+def read_text_table(spark: SparkSession, path: str | list[str], long_rows: str = "fail") -> DataFrame:
+    """A ``.txt`` table: separated as a CSV file if the first line has a delimiter, else by white space.
+
+    The first line of each file is its header and must be the same in all; blank lines
+    are skipped. A row with more fields than the header is an error, or is left out.
+    """
     line = first_line(spark, path)
-    for mark in ("\t", ",", ";", "|"):
-        if mark in line:
-            return read_csv(spark, path, delimiter=mark)
+    if any(mark in line for mark in DELIMITERS):
+        return read_csv(spark, path, delimiter_of(line), long_rows=long_rows)
     names = line.split()
-    fields = F.split(F.trim("value"), WHITESPACE_RUN)
-    rows = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != line))
-    return rows.select(*[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    # A separator that no text table holds leaves each line whole; the header of each file goes.
+    lines = spark.read.options(header=True, sep="\u0001", quote="", escape="\u0000").schema("value string").csv(path)
+    rows = lines.select(F.split(F.trim("value"), WHITESPACE_RUN).alias("_fields")).where("_fields[0] <> ''")
+    fits = F.size("_fields") <= len(names)
+    if long_rows == "fail":
+        fits = fits | F.raise_error(F.lit(f"a row has more than {len(names)} fields")).cast("boolean")
+    return rows.where(fits).select(*[F.get("_fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
 
+def read_training_set(spark: SparkSession, path: str, markers: Iterable[str] = ()) -> DataFrame:
+    """A training set: a folder of CSV files with headers, any number of them.
 
-def read_training_set(spark: SparkSession, path: str) -> DataFrame:
-    """A training set: a folder of CSV files with headers, any number of them."""
-    return read_csv(spark, path)
+    All columns are strings as written; ``markers`` names texts that stand for missing values.
+    """
+    return blank_markers(read_csv(spark, path), markers)

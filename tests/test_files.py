@@ -36,14 +36,44 @@ def test_first_delimiter_in_the_line_counts():
 
 def test_quoted_line_break_and_doubled_quotes(spark, tmp_path):
     path = write(tmp_path, 'a,b\n1,"two\nlines, ""quoted"""\n2,"plain ""q"""\n')
-    assert D.has_quoted_line_breaks(spark, path)
+    assert [spans for _, spans in D.file_headers(spark, path, ",").values()] == [True]
     assert rows(D.read_csv(spark, path)) == [("1", 'two\nlines, "quoted"'), ("2", 'plain "q"')]
 
 
 def test_file_without_line_breaks_stays_splittable(spark, tmp_path):
-    path = write(tmp_path, 'a,b\n1,"x ""y"""\n')
-    assert not D.has_quoted_line_breaks(spark, path)
-    assert rows(D.read_csv(spark, path)) == [("1", 'x "y"')]
+    path = write(tmp_path, 'a,b\n1,"x ""y"""\n2,5" pipe\n3,\n')
+    assert list(D.file_headers(spark, path, ",").values()) == [("a,b", False)]
+    assert rows(D.read_csv(spark, path)) == [("1", 'x "y"'), ("2", '5" pipe'), ("3", None)]
+
+
+def test_files_with_other_headers_join_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed [1] {x}"
+    folder.mkdir()
+    for name, text in {"1.csv": "a,b\n1,x\n", "2.csv": "b,a\ny,2\n", "3 3.csv": 'a,c\n3,"z\nz"\n', "4.csv": "a,b\n4,w\n", "5.csv": ""}.items():
+        write(folder, text, name)
+    df = D.read_csv(spark, D._literal(str(folder)))
+    assert df.columns == ["a", "b", "c"]
+    assert rows(df) == [("1", "x", None), ("2", "y", None), ("3", None, "z\nz"), ("4", "w", None)]
+
+
+def test_long_rows_fail_or_are_dropped(spark, tmp_path):
+    path = write(tmp_path, 'a,b\n1,x,EXTRA\n2,"q,q"\n')
+    with pytest.raises(Exception, match="more than 2 fields"):
+        D.read_csv(spark, path).collect()
+    with pytest.raises(Exception, match="more than 2 fields"):
+        D.read_csv(spark, path).select("a").count()
+    assert rows(D.read_csv(spark, path, long_rows="drop")) == [("2", "q,q")]
+    with pytest.raises(ValueError):
+        D.read_csv(spark, path, long_rows="cut")
+
+
+def test_missing_markers(spark, tmp_path):
+    path = write(tmp_path, "a,b,c\n1,NA,x\nn/a,2.5,null\n3,-nan,NAN\n")
+    df = D.read_lenient(spark, path)
+    assert df.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")]
+    assert rows(df) == [(1, None, "x"), (3, None, "NAN"), (None, 2.5, None)]
+    assert D.read_lenient(spark, path, markers=()).dtypes[0] == ("a", "string")
+    assert rows(D.read_training_set(spark, path, markers=["x"]))[0] == ("1", "NA", None)
 
 
 def test_lenient_reader(spark, tmp_path):
@@ -65,6 +95,12 @@ def test_type_inference(spark):
 def test_text_table_with_white_space(spark, tmp_path):
     spaced = write(tmp_path, "a  b\n1   x\n\n2   y\n", "g.txt")
     assert rows(D.read_text_table(spark, spaced)) == [("1", "x"), ("2", "y")]
+    like_header = write(tmp_path, 'a  b\n1 x\na  b\n  2 "y\n', "i.txt")
+    assert rows(D.read_text_table(spark, like_header)) == [("1", "x"), ("2", '"y'), ("a", "b")]
+    wide = write(tmp_path, "a b\n1 x y\n2 z\n", "j.txt")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        D.read_text_table(spark, wide).collect()
+    assert rows(D.read_text_table(spark, wide, long_rows="drop")) == [("2", "z")]
     commas = write(tmp_path, "a,b\n1,x\n", "h.txt")
     assert rows(D.read_text_table(spark, commas)) == [("1", "x")]
 
@@ -77,7 +113,18 @@ def test_online_rows(spark):
     assert rows(online.json_rows(df, "kind", "payload", "a: bigint", ["key"])) == [("k", 1), ("k", 2), ("l", 3)]
     members = spark.createDataFrame([("a:b:c",), ("plain",)], "m string")
     assert rows(online.set_members(members, "m")) == [("a:b:c", "c"), ("plain", "plain")]
-    assert online.payload_schema(df, "payload") == "ARRAY<STRUCT<a: BIGINT>>"
+    assert online.payload_schema(df, "kind", "payload") == "a: BIGINT"
+
+
+def test_online_schema_holds_all_payloads(spark):
+    data = [("list", '{"a": 1}'), ("list", '{"a": 2.5, "b c": "x"}'), ("string", '[{"n": {"v": null, "VOID": [1]}}, {"a": null}]'), ("list", "broken"), ("hash", '{"z": 1}'), ("list", None)]
+    df = spark.createDataFrame(data, "kind string, payload string")
+    got = online.json_rows(df, "kind", "payload")
+    assert set(got.columns) == {"a", "b c", "n"}
+    values = rows(got.select(got["a"].cast("double"), "`b c`", "n.VOID"))
+    assert (1.0, None, None) in values and (2.5, "x", None) in values and (None, None, [1]) in values
+    with pytest.raises(ValueError):
+        online.payload_schema(df.where("kind = 'hash'"), "kind", "payload")
 
 
 def test_names(spark):
@@ -122,6 +169,34 @@ def test_one_hot(spark):
     assert rows(got) == [("B c", 1, 0), ("a", 0, 1), (None, 0, 0)]
     with pytest.raises(ValueError):
         X.categories(df, "x", at_most=1)
+    many = spark.range(1500).selectExpr("string(id) AS x")
+    assert len(X.categories(many, "x")) == 1500
+    alike = spark.createDataFrame([("a b",), ("a_b",), ("A B",)], "c string")
+    assert X.one_hot(alike, "c").columns == ["c", "c_a_b", "c_a_b_2", "c_a_b_3"]
+
+
+def test_extraction_by_spec(spark):
+    df = spark.createDataFrame([("a b a", "x"), ("a", "y"), (None, None)], "t string, k string")
+    spec = {"features": [{"name": "t", "extraction_algorithm": "TF-IDF"}, {"name": "k", "extraction_algorithm": "OneHotLong"}]}
+    got = X.extract_features(df, spec)
+    assert got.columns == ["t", "k", "t_tfidf", "k_categories"]
+    found = {r.t: (set(r.t_tfidf or {}), r.k_categories) for r in got.collect()}
+    assert found == {"a b a": ({"a", "b"}, ["x"]), "a": ({"a"}, ["y"]), None: (set(), [])}
+    keyed = X.extract_features(df, {**spec, "row_key": "K"})
+    assert {r.t: set(r.t_tfidf or {}) for r in keyed.collect()} == {k: v for k, (v, _) in found.items()}
+    with pytest.raises(ValueError, match="Word2Vec"):
+        X.extract_features(df, {"features": [{"name": "t", "extraction_algorithm": "Word2Vec"}]})
+
+
+def test_jobs_leave_no_scratch(spark, tmp_path):
+    from tabloom.session import shared_root
+
+    before = set(os.listdir(shared_root(spark)))
+    path = write(tmp_path, "id,words\n1,a b\n2,b\n")
+    spec = {"tableName": scratch_table("tf"), "dataType": "csv", "features": [{"name": "id"}, {"name": "words", "extractionAlgorithm": "TF-IDF"}]}
+    done = ingest.create_feature_group(spark, spec, path, str(tmp_path / "tf"))
+    assert spark.table(done["table_name"]).count() == 2
+    assert set(os.listdir(shared_root(spark))) == before
 
 
 def test_feature_group_life(spark, tmp_path):
