@@ -97,11 +97,10 @@ def word_count_model_zoo(spark, sf):
     SELECT unnest([{sql_list(ENGLISH)}]) AS word
     UNION
     SELECT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '{WS}')) AS word
-                      FROM conversations WHERE role = 'system') WHERE word <> ''""",
+                      FROM conversations) WHERE word <> ''""",
 )
 def stopword_union(spark, sf):
-    system = load(spark, sf, "conversations").where("role = 'system'")
-    own = system.select(F.explode(T.words(F.lower("text"))).alias("word"))
+    own = load(spark, sf, "conversations").select(F.explode(T.words(F.lower("text"))).alias("word"))
     return stop_word_union(stop_word_frame(spark, list(ENGLISH)), own)
 
 
@@ -113,8 +112,11 @@ def text_lower(spark, sf):
 TOKENS = f"regexp_extract_all(text, '{TOKEN}', 1)"
 MARKS = T.PUNCTUATION.replace("'", "''")
 STRIPPED = f"list_transform({TOKENS}, lambda w: translate(w, '{MARKS}', ''))"
-LISTS = {code: bundled_list(code) for code in CODES}
-STOP_CASE = "CASE lang " + " ".join(f"WHEN '{c}' THEN [{sql_list(w)}]" for c, w in LISTS.items()) + " ELSE []::VARCHAR[] END"
+
+
+def stop_case() -> str:
+    lists = " ".join(f"WHEN '{c}' THEN [{sql_list(bundled_list(c))}]" for c in CODES)
+    return f"CASE lang {lists} ELSE []::VARCHAR[] END"
 
 
 @query(
@@ -136,10 +138,10 @@ def text_strip_punct(spark, sf):
 
 @query(
     "text_stopwords",
-    f"""
+    lambda: f"""
     SELECT doc_id, lang, array_to_string(
       list_filter(tokens, lambda w: NOT list_contains(stop, lower(w))), ' ') AS words
-    FROM (SELECT doc_id, lang, {TOKENS} AS tokens, {STOP_CASE} AS stop FROM documents)""",
+    FROM (SELECT doc_id, lang, {TOKENS} AS tokens, {stop_case()} AS stop FROM documents)""",
 )
 def text_stopwords(spark, sf):
     lists = {code: stop_words(code) for code in CODES}
@@ -173,6 +175,41 @@ def text_lemmatize(spark, sf):
     return done.select("doc_id", F.array_join("lemmas", " ").alias("words"))
 
 
+@query(
+    "lemma_null_and_repeated",
+    f"""
+    WITH t AS (SELECT doc_id, list_transform({TOKENS}, lambda w: lower(w)) AS tokens FROM documents),
+    v AS (SELECT DISTINCT unnest(tokens) AS form FROM t),
+    p AS (SELECT doc_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS w FROM t)
+    SELECT doc_id, string_agg(CASE WHEN len(w) > 5 AND w NOT LIKE '%t' THEN 'a' || w ELSE w END, ' ' ORDER BY i) AS words
+    FROM p GROUP BY doc_id""",
+)
+def lemma_null_and_repeated(spark, sf):
+    """A lexicon that lists each form twice, and some with a null lemma."""
+    documents = load(spark, sf, "documents")
+    tokens = documents.select("doc_id", T.tokenize("text").alias("tokens"))
+    forms = documents.select(F.explode(F.transform(T.tokenize("text"), F.lower)).alias("form")).distinct().where("length(form) > 5")
+    one = forms.select("form", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("head"))
+    given = one.select("form", F.when(~F.col("form").endswith("t"), F.concat("head", "form")).alias("lemma"))
+    done = lemmatize_with_table(tokens, "doc_id", "tokens", given, "lemmas")
+    return done.select("doc_id", F.array_join("lemmas", " ").alias("words"))
+
+
+@query(
+    "word_count_long_list",
+    f"""
+    WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '{WS}')) AS word FROM documents),
+    s AS (SELECT unnest(regexp_split_to_array(lower(text), '{WS}')) AS word FROM benchmark)
+    SELECT word, count(*) AS frequency FROM w
+    WHERE word <> '' AND word NOT IN ({sql_list(ENGLISH)}) AND word NOT IN (SELECT word FROM s)
+    GROUP BY word ORDER BY frequency DESC, word LIMIT 50""",
+)
+def word_count_long_list(spark, sf):
+    """A second stop list from a table, anti-joined after counting."""
+    listed = load(spark, sf, "benchmark").select(F.explode(T.words(F.lower("text"))).alias("word")).distinct()
+    return top_words(load(spark, sf, "documents"), "text", stop_frame=listed)
+
+
 # Fixed value: a few irregular forms, as a caller would give them.
 SMALL_LEXICON = {"was": "be", "were": "be", "has": "have", "had": "have", "les": "le", "des": "de"}
 LEMMA_CASE = "CASE w " + " ".join(f"WHEN '{f}' THEN '{l}'" for f, l in SMALL_LEXICON.items()) + " ELSE w END"
@@ -180,9 +217,9 @@ LEMMA_CASE = "CASE w " + " ".join(f"WHEN '{f}' THEN '{l}'" for f, l in SMALL_LEX
 
 @query(
     "text_clean",
-    f"""
+    lambda: f"""
     SELECT doc_id, array_to_string(list_transform(
-      list_filter(list_transform({STRIPPED}, lambda w: lower(w)), lambda w: NOT list_contains({STOP_CASE}, w)),
+      list_filter(list_transform({STRIPPED}, lambda w: lower(w)), lambda w: NOT list_contains({stop_case()}, w)),
       lambda w: {LEMMA_CASE}), ' ') AS text
     FROM documents""",
 )

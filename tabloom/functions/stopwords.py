@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from importlib import resources
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# The English stop words.
-ENGLISH = tuple(
-    """
-a about above after again against ain all am an and any are aren aren't as at be because
-been before being below between both but by can couldn couldn't d did didn didn't do does
-doesn doesn't doing don don't down during each few for from further had hadn hadn't has hasn
-hasn't have haven haven't having he he'd he'll her here hers herself he's him himself his
-how i i'd if i'll i'm in into is isn isn't it it'd it'll it's its itself i've just ll m ma
-me mightn mightn't more most mustn mustn't my myself needn needn't no nor not now o of off
-on once only or other our ours ourselves out over own re s same shan shan't she she'd she'll
-she's should shouldn shouldn't should've so some such t than that that'll the their theirs
-them themselves then there these they they'd they'll they're they've this those through to
-too under until up ve very was wasn wasn't we we'd we'll we're were weren weren't we've what
-when where which while who whom why will with won won't wouldn wouldn't y you you'd you'll
-your you're yours yourself yourselves you've
-""".split()
-)
+# The English stop words, one per line of a data file.
+_LISTS = resources.files(__package__.split(".")[0]).joinpath("data", "stopwords")
+ENGLISH = tuple(_LISTS.joinpath("english.txt").read_text(encoding="utf-8").split())
 
 # Language codes and the names Spark gives its bundled lists.
 LANGUAGE_NAMES = {
@@ -42,11 +31,24 @@ LANGUAGE_NAMES = {
 }
 
 
-def stop_words(language: str) -> list[str]:
-    """The list for a language code or name: fixed for English, Spark's for the others."""
+def stop_words(language: str, folder: str | None = None) -> list[str]:
+    """The list for a language code or name.
+
+    A ``folder`` on the driver holds one-word-per-line files named by language, for lists
+    of the caller's own, such as Indonesian; a file there wins. Without one, English is
+    fixed and the others are Spark's own lists.
+    """
     name = LANGUAGE_NAMES.get(language, language)
+    if folder:
+        for file in (f"{name}.txt", name):
+            path = os.path.join(folder, file)
+            if os.path.exists(path):
+                with open(path, encoding="utf-8") as f:
+                    return [w.strip().lower() for w in f if w.strip()]
     if name == "english":
         return list(ENGLISH)
+    if name not in LANGUAGE_NAMES.values():
+        raise ValueError(f"no stop words for {language}: give a folder that holds a list")
     return list(StopWordsRemover.loadDefaultStopWords(name))
 
 

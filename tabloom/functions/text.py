@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from .names import WHITESPACE_CLASS, WHITESPACE_RUN
 
-# Fixed value: the 32 ASCII punctuation marks, and the pattern class that holds just them.
+# Fixed value: the 32 ASCII punctuation marks.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PUNCTUATION_CLASS = "\\p{Punct}"
 
 # A run of word characters (letters, marks, digits, underscore) of any script, or one other mark.
 TOKEN_PATTERN = f"(?U)(\\w+|[^\\w{WHITESPACE_CLASS}])"
@@ -38,7 +37,7 @@ def tokenize(c: Column | str) -> Column:
 
 
 def _stripped(word: Column) -> Column:
-    return F.regexp_replace(word, PUNCTUATION_CLASS, "")
+    return F.translate(word, PUNCTUATION, "")
 
 
 def strip_punctuation(tokens: Column | str) -> Column:
@@ -113,6 +112,3 @@ def clean_text(
         tokens = lemmatize(tokens, lexicon or {}, lowered)
     return F.array_join(tokens, " ")
 
-
-def with_clean_text(df: DataFrame, column: str, output: str, **options) -> DataFrame:
-    return df.withColumn(output, clean_text(column, **options))

@@ -50,16 +50,18 @@ def pending_queue(df: DataFrame, status: str, name: str | None = None, format_co
 
 
 def catalog_items(
-    datasets: DataFrame, versions: DataFrame, files: DataFrame, types: Iterable[str] = PROFILED_TYPES
+    datasets: DataFrame, versions: DataFrame, files: DataFrame, types: Iterable[str] | None = PROFILED_TYPES
 ) -> DataFrame:
-    """Datasets with the file of their latest version, for files that can be profiled.
+    """Datasets with the file of their latest version, for files that can be profiled, or of all types for ``None``.
 
     Reads ``dataset(datasetid, latest_version, dataset_preprocessed)``,
     ``file_item_version(version_id, file_item_id)`` and ``file_item(id, file_type)``.
     """
+    if types is not None:
+        files = files.where(F.col("file_type").isin(*types))
     return (
         datasets.join(versions, F.col("version_id") == F.col("latest_version"))
-        .join(files.where(F.col("file_type").isin(*types)), F.col("id") == F.col("file_item_id"))
+        .join(files, F.col("id") == F.col("file_item_id"))
         .select("datasetid", "id", "file_type", "dataset_preprocessed")
     )
 
@@ -73,6 +75,7 @@ def item_by_id(items: DataFrame, file_id) -> DataFrame:
 
 
 def item_status(items: DataFrame, file_id) -> DataFrame:
+    """The status of a file; ``items`` should hold files of all types, since any file has one."""
     return item_by_id(items, file_id).select("dataset_preprocessed")
 
 
@@ -90,8 +93,12 @@ def listing_total(df: DataFrame, **wanted) -> DataFrame:
 def set_status(df: DataFrame, key: str, status: str, updates: DataFrame) -> DataFrame:
     """The table with new statuses from ``updates(key, new_status)``; other rows unchanged.
 
-    A null in ``new_status`` is a value like any other. ``updates`` has one row per key.
+    A null in ``new_status`` is a value like any other; a number that is no status is an
+    error. ``updates`` has one row per key.
     """
+    known = F.col("new_status").isNull() | F.col("new_status").isin([s for s in STATUSES if s is not None])
+    wrong = F.raise_error(F.concat(F.lit("not a status: "), F.col("new_status").cast("string")))
+    updates = updates.withColumn("new_status", F.when(known, F.col("new_status")).otherwise(wrong.cast(updates.schema["new_status"].dataType)))
     changes = updates.select(F.col(key), F.col("new_status"), F.lit(True).alias("_changed"))
     joined = df.join(changes, key, "left")
     new = F.when(F.col("_changed"), F.col("new_status")).otherwise(F.col(status))
@@ -125,13 +132,18 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = N
     """Insert new keys and overwrite the changed columns of known ones.
 
     A null in a change wins over the old value. Where a key is changed more than once, the
-    row with the highest ``order`` counts. A small set of changes is broadcast, and the
-    table then does not move.
+    row with the highest ``order`` counts; without ``order`` it is an error. A small set of
+    changes is broadcast, and the table then does not move.
     """
     columns = [c for c in changes.columns if c not in (key, order)]
     if order:
         latest = F.max_by(F.struct(*columns), F.col(order)).alias("_row")
         changes = changes.groupBy(key).agg(latest).select(key, "_row.*")
+    else:
+        once = F.count(F.lit(1)) == 1
+        twice = F.raise_error(F.concat(F.lit("changed more than once, and no order is given: "), F.col(key).cast("string")))
+        only = changes.groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"), once.alias("_once"))
+        changes = only.where(F.col("_once") | twice.cast("boolean")).select(key, "_row.*")
     marked = changes.select(
         F.col(key), F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import names, text
 from ..functions.stopwords import stop_words
-from ..session import written
+from ..session import Scratch, written
 from ..sources.tables import STAMP_COLUMN
-from .joins import spread_join
+from .joins import split_join
 
 READY_STATUS = "SUCCESS"
 
@@ -38,17 +38,10 @@ def _camel(name: str) -> str:
     return head + "".join(p.capitalize() for p in rest)
 
 
-def snake_keys(value: Any) -> Any:
-    if isinstance(value, dict):
-        return {names.snake_text(k): snake_keys(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [snake_keys(v) for v in value]
-    return value
-
-
 def parse_spec(spec: str | dict) -> dict:
-    """A feature-group spec held by the driver, with snake-case keys at every level."""
-    return snake_keys(json.loads(spec) if isinstance(spec, str) else spec)
+    """A feature-group spec held by the driver; the JSON reader names every key in snake case."""
+    text = spec if isinstance(spec, str) else json.dumps(spec)
+    return json.loads(text, object_pairs_hook=lambda pairs: {names.snake_text(k): v for k, v in pairs})
 
 
 def spec_features(df: DataFrame, spec: str, keep: Iterable[str] = ()) -> DataFrame:
@@ -121,19 +114,28 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def lemmatize_with_table(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, output: str) -> DataFrame:
+def known_forms(lexicon: DataFrame) -> DataFrame:
+    """One lemma per form: the least of those given; entries with a null are left out."""
+    given = lexicon.where("form IS NOT NULL AND lemma IS NOT NULL")
+    return given.groupBy("form").agg(F.min("lemma").alias("lemma"))
+
+
+def lemmatize_with_table(
+    df: DataFrame, key: str, tokens: str, lexicon: DataFrame, output: str, scratch: Scratch | None = None
+) -> DataFrame:
     """Replace the known forms of a token array by a ``(form, lemma)`` table of any size.
 
-    A short lexicon becomes part of the expression and nothing moves. A longer one meets
-    the distinct tokens of the rows only once, and what comes back to a row is the lemmas
-    of its own tokens. ``key`` must be unique.
+    The lexicon is cleaned and written once. A short one becomes part of the expression
+    and nothing moves. A longer one meets the distinct tokens of the rows only once, and
+    what comes back to a row is the lemmas of its own tokens. ``key`` must be unique.
     """
-    head = lexicon.select("form", "lemma").limit(INLINE_LEXICON + 1).collect()
+    known = written(known_forms(lexicon), "lexicon", scratch)
+    head = known.limit(INLINE_LEXICON + 1).collect()
     if len(head) <= INLINE_LEXICON:
         return df.withColumn(output, text.lemmatize(F.col(tokens), {r.form: r.lemma for r in head}))
     low = df.withColumn(output, F.transform(tokens, F.lower))
-    pairs = written(low.select(key, F.explode(F.array_distinct(output)).alias("form")), "forms")
-    found = spread_join(pairs, lexicon.select("form", "lemma").dropDuplicates(["form"]), "form")
+    pairs = low.select(key, F.explode(F.array_distinct(output)).alias("form"))
+    found = pairs.join(known, "form")  # both sides come straight from a shuffle, so frequent forms are split
     maps = found.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas")
     )
@@ -148,38 +150,47 @@ def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
     return terms.where("term <> ''").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
+def tfidf(df: DataFrame, key: str, column: str, scratch: Scratch | None = None) -> DataFrame:
     """``(key, term, tf, df, tfidf)`` with ``tf * ln((N + 1) / (df + 1))``; N counts all rows.
 
     The term counts are written once, since both the document counts and the weights are
-    made from them. A term found in most rows stays where it is: see ``spread_join``.
+    made from them. Terms found in most rows are split between tasks: see ``split_join``.
     """
-    counts = written(term_counts(df, key, column), "terms")
+    counts = written(term_counts(df, key, column), "terms", scratch)
     docs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    both = spread_join(counts, docs, "term")
+    both = split_join(counts, docs, "term", scratch=scratch)
     n = df.agg(F.count(F.lit(1))).scalar()
     weight = F.col("tf") * F.log((n + 1) / (F.col("df") + 1))
     return both.select(key, "term", "tf", "df", weight.alias("tfidf"))
 
 
-def categories(df: DataFrame, column: str, at_most: int = 1000) -> list[str]:
-    """The sorted values of a column of few values; more than ``at_most`` is an error."""
-    rows = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct().limit(at_most + 1)
-    found = sorted(r.v for r in rows.collect())
-    if len(found) > at_most:
+def categories(df: DataFrame, column: str, at_most: int | None = None) -> list[str]:
+    """The sorted values of a column; more than ``at_most``, if given, is an error.
+
+    They come to the driver, since each becomes a column: for a column of unboundedly many
+    values set a bound, or use ``one_hot_long``.
+    """
+    rows = df.select(F.col(f"`{column}`").cast("string").alias("v")).where("v is not null").distinct()
+    found = sorted(r.v for r in (rows if at_most is None else rows.limit(at_most + 1)).collect())
+    if at_most is not None and len(found) > at_most:
         raise ValueError(f"{column} has over {at_most} values: use one_hot_long")
     return found
 
 
-def one_hot(df: DataFrame, column: str, values: Iterable[str] | None = None) -> DataFrame:
-    """One 0/1 column per category, named ``<column>_<category>``, after the given columns."""
-    values = categories(df, column) if values is None else list(values)
-    flags = [
-        F.coalesce((F.col(column).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(
-            f"{column}_{names.clean_name_text(v)}"
-        )
-        for v in values
-    ]
+def one_hot(df: DataFrame, column: str, values: Iterable[str] | None = None, at_most: int | None = None) -> DataFrame:
+    """One 0/1 column per category, named ``<column>_<category>``, after the given columns.
+
+    Categories whose clean names are equal, or equal to a column, get a number behind.
+    """
+    values = categories(df, column, at_most) if values is None else list(values)
+    taken, flags = set(df.columns), []
+    for v in values:
+        base = name = f"{column}_{names.clean_name_text(v)}"
+        k = 2
+        while name in taken:
+            name, k = f"{base}_{k}", k + 1
+        taken.add(name)
+        flags.append(F.coalesce((F.col(f"`{column}`").cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(name))
     return df.select("*", *flags)
 
 
@@ -190,26 +201,40 @@ def one_hot_long(df: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def extract_features(df: DataFrame, spec: Mapping, key: str | None = None) -> DataFrame:
+# Extraction algorithms by their names without marks; no name is no extraction.
+ALGORITHMS = ("", "none", "onehot", "onehotencoding", "onehotlong", "tfidf")
+
+
+def extract_features(df: DataFrame, spec: Mapping, key: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Apply each feature's extraction: text cleaning in place, one-hot flags, TF-IDF maps.
 
-    A TF-IDF feature turns into a map from term to weight and needs ``key``, a unique column.
+    A TF-IDF feature turns into a map from term to weight by row. Rows are told apart by
+    ``key`` or the spec's ``row_key``, a unique column; without one, rows are numbered and
+    written first. ``OneHotLong`` gives an array of the categories instead of a column for
+    each. Algorithms that are not known are an error.
     """
-    out = df
+    key = key or (names.clean_name_text(spec["row_key"]) if spec.get("row_key") else None)
+    out, numbered = df, None
     for feature in spec["features"]:
         column = names.clean_name_text(feature["name"])
-        algorithm = names.snake_text(feature.get("extraction_algorithm") or "").replace("-", "").replace("_", "")
+        named = feature.get("extraction_algorithm") or ""
+        algorithm = names.snake_text(named).replace("-", "").replace("_", "").replace(" ", "")
+        if algorithm not in ALGORITHMS:
+            raise ValueError(f"unknown extraction algorithm: {named}")
         methods = feature.get("text_cleaning") or []
         if methods:
             stop = stop_words(feature.get("language") or "english") if "remove_stop_words" in methods else []
             out = out.withColumn(column, text.clean_text(F.col(column), methods, stop))
-        if algorithm == "onehot":
-            out = one_hot(out, column)
+        if algorithm in ("onehot", "onehotencoding"):
+            out = one_hot(out, column, at_most=feature.get("at_most"))
+        elif algorithm == "onehotlong":
+            out = out.withColumn(f"{column}_categories", F.array_compact(F.array(F.col(column).cast("string"))))
         elif algorithm == "tfidf":
             if key is None:
-                raise ValueError("TF-IDF needs a unique key column")
-            weights = tfidf(out, key, column).groupBy(key).agg(
+                key = numbered = "_row"
+                out = written(out.withColumn(numbered, F.monotonically_increasing_id()), "rows", scratch)
+            weights = tfidf(out, key, column, scratch).groupBy(key).agg(
                 F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tfidf")))).alias(f"{column}_tfidf")
             )
             out = out.join(weights, key, "left")
-    return out
+    return out.drop(numbered) if numbered else out

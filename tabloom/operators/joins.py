@@ -2,45 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# Keys treated as frequent; the list of them never exceeds this many rows.
-HOT_KEYS = 1000
+from ..session import Scratch, written
 
-# Parts a frequent key is split into.
-SALTS = 64
 
+def split_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", scratch: Scratch | None = None) -> DataFrame:
+    """Join whose frequent keys are split between tasks, with a few rows per key in ``one``.
 
-def hot_keys(many: DataFrame, key: str) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` rows. Counts are partial before the shuffle."""
-    frequency = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return frequency.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
-
-
-def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """Inner join whose frequent keys do not move.
-
-    They meet their matches by broadcast; all others are shuffled, where no single key
-    can be large any more. ``one`` has few rows per key. ``many`` is read three times and
-    should be a table rather than a costly plan.
-    """
-    frequent = F.broadcast(hot_keys(many, key))
-    by_broadcast = many.join(F.broadcast(one.join(frequent, key, "left_semi")), key)
-    by_shuffle = many.join(frequent, key, "left_anti").join(one, key)
-    return by_broadcast.unionByName(by_shuffle.select(*by_broadcast.columns))
-
-
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join of any left type whose frequent keys are split between tasks.
-
-    A row with a frequent key goes to one of ``SALTS`` parts by a hash of the row, which
-    a repeated task computes again; the matches of such a key are copied to every part.
+    Adaptive execution splits the large partitions of a sort-merge join, of as many keys as
+    are large, but only where both sides come straight from a shuffle for that join. An
+    aggregate by the key does not; written first and read back, it does. ``one`` is
+    therefore always written, by a job that runs at once, and then read as it is.
     """
-    frequent = F.broadcast(hot_keys(many, key).withColumn("_hot", F.lit(True)))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
-    left = many.join(frequent, key, "left").withColumn("_salt", part).drop("_hot")
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(
-        F.array(F.lit(0).cast("bigint"))
-    )
-    right = one.join(frequent, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return many.join(written(one, "join-side", scratch), key, how)

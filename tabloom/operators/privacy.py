@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import WHITESPACE_CLASS
-from ..session import written
-from .joins import salted_join, spread_join
+from ..session import Scratch, written
+from .joins import split_join
 from .profile.columns import sql_text
 from ..functions.privacy import (
     ENTITY_HINTS,
@@ -48,8 +48,12 @@ def sample_cells(df: DataFrame, key: list[str], columns: list[str] | None = None
     hashed = present.select("column_name", *key, F.md5(F.concat_ws("|", "column_name", *key)).alias("_hash"))
     order = Window.partitionBy("column_name").orderBy("_hash", *key)
     winners = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_hash")
-    # At most n rows per column.
-    return present.join(F.broadcast(winners), ["column_name", *key]).select("column_name", *key, "rank", "value")
+    # At most n rows per column. Keys may be null and still name a row.
+    few = winners.select(F.col("column_name").alias("_column"), *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], "rank")
+    same = F.col("column_name") == F.col("_column")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return present.join(F.broadcast(few), same).select("column_name", *key, "rank", "value")
 
 
 def count_patterns(df: DataFrame, text: str) -> DataFrame:
@@ -87,17 +91,20 @@ def _word_runs(words: str, longest: int) -> Column:
     return F.concat(*runs)
 
 
-def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 1) -> DataFrame:
+def gazetteer_counts(
+    df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """``(keys, label, n)``: names from a ``(name, label)`` table found in a text column.
 
-    Names are lower-case runs of up to ``longest`` words. A table of at most
+    Names are lower-case runs of up to ``longest`` words, by default as many as the longest
+    name has. The names are written once. A table of at most
     ``BROADCAST_NAMES`` names goes to the words, and only matches are counted. A longer
     table is joined by shuffle after equal words of one key have been counted, so that a
     frequent word is one row per key.
     """
-    names = gazetteer.select("name", "label").distinct()
+    names = written(gazetteer.select("name", "label").distinct(), "names", scratch)
     size = names.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("name", " "))).alias("longest")).first()
-    longest = min(longest, size.longest or 1)
+    longest = min(longest or size.longest or 1, size.longest or 1)
     if longest == 1:
         found = df.select(*keys, F.explode(bare_words(text)).alias("name"))
     else:
@@ -105,11 +112,12 @@ def gazetteer_counts(df: DataFrame, keys: list[str], text: str, gazetteer: DataF
         found = words.select(*keys, F.explode(_word_runs("_words", longest)).alias("name"))
     if size.n <= BROADCAST_NAMES:
         return found.join(F.broadcast(names), "name").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n")), "words")
-    return spread_join(counts, names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+    counts = written(found.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n")), "words", scratch)
+    # Both sides are scans, so a word of very many keys is split.
+    return counts.join(names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
-def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int = 1) -> DataFrame:
+def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int | None = None) -> DataFrame:
     """``(key, label, n)`` for the labels found in every document; n is above 0."""
     pairs = ", ".join(f"'{label}', n_{label}" for label in ENTITY_PATTERNS)
     counted = count_patterns(df.select(key, text), text)
@@ -119,7 +127,7 @@ def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | Non
     return counts.unionByName(gazetteer_counts(df, [key], text, gazetteer, longest))
 
 
-def _column_totals(sample: DataFrame, gazetteer: DataFrame | None, longest: int) -> DataFrame:
+def _column_totals(sample: DataFrame, gazetteer: DataFrame | None, longest: int | None) -> DataFrame:
     counted = count_patterns(sample.select("column_name", "value"), "value")
     per_cell = reduce(lambda a, b: a + b, [F.col(f"n_{label}") for label in ENTITY_PATTERNS])
     totals = counted.groupBy("column_name").agg(
@@ -147,7 +155,7 @@ def pii_columns(
     key: list[str],
     columns: list[str] | None = None,
     gazetteer: DataFrame | None = None,
-    longest: int = 1,
+    longest: int | None = None,
     n: int = PII_SAMPLE_ROWS,
     threshold: float = PII_THRESHOLD,
 ) -> DataFrame:
@@ -163,7 +171,7 @@ def pii_columns_full(
     df: DataFrame,
     columns: list[str],
     gazetteer: DataFrame | None = None,
-    longest: int = 1,
+    longest: int | None = None,
     threshold: float = PII_THRESHOLD,
 ) -> DataFrame:
     """As ``pii_columns`` over all values instead of a sample."""
@@ -185,7 +193,7 @@ def eye_boxes(points: DataFrame, images: DataFrame) -> DataFrame:
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "image_id") -> DataFrame:
     """The primary detections, and the fallback's for images where the primary has none."""
-    unmatched = salted_join(fallback, primary.select(key).distinct(), key, "left_anti")
+    unmatched = split_join(fallback, primary.select(key).distinct(), key, "left_anti")
     return primary.unionByName(unmatched.select(*primary.columns))
 
 

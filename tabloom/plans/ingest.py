@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.names import clean_column_names, clean_name_text, clean_table_name_text
 from ..operators.features import extract_features, parse_spec, select_features
+from ..session import Scratch
 from ..sources.delimited import read_csv, read_delimited
 from ..sources.tables import append_rows, save_feature_table
 
@@ -33,10 +34,10 @@ def append_csv(
     return name
 
 
-def feature_rows(source: DataFrame, spec: dict, key: str | None = None) -> DataFrame:
+def feature_rows(source: DataFrame, spec: dict, key: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Clean the names, project the spec's features and extract them."""
     chosen = select_features(clean_column_names(source), [f["name"] for f in spec["features"]])
-    return extract_features(chosen, spec, key)
+    return extract_features(chosen, spec, key, scratch)
 
 
 def create_feature_group(
@@ -46,7 +47,8 @@ def create_feature_group(
     spec = parse_spec(spec)
     if spec.get("data_type") not in READABLE_TYPES:
         raise ValueError(f"data type must be one of {READABLE_TYPES}")
-    rows = feature_rows(read_csv(spark, path), spec)
     keys = [clean_name_text(k) for k in spec.get("partition_keys") or []]
-    save_feature_table(rows, spec["table_name"], os.path.join(root, spec["table_name"]), keys, stamp_at)
+    with Scratch(spark) as scratch:  # intermediate tables go when the feature table is stored
+        rows = feature_rows(read_csv(spark, path), spec, scratch=scratch)
+        save_feature_table(rows, spec["table_name"], os.path.join(root, spec["table_name"]), keys, stamp_at)
     return {**spec, "status": "SUCCESS"}

@@ -54,12 +54,56 @@ def scratch_table(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared folder, for plans that read them several times.
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that holds it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    Later steps read only the columns they need, and a lost executor costs one task of a
-    file read instead of the whole computation.
+
+class Scratch:
+    """Tables written to the shared folder, with an owner that removes them.
+
+    Operators that write intermediate tables take the ``Scratch`` of their caller: a job
+    that stores its result closes it at the end, and nothing is left in the folder. What a
+    lazy result still reads must stay until that result has been used. ``drop`` removes
+    single tables as soon as nothing reads them.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """The rows written once, for plans that read them several times.
+
+        Later steps read only the columns they need, and a lost executor costs one task of
+        a file read instead of the whole computation.
+        """
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(back)] = path
+        back._scratch = self  # keeps the id taken while the table is known
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self._paths.pop(id(frame), None)
+            if path:
+                drop_path(self.spark, path)
+
+    def close(self) -> None:
+        for path in self._paths.values():
+            drop_path(self.spark, path)
+        self._paths.clear()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def written(df: DataFrame, label: str, scratch: Scratch | None = None) -> DataFrame:
+    """The rows written once to the shared folder, owned by ``scratch`` if there is one."""
+    return (scratch or Scratch(df.sparkSession)).write(df, label)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text as T
 from tabloom.functions.stopwords import ENGLISH, read_stop_words, stop_word_frame, stop_words
-from tabloom.operators import features as X, joins as J
+from tabloom.operators import features as X
 from tabloom.operators.word_count import top_words
 
 
@@ -70,10 +70,30 @@ def test_large_lexicon_gives_the_same_as_a_small_one(spark, monkeypatch):
     assert [r.lemmas for r in large] == [["cat", "x", "cat"], [], ["mouse"]]
 
 
-def test_tfidf_with_few_hot_terms(spark, monkeypatch):
+def test_lexicon_with_nulls_and_repeats_is_the_same_on_both_sides(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["ran", "ox", "geese", None])], "id int, tokens array<string>")
+    given = [("ran", "run"), ("ran", "go"), ("ox", None), (None, "x"), ("geese", "goose")]
+    lexicon = spark.createDataFrame(given, "form string, lemma string")
+    for limit in (2000, 1):
+        monkeypatch.setattr(X, "INLINE_LEXICON", limit)
+        got = X.lemmatize_with_table(df, "id", "tokens", lexicon, "lemmas").first().lemmas
+        assert got == ["go", "ox", "goose", None]
+
+
+def test_tfidf(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "a c"), (3, "")], "id int, t string")
-    want = sorted(tuple(r) for r in X.tfidf(df, "id", "t").collect())
-    monkeypatch.setattr(J, "HOT_KEYS", 1)
     got = sorted(tuple(r) for r in X.tfidf(df, "id", "t").collect())
-    assert got == want and len(got) == 4
-    assert got[0][:4] == (1, "a", 2, 2)
+    assert [g[:4] for g in got] == [(1, "a", 2, 2), (1, "b", 1, 1), (2, "a", 1, 2), (2, "c", 1, 1)]
+
+
+def test_stop_words_of_the_caller(spark, tmp_path):
+    (tmp_path / "indonesian.txt").write_text("Yang\n\ndan\n", encoding="utf-8")
+    assert stop_words("indonesian", str(tmp_path)) == ["yang", "dan"]
+    assert stop_words("en", str(tmp_path)) == list(ENGLISH)
+    assert "und" in stop_words("de")
+    try:
+        stop_words("indonesian")
+    except ValueError as e:
+        assert "folder" in str(e)
+    else:
+        raise AssertionError
