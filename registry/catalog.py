@@ -22,11 +22,11 @@ PRIORITY_TYPE = (
 )
 ORDER_STATUS = "CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 0 ELSE 2 END"
 
-ITEMS_SQL = f"""
+ALL_ITEMS_SQL = f"""
     SELECT c_custkey AS datasetid, o_orderkey AS id, {PRIORITY_TYPE} AS file_type,
            {SEGMENT_STATUS} AS dataset_preprocessed
-    FROM customer JOIN orders ON o_custkey = c_custkey
-    WHERE {PRIORITY_TYPE} IN ('csv', 'tsv', 'xls', 'xlsx', 'sav')"""
+    FROM customer JOIN orders ON o_custkey = c_custkey"""
+ITEMS_SQL = f"SELECT * FROM ({ALL_ITEMS_SQL}) WHERE file_type IN ('csv', 'tsv', 'xls', 'xlsx', 'sav')"
 
 
 def datasets(spark, sf):
@@ -35,11 +35,11 @@ def datasets(spark, sf):
     )
 
 
-def items(spark, sf):
+def items(spark, sf, types=C.PROFILED_TYPES):
     orders = load(spark, sf, "orders")
     versions = orders.selectExpr("o_custkey AS version_id", "o_orderkey AS file_item_id")
     files = orders.selectExpr("o_orderkey AS id", f"{PRIORITY_TYPE} AS file_type")
-    return C.catalog_items(datasets(spark, sf), versions, files)
+    return C.catalog_items(datasets(spark, sf), versions, files, types)
 
 
 @query(
@@ -89,9 +89,15 @@ def catalog_by_id(spark, sf):
     return C.item_by_id(items(spark, sf), 25)
 
 
-@query("catalog_status", f"SELECT dataset_preprocessed FROM ({ITEMS_SQL}) WHERE id = 77")
+PDF_SQL = f"(SELECT min(id) FROM ({ALL_ITEMS_SQL}) WHERE file_type = 'pdf' AND dataset_preprocessed IS NOT NULL)"
+
+
+@query("catalog_status", f"SELECT dataset_preprocessed FROM ({ALL_ITEMS_SQL}) WHERE id = {PDF_SQL}")
 def catalog_status(spark, sf):
-    return C.item_status(items(spark, sf), 77)
+    """The status of a file of a type that is not profiled."""
+    every = items(spark, sf, types=None)
+    wanted = every.where("file_type = 'pdf' AND dataset_preprocessed IS NOT NULL").agg(F.min("id")).scalar()
+    return every.where(F.col("id") == wanted).select("dataset_preprocessed")
 
 
 @query(
@@ -111,7 +117,7 @@ def status_update(spark, sf):
 @query(
     "status_update_keyed",
     f"""
-    WITH u AS (SELECT l_orderkey, nullif(max(l_linenumber), 7) AS new_status FROM lineitem
+    WITH u AS (SELECT l_orderkey, nullif(max(l_linenumber) % 5, 4) AS new_status FROM lineitem
                WHERE l_returnflag = 'R' GROUP BY l_orderkey)
     SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN {ORDER_STATUS} ELSE new_status END AS dataprep_status
     FROM orders LEFT JOIN u ON l_orderkey = o_orderkey""",
@@ -120,7 +126,7 @@ def status_update_keyed(spark, sf):
     updates = (
         load(spark, sf, "lineitem").where("l_returnflag = 'R'")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.expr("nullif(max(l_linenumber), 7)").alias("new_status"))
+        .agg(F.expr("nullif(max(l_linenumber) % 5, 4)").alias("new_status"))
     )
     rows = load(spark, sf, "orders").selectExpr("o_orderkey", f"{ORDER_STATUS} AS dataprep_status")
     return C.set_status(rows, "o_orderkey", "dataprep_status", updates)
@@ -183,34 +189,41 @@ def status_transition(spark, sf):
     return rows.select("event_id", C.next_status("cur", "ev").alias("status"))
 
 
+PENDING_METRICS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query(
     "profile_pending",
     f"""
-    SELECT k AS item, CAST(CASE WHEN s = 1 THEN 0 ELSE s END AS INTEGER) AS dataprep_status,
-      CASE WHEN s = 1 THEN n END AS n_rows, CASE WHEN s = 1 THEN {settled_sql("m")} END AS mean
-    FROM (SELECT o_orderpriority AS k, max(CASE WHEN o_orderpriority < '4' THEN 1 ELSE 2 END) AS s,
-                 count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY o_orderpriority)""",
+    WITH q AS (SELECT o_orderpriority AS item, CASE WHEN o_orderpriority < '4' THEN 1 ELSE 2 END AS s FROM orders GROUP BY ALL),
+    m AS ({" UNION ALL ".join(f"SELECT o_orderpriority AS item, '{c}' AS variable, count(*) AS n, avg({c}) AS mean FROM orders WHERE o_orderpriority NOT LIKE '2%' GROUP BY 1" for c in PENDING_METRICS)})
+    SELECT item, CAST(CASE WHEN s <> 1 THEN s WHEN item LIKE '2%' THEN 3 ELSE 0 END AS INTEGER) AS dataprep_status,
+      s = 1 AND item LIKE '2%' AS has_error, m.variable, m.n, {settled_sql("m.mean")} AS mean
+    FROM q LEFT JOIN (SELECT m.* FROM m JOIN q USING (item) WHERE s = 1) m USING (item)""",
 )
 def profile_pending_query(spark, sf):
+    """One item of the queue fails only when its rows are computed."""
     orders = load(spark, sf, "orders")
-    queue = orders.groupBy(F.col("o_orderpriority").alias("item")).agg(
-        F.max(F.expr("CASE WHEN o_orderpriority < '4' THEN 1 ELSE 2 END")).alias("dataprep_status")
-    )
-    reports, statuses = profile_pending(
+    queue = orders.select(F.col("o_orderpriority").alias("item")).distinct()
+    queue = queue.selectExpr("item", "CASE WHEN item < '4' THEN 1 ELSE 2 END AS dataprep_status")
+    broken = F.when(F.col("o_orderpriority").startswith("2"), F.raise_error(F.lit("unreadable row")).cast("bigint"))
+    rows = orders.withColumn("o_custkey", F.coalesce(broken, "o_custkey"))
+    run = profile_pending(
         queue,
         "item",
         "dataprep_status",
-        load=lambda item: orders.where(F.col("o_orderpriority") == item),
-        profile=lambda rows: numeric_profile(rows, ["o_totalprice"]).select("n", "mean"),
+        load=lambda item: rows.where(F.col("o_orderpriority") == item),
+        profile=lambda found: numeric_profile(found).select("variable", "n", "mean"),
     )
-    joined = statuses.join(reports, "item", "left")
-    return settle(joined.select("item", "dataprep_status", F.col("n").alias("n_rows"), "mean"))
+    errors = run.outcomes.select("item", F.col("error").contains("unreadable row").alias("has_error"))
+    joined = run.catalog.join(run.reports, "item", "left").join(errors, "item", "left")
+    return settle(joined.select("item", "dataprep_status", F.coalesce("has_error", F.lit(False)).alias("has_error"), "variable", "n", "mean"))
 
 
 @query(
     "privacy_upsert",
     """
-    WITH ch AS (SELECT doc_id, nullif(lang, 'en') AS r, source AS t FROM documents WHERE n_chars > 2000)
+    WITH ch AS (SELECT doc_id, nullif(lang, 'en') AS r, source AS t FROM documents)
     SELECT coalesce(l.doc_id, ch.doc_id) AS doc_id,
       CASE WHEN ch.doc_id IS NULL THEN CAST(quality AS VARCHAR) ELSE r END AS privacy_detection_result,
       CASE WHEN ch.doc_id IS NULL THEN CAST(toxic AS VARCHAR) ELSE t END AS privacy_detection_type
@@ -220,11 +233,11 @@ def privacy_upsert(spark, sf):
     stored = load(spark, sf, "labels").selectExpr(
         "doc_id", "string(quality) AS privacy_detection_result", "string(toxic) AS privacy_detection_type"
     )
-    long_documents = load(spark, sf, "documents").where("n_chars > 2000")
-    older = long_documents.selectExpr(
+    documents = load(spark, sf, "documents")
+    older = documents.selectExpr(
         "doc_id", "'older' AS privacy_detection_result", "'older' AS privacy_detection_type", "0 AS run"
     )
-    newer = long_documents.selectExpr(
+    newer = documents.selectExpr(
         "doc_id", "nullif(lang, 'en') AS privacy_detection_result", "source AS privacy_detection_type", "1 AS run"
     )
     return C.upsert(stored, older.unionByName(newer), "doc_id", order="run")

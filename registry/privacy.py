@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import privacy as V
 from tabloom.operators import privacy as P
+from tabloom.plans.privacy import privacy_job
 
 from .base import WS, load, query, settle, settled_sql
 
@@ -92,7 +93,7 @@ def sample_per_column(spark, sf):
 
 @query("pii_columns", flagged_sql(SAMPLE_SQL, PLACES_SQL))
 def pii_columns(spark, sf):
-    found = P.pii_columns(customer_cells(spark, sf), ["c_custkey"], gazetteer=place_names(spark, sf), longest=2)
+    found = P.pii_columns(customer_cells(spark, sf), ["c_custkey"], gazetteer=place_names(spark, sf))
     return settle(found)
 
 
@@ -100,19 +101,19 @@ DOCUMENT_COLUMNS = ("text", "source", "lang", "n_chars")
 DOCUMENT_CELLS_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM documents" for c in DOCUMENT_COLUMNS
 )
-# Long words of the benchmark texts stand in for a caller's list of names.
-NAMES_SQL = f"""SELECT DISTINCT name FROM (SELECT unnest({words_sql("text")}) AS name FROM benchmark) WHERE len(name) >= 12"""
+# The words of the benchmark texts stand in for a caller's list of names.
+NAMES_SQL = f"""SELECT DISTINCT name FROM (SELECT unnest({words_sql("text")}) AS name FROM benchmark)"""
 
 
 def benchmark_names(spark, sf):
     words = load(spark, sf, "benchmark").select(F.explode(P.bare_words("text")).alias("name"))
-    return words.where("length(name) >= 12").distinct().select("name", F.lit("PERSON").alias("label"))
+    return words.distinct().select("name", F.lit("PERSON").alias("label"))
 
 
 @query("pii_columns_full", flagged_sql(DOCUMENT_CELLS_SQL, NAMES_SQL))
 def pii_columns_full(spark, sf):
     found = P.pii_columns_full(
-        load(spark, sf, "documents"), list(DOCUMENT_COLUMNS), benchmark_names(spark, sf), longest=2
+        load(spark, sf, "documents"), list(DOCUMENT_COLUMNS), benchmark_names(spark, sf)
     )
     return settle(found)
 
@@ -136,6 +137,48 @@ def pii_entities(spark, sf):
     return P.entity_counts(load(spark, sf, "documents"), "doc_id", "text", benchmark_names(spark, sf))
 
 
+PAIR_NAMES_SQL = "SELECT DISTINCT ws[1] || ' ' || ws[2] AS name FROM (SELECT {words} AS ws FROM benchmark)"
+
+
+@query(
+    "pii_names_default",
+    f"""
+    SELECT doc_id, label, n FROM ({ENTITY_ROWS}) WHERE n > 0
+    UNION ALL
+    SELECT doc_id, 'PERSON' AS label, count(*) AS n
+    FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS name
+          FROM (SELECT doc_id, {words_sql("text")} AS ws FROM documents))
+    JOIN ({PAIR_NAMES_SQL.format(words=words_sql("text"))}) USING (name) GROUP BY doc_id""",
+)
+def pii_names_default(spark, sf):
+    """Names of two words are found without being told how long names are."""
+    words = load(spark, sf, "benchmark").select(P.bare_words("text").alias("w"))
+    names = words.select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("name")).distinct()
+    return P.entity_counts(load(spark, sf, "documents"), "doc_id", "text", names.select("name", F.lit("PERSON").alias("label")))
+
+
+JOB_SAMPLE_SQL = f"""
+    SELECT column_name FROM (SELECT column_name, sum({" + ".join(counts_sql("value").values())}) AS n, count(*) AS m FROM ({SAMPLE_SQL})
+    GROUP BY column_name) WHERE n / m >= 0.15"""
+
+
+@query(
+    "privacy_job",
+    f"""
+    SELECT 'customer' AS id, 'csv' AS file_type, '[' || (SELECT string_agg('"' || column_name || '"', ',' ORDER BY column_name) FROM ({JOB_SAMPLE_SQL})) || ']'
+      AS privacy_detection_result
+    UNION ALL SELECT 'nation', 'csv', 'no_pii_found' UNION ALL SELECT 'gone', 'csv', 'processing_error'""",
+)
+def privacy_job_query(spark, sf):
+    """Tables are scanned, coded and upserted; one of them cannot be read."""
+    catalog = spark.createDataFrame([("customer", "csv", None), ("nation", "csv", "older"), ("gone", "csv", None)], "id string, file_type string, privacy_detection_result string")
+
+    def read(item, kind):
+        return customer_cells(spark, sf) if item == "customer" else load(spark, sf, item)
+
+    return privacy_job(catalog, "id", "file_type", read, lambda item: ["c_custkey" if item == "customer" else "n_nationkey"])
+
+
 MESSAGE = (
     "CASE event_type WHEN 'click' THEN 'Analysis complete: No PII columns detected' "
     "WHEN 'view' THEN 'Analysis complete: No faces or eye landmarks detected' "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators import profile as P
-from tabloom.plans.profiling import profile_dataset, profile_feature_group, profile_training_set
+from tabloom.plans.profiling import profile_dataset, profile_feature_group, profile_online_group, profile_training_set
 from tabloom.session import scratch_path, scratch_table
 from tabloom.sources.tables import save_feature_table, save_training_set
 
@@ -154,23 +154,30 @@ def profile_mad(spark, sf):
     return settle(P.median_absolute_deviation(load(spark, sf, "lineitem")))
 
 
-HISTOGRAM_COLUMNS = ("l_quantity", "l_extendedprice", "l_partkey")
-
-
-def histogram_sql(c: str) -> str:
+def histogram_sql(c: str, source: str) -> str:
+    """Edges and counts of 50 bins; a constant column lies in the middle of a range of width 1."""
     return f"""
-    SELECT '{c}' AS variable, CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * ((hi - lo) / 50), 6) AS lower,
-      round(lo + (b.bin + 1) * ((hi - lo) / 50), 6) AS upper, coalesce(n, 0) AS count
+    SELECT '{c}' AS variable, CAST(b.bin AS INTEGER) AS bin, lo + b.bin * ((hi - lo) / 50) AS lower,
+      lo + (b.bin + 1) * ((hi - lo) / 50) AS upper, coalesce(n, 0) AS count
     FROM (SELECT unnest(range(50)) AS bin) b
-    CROSS JOIN (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM lineitem)
-    LEFT JOIN (SELECT least(49, floor(({c} - m.lo) / (m.hi - m.lo) * 50)) AS bin, count(*) AS n
-      FROM lineitem, (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM lineitem) m GROUP BY 1) h
-    ON h.bin = b.bin"""
+    CROSS JOIN (SELECT CASE WHEN lo < hi THEN lo ELSE lo - 0.5 END AS lo, CASE WHEN lo < hi THEN hi ELSE lo + 0.5 END AS hi
+      FROM (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM ({source})))
+    LEFT JOIN (SELECT least(49, floor((v - CASE WHEN lo < hi THEN lo ELSE lo - 0.5 END)
+        / CASE WHEN lo < hi THEN hi - lo ELSE 1 END * 50)) AS bin, count(*) AS n
+      FROM (SELECT CAST({c} AS DOUBLE) AS v FROM ({source})),
+           (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM ({source}))
+      WHERE v IS NOT NULL GROUP BY 1) h
+    ON h.bin = b.bin WHERE lo IS NOT NULL"""
 
 
-@query("profile_histogram", " UNION ALL ".join(histogram_sql(c) for c in HISTOGRAM_COLUMNS))
+@query(
+    "profile_histogram",
+    "SELECT variable, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, count FROM ("
+    + " UNION ALL ".join(histogram_sql(c, "SELECT * FROM lineitem") for c in NUMBERS)
+    + ")",
+)
 def profile_histogram(spark, sf):
-    found = P.histogram(load(spark, sf, "lineitem"), list(HISTOGRAM_COLUMNS))
+    found = P.histogram(load(spark, sf, "lineitem"))
     return found.withColumns({"lower": F.round("lower", 6), "upper": F.round("upper", 6)})
 
 
@@ -220,9 +227,9 @@ def profile_boolean(spark, sf):
     return P.boolean_counts(load(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in FLAGS.items()]))
 
 
-def alerts_sql(numeric, text, source: str) -> str:
+def alerts_sql(numeric, text, source: str, times=()) -> str:
     rules = []
-    for c in (*numeric, *text):
+    for c in (*numeric, *text, *times):
         common = f"(SELECT {counts_sql(c, source)} FROM ({source}))"
         rules += [
             f"SELECT '{c}' AS variable, 'CONSTANT' AS alert FROM {common} WHERE n_distinct = 1",
@@ -271,10 +278,9 @@ def profile_monotonic(spark, sf):
     return P.monotonic_profile(rows, "k", list(MONOTONIC))
 
 
-@query("profile_grouped", numeric_sql(("l_quantity", "l_extendedprice", "l_tax"), "SELECT * FROM lineitem", "l_returnflag"))
+@query("profile_grouped", numeric_sql(NUMBERS, "SELECT * FROM lineitem", "l_returnflag"))
 def profile_grouped(spark, sf):
-    columns = ["l_quantity", "l_extendedprice", "l_tax"]
-    return settle(P.grouped_profile(load(spark, sf, "lineitem"), ["l_returnflag"], columns))
+    return settle(P.grouped_profile(load(spark, sf, "lineitem"), ["l_returnflag"]))
 
 
 @query(
@@ -298,28 +304,30 @@ def profile_grouped_quantiles(spark, sf):
         count(*) / sum(n) AS p_distinct, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n = 1) / sum(n) AS p_unique,
         count(*) FILTER (n = 1) = sum(n) AS is_unique
         FROM (SELECT event_type, {c}, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type"""
-        for c in ("event_id", "user_id", "props")
+        for c in ("event_id", "ts", "user_id", "value", "props")
     )
     + ")",
 )
 def profile_grouped_columns(spark, sf):
-    columns = ["event_id", "user_id", "props"]
+    columns = ["event_id", "ts", "user_id", "value", "props"]
     return settle(P.distinct_counts(load(spark, sf, "events"), columns, keys=["event_type"]))
 
 
 @query(
     "profile_grouped_values",
-    """
-    SELECT * FROM (SELECT event_type, 'user_id' AS variable, CAST(row_number() OVER (PARTITION BY event_type
-        ORDER BY count(*) DESC, user_id) AS INTEGER) AS rank, CAST(user_id AS VARCHAR) AS value, count(*) AS count
-      FROM events GROUP BY event_type, user_id) WHERE rank <= 5""",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT event_type, '{c}' AS variable, CAST(row_number() OVER (PARTITION BY event_type
+        ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank, CAST({c} AS VARCHAR) AS value, count(*) AS count
+      FROM events GROUP BY event_type, {c}) WHERE rank <= 5"""
+        for c in ("event_id", "user_id", "value", "props")
+    ),
 )
 def profile_grouped_values(spark, sf):
-    return P.top_values(load(spark, sf, "events"), ["user_id"], n=5, keys=["event_type"])
+    return P.top_values(load(spark, sf, "events"), ["event_id", "user_id", "value", "props"], n=5, keys=["event_type"])
 
 
-def report_sql(source: str, numeric=(), text=(), times=()) -> str:
-    """The long report of a table, one row per variable and metric."""
+def metrics_sql(source: str, numeric=(), text=(), times=()) -> str:
+    """One row per variable and metric."""
     parts = []
     for c in numeric:
         mad = f"mad(CAST({c} AS DOUBLE)) AS mad"
@@ -336,25 +344,60 @@ def report_sql(source: str, numeric=(), text=(), times=()) -> str:
     for c, metrics, names in parts:
         pairs = ", ".join(f"{{'metric': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in names)
         rows.append(f"SELECT '{c}' AS variable, unnest([{pairs}], recursive := true) FROM (SELECT {metrics} FROM ({source}))")
-    return f"SELECT variable, metric, {settled_sql('value')} AS value FROM ({' UNION ALL '.join(rows)})"
+    return f"SELECT variable, metric, value FROM ({' UNION ALL '.join(rows)})"
+
+
+def report_sql(source: str, numeric=(), text=(), times=()) -> str:
+    """The whole report of a table, by section."""
+    columns = (*numeric, *text, *times)
+    missing = " + ".join(f"(count(*) - count({c}))" for c in columns)
+    affected = " + ".join(f"CAST(count(*) > count({c}) AS INTEGER)" for c in columns)
+    figures = {
+        "n_rows": "count(*)", "n_columns": str(len(columns)), "n_cells_missing": missing,
+        "p_cells_missing": f"coalesce(({missing}) / (count(*) * {len(columns)}), 0)", "n_vars_with_missing": affected,
+        "n_numeric": str(len(numeric)), "n_categorical": str(len(text)), "n_datetime": str(len(times)), "n_boolean": "0",
+    }
+    pairs = ", ".join(f"{{'name': '{n}', 'value': CAST({e} AS DOUBLE)}}" for n, e in figures.items())
+    rank, nothing = "CAST(NULL AS INTEGER) AS rank", "CAST(NULL AS VARCHAR)"
+    parts = [
+        f"SELECT 'table' AS section, {nothing} AS variable, name, {rank}, {nothing} AS text, value "
+        f"FROM (SELECT unnest([{pairs}], recursive := true) FROM ({source}))",
+        f"SELECT 'metric', variable, metric, {rank}, {nothing}, value FROM ({metrics_sql(source, numeric, text, times)})",
+        f"SELECT 'alert', variable, alert, {rank}, {nothing}, CAST(NULL AS DOUBLE) FROM ({alerts_sql(numeric, text, source, times)})",
+    ]
+    for c in columns:
+        parts.append(
+            f"""SELECT 'top', '{c}', {nothing}, rank, value, count FROM (SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, {c})
+            AS INTEGER) AS rank, CAST({c} AS VARCHAR) AS value, CAST(count(*) AS DOUBLE) AS count
+            FROM ({source}) WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"""
+        )
+    for c in numeric:
+        ends = "unnest([{'name': 'lower', 'value': lower}, {'name': 'upper', 'value': upper}, {'name': 'count', 'value': CAST(count AS DOUBLE)}], recursive := true)"
+        parts.append(
+            f"SELECT 'bin', variable, name, bin, {nothing}, value FROM (SELECT variable, bin, {ends} FROM ({histogram_sql(c, source)}))"
+        )
+    return f"SELECT section, variable, name, rank, text, {settled_sql('value')} AS value FROM ({' UNION ALL '.join(parts)})"
 
 
 ORDERS = (
     "o_orderkey",
+    "o_custkey",
+    "o_orderstatus",
     "CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS price",
     "nullif(o_orderpriority, '5-LOW') AS priority",
     "o_orderdate",
 )
-FILLED_SQL = f"""SELECT o_orderkey, coalesce(price, 0) AS price, coalesce(priority, '0') AS priority, o_orderdate
-    FROM (SELECT {', '.join(ORDERS)} FROM orders)"""
+FILLED_SQL = f"""SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(price, 0) AS price, coalesce(priority, '0') AS priority,
+    o_orderdate FROM (SELECT {', '.join(ORDERS)} FROM orders)"""
 COMPLETE_SQL = f"SELECT * FROM (SELECT {', '.join(ORDERS)} FROM orders) WHERE price IS NOT NULL AND priority IS NOT NULL"
+ORDER_NUMBERS, ORDER_TEXTS = ("o_orderkey", "o_custkey", "price"), ("o_orderstatus", "priority")
 
 
 def orders(spark, sf):
     return load(spark, sf, "orders").selectExpr(*ORDERS)
 
 
-@query("profile_dataset", report_sql(FILLED_SQL, ("o_orderkey", "price"), ("priority",), ("o_orderdate",)))
+@query("profile_dataset", report_sql(FILLED_SQL, ORDER_NUMBERS, ORDER_TEXTS, ("o_orderdate",)))
 def profile_dataset_query(spark, sf):
     return settle(profile_dataset(orders(spark, sf)))
 
@@ -363,8 +406,8 @@ def profile_dataset_query(spark, sf):
     "profile_feature_group",
     report_sql(
         COMPLETE_SQL.replace("SELECT *", "SELECT *, '2024-01-02T03:04:05.000Z' AS fg_date", 1),
-        ("o_orderkey", "price"),
-        ("priority", "fg_date"),
+        ORDER_NUMBERS,
+        (*ORDER_TEXTS, "fg_date"),
         ("o_orderdate",),
     ),
 )
@@ -379,37 +422,64 @@ def profile_feature_group_query(spark, sf):
 @query(
     "profile_training_set",
     report_sql(
-        f"SELECT o_orderkey, price, priority, CAST(o_orderkey AS VARCHAR) || 'x' AS tag FROM ({COMPLETE_SQL})",
-        ("o_orderkey", "price"),
-        ("priority", "tag"),
+        f"""SELECT o_orderkey, o_custkey, o_orderstatus, price, priority, strftime(o_orderdate, 'd%Y-%m-%d') AS day
+            FROM ({COMPLETE_SQL})""",
+        ORDER_NUMBERS,
+        (*ORDER_TEXTS, "day"),
     ),
 )
 def profile_training_set_query(spark, sf):
     path = scratch_path(spark, "training")
-    rows = orders(spark, sf).withColumn("tag", F.concat(F.col("o_orderkey").cast("string"), F.lit("x")))
+    rows = orders(spark, sf).withColumn("day", F.date_format("o_orderdate", "'d'yyyy-MM-dd"))
     save_training_set(rows.drop("o_orderdate"), path)
     return settle(profile_training_set(spark, path))
 
 
+@query(
+    "profile_online_group",
+    report_sql("SELECT event_id, user_id, value FROM events", ("event_id", "user_id", "value")),
+)
+def profile_online_group_query(spark, sf):
+    stored = load(spark, sf, "events").selectExpr("'list' AS kind", "to_json(struct(event_id, user_id, value)) AS payload")
+    return settle(profile_online_group(stored, "kind", "payload"))
+
+
+CUSTOMER_NUMBERS, CUSTOMER_TEXTS = ("c_custkey", "c_nationkey", "c_acctbal"), ("c_name", "c_mktsegment")
+
+
 @query(
     "profile_json",
-    "SELECT variable, "
-    + settled_columns(["mean", "p_zeros", "q50", "mad"])
-    + ", n_distinct FROM ("
-    + " UNION ALL ".join(
-        f"""SELECT '{c}' AS variable, avg({c}) AS mean, count(*) FILTER ({c} = 0) / count(*) AS p_zeros,
-        median(CAST({c} AS DOUBLE)) AS q50, mad(CAST({c} AS DOUBLE)) AS mad, CAST(count(DISTINCT {c}) AS DOUBLE) AS n_distinct
-        FROM customer"""
-        for c in ("c_custkey", "c_nationkey", "c_acctbal")
-    )
-    + ")",
+    f"""
+    WITH r AS ({report_sql('SELECT * FROM customer', CUSTOMER_NUMBERS, CUSTOMER_TEXTS)})
+    SELECT variable, {settled_sql("max(value) FILTER (section = 'metric' AND name = 'mean')")} AS mean,
+      {settled_sql("max(value) FILTER (section = 'metric' AND name = 'mad')")} AS mad,
+      max(value) FILTER (name IN ('n', 'n_rows')) AS n, max(value) FILTER (section = 'metric' AND name = 'n_distinct') AS n_distinct,
+      max(text) FILTER (section = 'top' AND rank = 1) AS top, count(*) FILTER (section = 'top') AS n_top,
+      count(*) FILTER (section = 'bin') AS n_bin, CAST(sum(CASE WHEN section = 'bin' AND name = 'count' THEN value ELSE 0 END) AS DOUBLE) AS binned,
+      coalesce(string_agg(name, ',' ORDER BY name) FILTER (section = 'alert'), '') AS alerts
+    FROM r GROUP BY variable""",
 )
 def profile_json(spark, sf):
     path = scratch_path(spark, "reports")
-    rows = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    P.profile_json(P.profile_report(rows)).write.json(path)
+    P.profile_json(P.profile_report(load(spark, sf, "customer"))).write.json(path)
     written = spark.read.schema("variable string, profile string").json(path)
-    fields = ("mean", "p_zeros", "q50", "mad", "n_distinct")
+    part = (
+        "struct<metrics: map<string,double>, top: array<struct<rank:int,text:string,value:double>>, "
+        "bin: array<struct<rank:int,name:string,value:double>>, alerts: array<string>>"
+    )
+    p = written.select("variable", F.from_json("profile", part).alias("p"))
+    counts = F.filter("p.bin", lambda b: b["name"] == "count")
     return settle(
-        written.select("variable", *[F.get_json_object("profile", f"$.{f}").cast("double").alias(f) for f in fields])
+        p.select(
+            "variable",
+            F.col("p.metrics")["mean"].alias("mean"),
+            F.col("p.metrics")["mad"].alias("mad"),
+            F.coalesce(F.col("p.metrics")["n"], F.col("p.metrics")["n_rows"]).alias("n"),
+            F.col("p.metrics")["n_distinct"].alias("n_distinct"),
+            F.get("p.top", F.lit(0))["text"].alias("top"),
+            F.size("p.top").cast("bigint").alias("n_top"),
+            F.size("p.bin").cast("bigint").alias("n_bin"),
+            F.aggregate(counts, F.lit(0.0), lambda a, b: a + b["value"]).alias("binned"),
+            F.array_join("p.alerts", ",").alias("alerts"),
+        )
     )

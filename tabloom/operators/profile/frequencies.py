@@ -118,14 +118,6 @@ def imbalance(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return frequency_summary(df, names).select("variable", imbalance_metric().alias("imbalance"))
 
 
-def approximate_distinct(df: DataFrame, columns: list[str] | None = None, rsd: float = 0.02) -> DataFrame:
-    """``(variable, n_distinct)`` by sketches: no shuffle of values, for a first look."""
-    names = columns or df.columns
-    row = df.agg(*[F.approx_count_distinct(present(df, c), rsd).alias(f"d{i}") for i, c in enumerate(names)])
-    pairs = [F.struct(F.lit(c).alias("variable"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(names)]
-    return row.select(F.inline(F.array(*pairs)))
-
-
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 10, keys: list[str] = ()) -> DataFrame:
     """The ``n`` most frequent present values per column: ``(keys, variable, rank, value, count)``.
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..features import drop_null_rows, fill_zero
 from .columns import KINDS, columns_of_kind, kind_of
-from .frequencies import datetime_profile, distinct_metrics, frequency_summary, imbalance_metric
-from .moments import numeric_profile
-from .quantiles import median_absolute_deviation, quantiles
+from ...session import Scratch, written
+from .frequencies import boolean_counts, datetime_profile, distinct_metrics, frequency_summary, imbalance_metric, top_values
+from .moments import numeric_profile, table_profile
+from .quantiles import histogram, median_absolute_deviation, quantiles
 
 # Limits above which a report raises an alert.
 SHARE_LIMIT = 0.01
@@ -36,16 +37,19 @@ def _kind_column(df: DataFrame) -> Column:
     return picked
 
 
-def alerts(df: DataFrame) -> DataFrame:
-    """``(variable, alert)``: one row per rule a column breaks."""
-    counts = frequency_summary(df).select(
+def alerts(df: DataFrame, counted: DataFrame | None = None, moments: DataFrame | None = None) -> DataFrame:
+    """``(variable, alert)``: one row per rule a column breaks.
+
+    ``counted`` and ``moments`` are the frequency summary and numeric profile of ``df``, if known.
+    """
+    counts = (frequency_summary(df) if counted is None else counted).select(
         "variable",
         *distinct_metrics(),
         imbalance_metric().alias("imbalance"),
         _kind_column(df).alias("kind"),
     )
     if columns_of_kind(df, "Numeric"):
-        numbers = numeric_profile(df).select("variable", "p_zeros", "p_infinite", "skewness")
+        numbers = (numeric_profile(df) if moments is None else moments).select("variable", "p_zeros", "p_infinite", "skewness")
         counts = counts.join(numbers, "variable", "left")
     else:
         counts = counts.selectExpr("*", *[f"double(null) {c}" for c in ("p_zeros", "p_infinite", "skewness")])
@@ -70,25 +74,20 @@ def _long(frame: DataFrame) -> DataFrame:
     return numbers.unpivot(["variable"], metrics, "metric", "value")
 
 
-def profile_report(df: DataFrame, na: str = "keep") -> DataFrame:
-    """``(variable, metric, value)`` for all columns; times are in seconds since 1970.
-
-    The rows are read a fixed number of times, whatever the number of columns per pass.
-    Give a table or file scan rather than a costly plan.
-    """
-    rows = handle_missing(df, na)
-    counts = frequency_summary(rows)
+def _metrics(rows: DataFrame, counts: DataFrame, moments: DataFrame | None) -> DataFrame:
+    """``(variable, metric, value)`` for all columns; times are in seconds since 1970."""
     parts = [_long(counts.select("variable", *distinct_metrics()))]
     text = columns_of_kind(rows, "Categorical") + columns_of_kind(rows, "Boolean")
     if text:
         parts.append(
             _long(counts.where(F.col("variable").isin(text)).select("variable", imbalance_metric().alias("imbalance")))
         )
-    if columns_of_kind(rows, "Numeric"):
-        moments = numeric_profile(rows)
+    if moments is not None:
+        found = quantiles(rows)
+        medians = {r["variable"]: r["q50"] for r in found.select("variable", "q50").collect()}
         parts.append(_long(moments.drop("n", "n_missing", "p_missing")))
-        parts.append(_long(quantiles(rows)))
-        parts.append(_long(median_absolute_deviation(rows).select("variable", "mad")))
+        parts.append(_long(found))
+        parts.append(_long(median_absolute_deviation(rows, medians=medians).select("variable", "mad")))
     if columns_of_kind(rows, "DateTime"):
         times = datetime_profile(rows)
         parts.append(
@@ -104,10 +103,68 @@ def profile_report(df: DataFrame, na: str = "keep") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _section(frame: DataFrame, section: str, **columns: Column) -> DataFrame:
+    """Rows of one section; columns that are not given are null."""
+    kinds = {"variable": "string", "name": "string", "rank": "int", "text": "string", "value": "double"}
+    picked = [columns.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return frame.select(F.lit(section).alias("section"), *picked)
+
+
+def profile_report(df: DataFrame, na: str = "keep", scratch: Scratch | None = None) -> DataFrame:
+    """``(section, variable, name, rank, text, value)``: the whole report of a table.
+
+    Sections: ``table`` holds the figures of the table, ``metric`` those of each column
+    (times in seconds since 1970), ``top`` the most frequent values by rank, ``flag`` the
+    counts of boolean values, ``bin`` the histogram (lower and upper edge and count of each
+    bin), ``alert`` the rules that a column breaks.
+
+    Rows that are filled or dropped first, and rows of files that are not columnar, are
+    written once, since every part reads the columns it needs by itself; ``scratch`` owns
+    them. Jobs that search quantiles and medians run while the report is planned.
+    """
+    rows = handle_missing(df, na)
+    if na != "keep" or not _columnar(df):
+        rows = written(rows, "profiled", scratch)
+    # Short frames, one row per column, that several parts use.
+    counts = written(frequency_summary(rows), "counts", scratch)
+    moments = written(numeric_profile(rows), "moments", scratch) if columns_of_kind(rows, "Numeric") else None
+    figures = table_profile(rows)
+    whole = figures.select(*[F.col(c).cast("double").alias(c) for c in figures.columns]).unpivot([], figures.columns, "name", "value")
+    parts = [
+        _section(whole, "table", name=F.col("name"), value=F.col("value")),
+        _section(_metrics(rows, counts, moments), "metric", variable=F.col("variable"), name=F.col("metric"), value=F.col("value")),
+        _section(top_values(rows), "top", variable=F.col("variable"), rank=F.col("rank"), text=F.col("value"), value=F.col("count")),
+        _section(alerts(rows, counts, moments), "alert", variable=F.col("variable"), name=F.col("alert")),
+    ]
+    if columns_of_kind(rows, "Boolean"):
+        parts.append(_section(boolean_counts(rows), "flag", variable=F.col("variable"), text=F.col("value"), value=F.col("count")))
+    if moments is not None:
+        ends = histogram(rows).select("variable", "bin", *[F.col(c).cast("double").alias(c) for c in ("lower", "upper", "count")])
+        bins = ends.unpivot(["variable", "bin"], ["lower", "upper", "count"], "name", "value")
+        parts.append(_section(bins, "bin", variable=F.col("variable"), name=F.col("name"), rank=F.col("bin"), value=F.col("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _columnar(df: DataFrame) -> bool:
+    """True if every file that a frame reads is of a columnar format, judged by its input files' names."""
+    files = df.inputFiles()
+    return all(f.endswith((".parquet", ".orc")) for f in files)
+
+
 def profile_json(report: DataFrame) -> DataFrame:
-    """``(variable, profile)``: the metrics of each variable as one JSON object.
+    """``(variable, profile)``: the report of each variable as one JSON object; the table's has a null variable.
 
     A report has a few dozen rows per variable, so nothing here grows with the table.
     """
-    entries = F.array_sort(F.collect_list(F.struct("metric", "value")))
-    return report.groupBy("variable").agg(F.to_json(F.map_from_entries(entries)).alias("profile"))
+
+    def entries(section: str, *fields: str) -> Column:
+        of = F.when(F.col("section") == section, F.struct("rank", *[f for f in fields if f != "rank"]))
+        return F.array_sort(F.collect_list(of)).alias(section)
+
+    named = F.when(F.col("section").isin("metric", "table"), F.struct("name", "value"))
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(named))).alias("metrics")
+    alert = F.sort_array(F.collect_list(F.when(F.col("section") == "alert", F.col("name")))).alias("alerts")
+    parts = report.groupBy("variable").agg(
+        metrics, entries("top", "text", "value"), entries("flag", "text", "value"), entries("bin", "name", "value"), alert
+    )
+    return parts.select("variable", F.to_json(F.struct("metrics", "top", "flag", "bin", "alerts")).alias("profile"))

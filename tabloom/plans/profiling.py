@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import clean_table_name_text
-from ..operators.catalog import DONE, FAILED, PENDING, set_status
+from ..operators.catalog import DONE, FAILED, RUNNING, pending_queue, set_status
 from ..operators.profile import profile_report
-from ..sources.delimited import infer_column_types, read_training_set
+from ..session import scratch_path
+from ..sources.delimited import MISSING_MARKERS, infer_column_types, read_training_set
+from ..sources.online import json_rows
 from ..sources.tables import scan_table
 
 
@@ -27,9 +29,21 @@ def profile_feature_group(spark: SparkSession, table: str) -> DataFrame:
     return profile_report(rows, na="drop")
 
 
-def profile_training_set(spark: SparkSession, path: str) -> DataFrame:
-    """A training set's report over its complete rows, with column types found in the data."""
-    return profile_report(infer_column_types(read_training_set(spark, path)), na="drop")
+def profile_training_set(spark: SparkSession, path: str, markers: Iterable[str] = MISSING_MARKERS) -> DataFrame:
+    """A training set's report over its complete rows, with column types found in the data.
+
+    Texts that stand for missing values (``markers``) are null before types are found.
+    """
+    return profile_report(infer_column_types(read_training_set(spark, path, markers)), na="drop")
+
+
+@dataclass
+class QueueRun:
+    """What a run over a queue leaves: its reports, the catalog with new statuses, and what became of each item."""
+
+    reports: DataFrame | None
+    catalog: DataFrame
+    outcomes: DataFrame
 
 
 def profile_pending(
@@ -38,20 +52,42 @@ def profile_pending(
     status: str,
     load: Callable[[object], DataFrame],
     profile: Callable[[DataFrame], DataFrame] = profile_dataset,
-) -> tuple[DataFrame | None, DataFrame]:
-    """Profile every pending item of a catalog: its reports, and the catalog with new statuses.
+    folder: str | None = None,
+    on_status: Callable[[object, int], None] | None = None,
+    **queue: str,
+) -> QueueRun:
+    """Profile every pending item of a catalog; ``queue`` holds further conditions of ``pending_queue``.
 
     Items differ in schema, so each is a job of its own, taken from the queue one at a
-    time; an item that fails is marked and does not stop the others.
+    time. An item counts as running until its report is stored under ``folder``; whatever
+    fails on the way, while planning or while running, marks that item as failed, keeps
+    the message, and does not stop the others. ``on_status`` is told of each change as it
+    happens. All reports are read back as one table, whatever the length of the queue.
     """
-    reports, outcomes = [], []
-    for row in catalog.where(F.col(status) == PENDING).select(key).orderBy(key).toLocalIterator():
+    spark = catalog.sparkSession
+    folder = folder or scratch_path(spark, "reports")
+    told = on_status or (lambda item, state: None)
+    outcomes, stored = [], False
+    for row in pending_queue(catalog, status, **queue).select(key).orderBy(key).toLocalIterator():
+        item, error = row[0], None
+        told(item, RUNNING)
         try:
-            reports.append(profile(load(row[0])).select(F.lit(row[0]).alias(key), "*"))
-            outcomes.append((row[0], DONE))
-        except Exception:
-            outcomes.append((row[0], FAILED))
+            report = profile(load(item)).select(F.lit(item).alias(key), "*")
+            report.write.mode("append").parquet(folder)
+            stored = True
+        except Exception as failure:
+            error = str(failure)
+        outcomes.append((item, DONE if error is None else FAILED, error))
+        told(*outcomes[-1][:2])
     kind = catalog.schema[key].dataType.simpleString()
-    changes = catalog.sparkSession.createDataFrame(outcomes, f"{key} {kind}, new_status int")
-    merged = reduce(DataFrame.unionByName, reports) if reports else None
-    return merged, set_status(catalog, key, status, changes)
+    ended = spark.createDataFrame(outcomes, f"`{key}` {kind}, new_status int, error string")
+    reports = spark.read.option("mergeSchema", True).parquet(folder) if stored else None
+    return QueueRun(reports, set_status(catalog, key, status, ended.drop("error")), ended)
+
+
+def profile_online_group(stored: DataFrame, kind: str, payload: str, schema: str | None = None) -> DataFrame:
+    """An online feature group's report over the complete rows of its payloads; no rows are an error."""
+    rows = json_rows(stored, kind, payload, schema)
+    if rows.isEmpty():
+        raise ValueError("the online group holds no rows")
+    return profile_report(rows, na="drop")

@@ -71,20 +71,38 @@ def test_small_upsert_does_not_move_the_table(spark):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
 
 
+def test_numbers_that_are_no_status_fail(spark):
+    updates = spark.createDataFrame([(1, 9)], "id int, new_status int")
+    with pytest.raises(Exception, match="not a status: 9"):
+        C.set_status(catalog(spark), "id", "status", updates).collect()
+
+
+def test_repeated_change_needs_an_order(spark):
+    table = spark.createDataFrame([(1, "a")], "id int, result string")
+    changes = spark.createDataFrame([(1, "b"), (1, "c")], "id int, result string")
+    with pytest.raises(Exception, match="changed more than once"):
+        C.upsert(table, changes, "id").collect()
+    assert rows(C.upsert(table, changes.limit(1), "id")) == [(1, "b")]
+
+
 def test_failed_item_does_not_stop_the_queue(spark):
-    queue = spark.createDataFrame([("a", 1), ("bad", 1), ("c", 0)], "item string, status int")
+    queue = spark.createDataFrame([("a", 1, "x"), ("bad", 1, "x"), ("c", 0, "x"), ("late", 1, "x"), ("nameless", 1, None)], "item string, status int, name string")
+    told = []
 
     def load(item):
         if item == "bad":
             raise IOError("gone")
-        return spark.range(3)
+        return spark.range(3).selectExpr("IF(id = 2 AND '" + item + "' = 'late', CAST(raise_error('torn page') AS BIGINT), id) AS id")
 
-    reports, statuses = profile_pending(queue, "item", "status", load, numeric_profile)
-    assert rows(statuses) == [("a", 0), ("bad", 3), ("c", 0)]
-    assert [r.item for r in reports.collect()] == ["a"]
+    run = profile_pending(queue, "item", "status", load, numeric_profile, name="name", on_status=lambda *x: told.append(x))
+    assert rows(run.catalog.select("item", "status")) == [("a", 0), ("bad", 3), ("c", 0), ("late", 3), ("nameless", 1)]
+    assert [r.item for r in run.reports.collect()] == ["a"]
+    errors = {r.item: r.error for r in run.outcomes.collect()}
+    assert errors["a"] is None and "gone" in errors["bad"] and "torn page" in errors["late"]
+    assert told == [("a", 2), ("a", 0), ("bad", 2), ("bad", 3), ("late", 2), ("late", 3)]
 
 
 def test_empty_queue(spark):
     queue = spark.createDataFrame([("a", 0)], "item string, status int")
-    reports, statuses = profile_pending(queue, "item", "status", None)
-    assert reports is None and rows(statuses) == [("a", 0)]
+    run = profile_pending(queue, "item", "status", None)
+    assert run.reports is None and rows(run.catalog) == [("a", 0)] and run.outcomes.collect() == []

@@ -198,13 +198,40 @@ def test_wide_table_is_profiled_in_passes(spark):
 def test_report_policies(spark):
     df = spark.sql("select * from values (1, 'a'), (null, 'b'), (3, null) t(x, y)")
     def metric(report, variable, name):
-        return report.where((F.col("variable") == variable) & (F.col("metric") == name)).first()["value"]
+        wanted = (F.col("section") == "metric") & (F.col("variable") == variable) & (F.col("name") == name)
+        return report.where(wanted).first()["value"]
+
     assert metric(P.profile_report(df, "keep"), "x", "n_missing") == 1
     assert metric(P.profile_report(df, "fill"), "x", "n_zeros") == 1
     assert metric(P.profile_report(df, "drop"), "x", "n") == 1
     with pytest.raises(ValueError):
         P.profile_report(df, "guess")
-    assert P.profile_json(P.profile_report(df)).count() == 2
+    # One document for each variable, and one for the table.
+    assert P.profile_json(P.profile_report(df)).count() == 3
+
+
+def test_report_sections(spark):
+    df = spark.sql("select id, id % 2 = 0 as even, if(id < 9, 'a', 'b') as t from range(10)")
+    report = P.profile_report(df).collect()
+    assert {r.section for r in report} == {"table", "metric", "top", "flag", "alert", "bin"}
+    assert sorted((r.text, r.value) for r in report if r.section == "flag") == [("false", 5.0), ("true", 5.0)]
+    assert [(r.rank, r.text, r.value) for r in report if r.section == "top" and r.variable == "t"] == [(1, "a", 9.0), (2, "b", 1.0)]
+    assert ("id", "UNIQUE") in {(r.variable, r.name) for r in report if r.section == "alert"}
+    assert sum(r.value for r in report if r.section == "bin" and r.name == "count") == 10
+
+
+def test_report_reads_its_rows_a_bounded_number_of_times(spark, tmp_path):
+    """Filtered rows are written once; every later scan reads single columns of the written rows."""
+    from tabloom.session import Scratch
+
+    path = str(tmp_path / "wide.parquet")
+    spark.range(200).selectExpr("id AS a", "id * 2 AS b", "id % 7 AS c", "string(id % 3) AS t", "if(id > 5, id, null) AS n").write.parquet(path)
+    with Scratch(spark) as scratch:
+        report = P.profile_report(spark.read.parquet(path), "drop", scratch)
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert path not in plan
+        assert plan.count("FileScan parquet") <= 24
+        assert {r.value for r in report.where("section = 'table' AND name = 'n_rows'").collect()} == {194.0}
 
 
 def test_grouped_quantiles_with_a_hot_group_and_null_key(spark):
