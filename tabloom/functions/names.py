@@ -12,34 +12,38 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 WHITESPACE_CLASS = "\\s\\x1c-\\x1f"
 WHITESPACE_RUN = f"(?U)[{WHITESPACE_CLASS}]+"
 
+# What a clean name drops, and where a name in camel case is split.
+DROPPED = "[^A-Za-z0-9_]"
+CAMEL_EDGE = "([a-z0-9])([A-Z])"
+
 
 def clean_name(c: Column | str) -> Column:
     """White-space runs to one underscore, other marks dropped, lower case."""
     joined = F.regexp_replace(c, WHITESPACE_RUN, "_")
-    return F.lower(F.regexp_replace(joined, "[^A-Za-z0-9_]", ""))
+    return F.lower(F.regexp_replace(joined, DROPPED, ""))
 
 
 def clean_table_name_expr(c: Column | str) -> Column:
     """As ``clean_name`` but lower-cased first, so letters whose lower form is ASCII survive."""
     joined = F.regexp_replace(F.lower(c), WHITESPACE_RUN, "_")
-    return F.regexp_replace(joined, "[^A-Za-z0-9_]", "")
+    return F.regexp_replace(joined, DROPPED, "")
 
 
 def camel_to_snake(c: Column | str) -> Column:
-    return F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(c, CAMEL_EDGE, "$1_$2"))
 
 
 def clean_name_text(name: str) -> str:
     """``clean_name`` for one name held by the driver."""
-    return re.sub("[^A-Za-z0-9_]", "", re.sub(r"\s+", "_", name)).lower()
+    return re.sub(DROPPED, "", re.sub(r"\s+", "_", name)).lower()
 
 
 def clean_table_name_text(name: str) -> str:
-    return re.sub("[^A-Za-z0-9_]", "", re.sub(r"\s+", "_", name.lower()))
+    return re.sub(DROPPED, "", re.sub(r"\s+", "_", name.lower()))
 
 
 def snake_text(name: str) -> str:
-    return re.sub("([a-z0-9])([A-Z])", r"\1_\2", name).lower()
+    return re.sub(CAMEL_EDGE, r"\1_\2", name).lower()
 
 
 def clean_column_names(df: DataFrame, on_collision: str = "raise") -> DataFrame:

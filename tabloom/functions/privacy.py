@@ -52,6 +52,21 @@ OUTCOME_MESSAGES = {
 }
 
 
+# Parts of messages, and the outcome codes they stand for, in the order in which they are tried.
+MESSAGE_CODES = {
+    "No faces": "no_eyes_found",
+    "No PII": "no_pii_found",
+    "Unsupported": "unsupported_format",
+    "Error": "processing_error",
+}
+# Fixed value: part of a lower-cased message of a failed run.
+FAILURE_WORD = "failed"
+
+# The eye strip as shares of a face box, and how far boxes are padded.
+EYES_LEFT, EYES_RIGHT, EYES_TOP, EYES_BOTTOM = 0.15, 0.85, 0.30, 0.45
+EYES_PAD_X, EYES_PAD_Y, LANDMARK_PAD = 0.15, 0.20, 0.15
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -67,14 +82,11 @@ def outcome_code(message: Column | str, findings: Column | str) -> Column:
     ``findings`` is an array; empty or null means nothing was found.
     """
     message, findings = _col(message), _col(findings)
-    return (
-        F.when(F.coalesce(F.size(findings), F.lit(0)) > 0, F.to_json(findings))
-        .when(message.contains("No faces"), "no_eyes_found")
-        .when(message.contains("No PII"), "no_pii_found")
-        .when(message.contains("Unsupported"), "unsupported_format")
-        .when(message.contains("Error") | F.lower(message).contains("failed"), "processing_error")
-        .otherwise(F.lower(F.regexp_extract(message, "^\\s*(\\S+)", 1)))
-    )
+    code = F.when(F.coalesce(F.size(findings), F.lit(0)) > 0, F.to_json(findings))
+    for part, stored in MESSAGE_CODES.items():
+        code = code.when(message.contains(part), stored)
+    failed = F.lower(message).contains(FAILURE_WORD)
+    return code.when(failed, MESSAGE_CODES["Error"]).otherwise(F.lower(F.regexp_extract(message, "^\\s*(\\S+)", 1)))
 
 
 def decoded_size(stored: Column | str) -> Column:
@@ -113,12 +125,12 @@ def eye_region(
 ) -> dict[str, Column]:
     """Eye strip of a face box: 30-45 % of its height, 15-85 % of its width, padded, clamped."""
     x, y, w, h = _col(x), _col(y), _col(w), _col(h)
-    left = x + _truncated(w * F.lit(0.15))
-    right = x + _truncated(w * F.lit(0.85))
-    top = y + _truncated(h * F.lit(0.30))
-    bottom = y + _truncated(h * F.lit(0.45))
-    pad_x = _truncated((right - left) * F.lit(0.15))
-    pad_y = _truncated((bottom - top) * F.lit(0.20))
+    left = x + _truncated(w * F.lit(EYES_LEFT))
+    right = x + _truncated(w * F.lit(EYES_RIGHT))
+    top = y + _truncated(h * F.lit(EYES_TOP))
+    bottom = y + _truncated(h * F.lit(EYES_BOTTOM))
+    pad_x = _truncated((right - left) * F.lit(EYES_PAD_X))
+    pad_y = _truncated((bottom - top) * F.lit(EYES_PAD_Y))
     return _clamped(left, top, right, bottom, pad_x, pad_y, image_width, image_height)
 
 
@@ -127,8 +139,8 @@ def landmark_box(
     image_width: Column | str, image_height: Column | str,
 ) -> dict[str, Column]:
     """Box around landmarks, padded by 15 % each way and clamped to the image."""
-    pad_x = _truncated((max_x - min_x) * F.lit(0.15))
-    pad_y = _truncated((max_y - min_y) * F.lit(0.15))
+    pad_x = _truncated((max_x - min_x) * F.lit(LANDMARK_PAD))
+    pad_y = _truncated((max_y - min_y) * F.lit(LANDMARK_PAD))
     return _clamped(min_x, min_y, max_x, max_y, pad_x, pad_y, image_width, image_height)
 
 

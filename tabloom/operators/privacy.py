@@ -27,6 +27,10 @@ BROADCAST_NAMES = 200_000
 # Landmark numbers of the two eyes.
 FIRST_EYE_POINT, LAST_EYE_POINT = 36, 47
 
+# What is reported for an image without and with eye regions.
+NO_REGIONS = "Analysis complete: No faces or eye landmarks detected"
+REGIONS_BEFORE, REGIONS_AFTER = "Success: Detected ", " eye region(s)"
+
 
 def cells(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
     """``(key, column_name, value)`` for all non-null values, as strings."""
@@ -201,9 +205,7 @@ def detection_summary(images: DataFrame, detections: DataFrame, key: str = "imag
     """``(image_id, n_regions, message)`` for every image."""
     counts = detections.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
-    message = F.when(n == 0, "Analysis complete: No faces or eye landmarks detected").otherwise(
-        F.concat(F.lit("Success: Detected "), n, F.lit(" eye region(s)"))
-    )
+    message = F.when(n == 0, NO_REGIONS).otherwise(F.concat(F.lit(REGIONS_BEFORE), n, F.lit(REGIONS_AFTER)))
     return images.select(key).join(counts, key, "left").select(key, n.alias("n_regions"), message.alias("message"))
 
 
