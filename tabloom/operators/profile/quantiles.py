@@ -22,8 +22,8 @@ from .columns import chunks, columns_of_kind, sql_text
 
 DEFAULT_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
-# Scans per pass at most; each reads its own columns only.
-BRANCHES = 16
+# Scans per pass at most; each reads its own columns only, several to a scan.
+BRANCHES = 4
 
 # A sketch is off by at most 1/ACCURACY of the ranks it covers.
 ACCURACY = 10_000

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,29 +62,59 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_scopes: list[set[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Everything that is written as scratch inside, by whatever operator, goes at the end.
+
+    For jobs that store their result inside the scope: a lazy result that is used after it
+    would miss its tables.
+    """
+    scope: set[str] = set()
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        for path in scope:
+            drop_path(spark, path)
+
+
 class Scratch:
     """Tables written to the shared folder, with an owner that removes them.
 
-    Operators that write intermediate tables take the ``Scratch`` of their caller: a job
-    that stores its result closes it at the end, and nothing is left in the folder. What a
-    lazy result still reads must stay until that result has been used. ``drop`` removes
-    single tables as soon as nothing reads them.
+    Operators that write intermediate tables take the ``Scratch`` of their caller, or make
+    one of their own, which the ``scratch_scope`` around them owns. What a lazy result
+    still reads must stay until that result has been used; ``drop`` removes single tables
+    as soon as nothing reads them.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._paths: dict[int, str] = {}
+        self._folders: list[str] = []
+        self._scope = _scopes[-1] if _scopes else set()
+
+    def path(self, label: str) -> str:
+        """A new path for files that are not a table."""
+        path = scratch_path(self.spark, label)
+        self._folders.append(path)
+        self._scope.add(path)
+        return path
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         """The rows written once, for plans that read them several times.
 
         Later steps read only the columns they need, and a lost executor costs one task of
         a file read instead of the whole computation.
         """
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = path
+        self._scope.add(path)
         back._scratch = self  # keeps the id taken while the table is known
         return back
 
@@ -90,12 +122,15 @@ class Scratch:
         for frame in frames:
             path = self._paths.pop(id(frame), None)
             if path:
+                self._scope.discard(path)
                 drop_path(self.spark, path)
 
     def close(self) -> None:
-        for path in self._paths.values():
+        for path in [*self._paths.values(), *self._folders]:
+            self._scope.discard(path)
             drop_path(self.spark, path)
         self._paths.clear()
+        self._folders.clear()
 
     def __enter__(self) -> Scratch:
         return self

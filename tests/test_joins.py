@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import joins as J
-from tabloom.session import Scratch, shared_root
+from tabloom.session import Scratch, scratch_scope, shared_root
 
 
 def tables(spark):
@@ -64,3 +64,12 @@ def test_scratch_is_removed_by_its_owner(spark, tmp_path):
         scratch.drop(a)
         assert len(listed()) == 1 and b.count() == 10
     assert listed() == set()
+    kept = Scratch(spark)
+    with scratch_scope(spark):
+        part = J.written(spark.range(5), "mine")
+        os.makedirs(Scratch(spark).path("mine"))
+        whole = kept.write(part.selectExpr("id + 1 AS id"), "mine")
+        assert len(listed()) == 3
+    assert len(listed()) == 1 and whole.count() == 5
+    kept.close()
+    assert listed() == set()
