@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import packing, quality, secrets, simhash, toxicity
-from tabloom.llm.common import Scratch, table
+from tabloom.llm.common import Scratch, scratch_scope, table
 from tabloom.llm.queries import tokenizer_file
 
 
@@ -53,10 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage reads what the one before it has written."""
+    """The rows of the last stage; each stage reads what the one before it has written.
+
+    What a stage writes for itself goes when its documents are stored, and those go when
+    the next stage's are.
+    """
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        written = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_scope(spark):
+            written = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(docs)
         docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

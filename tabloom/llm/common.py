@@ -6,13 +6,16 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import Scratch, scratch_scope
+
+__all__ = ["Scratch", "scratch_scope", "slices", "small_batches", "table", "text_bytes", "text_list"]
 
 # Texts per Arrow batch, and bytes of text that a task looks at together.
 BATCH_ROWS = 1000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,53 +30,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the file system that holds it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-class Scratch:
-    """Tables written to the shared folder, with an owner that removes them.
-
-    ``drop`` removes single tables as soon as nothing reads them; ``close`` removes the
-    rest. What a returned, lazy result still reads must be left to its reader.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self._paths: dict[int, str] = {}
-
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(self.spark, label)
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
-        back._scratch_path = path
-        return back
-
-    def drop(self, *frames: DataFrame) -> None:
-        for frame in frames:
-            path = self._paths.pop(id(frame), None)
-            if path:
-                drop_path(self.spark, path)
-
-    def close(self) -> None:
-        for path in self._paths.values():
-            drop_path(self.spark, path)
-        self._paths.clear()
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.close()
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about ``most`` bytes together, one row at least."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes.tolist()):

@@ -20,7 +20,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
 from .common import Scratch, slices, small_batches, text_list
 from .packing import END_ID, encode_ids
 from .warc import _filesystem
@@ -258,10 +257,8 @@ def training_order(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    folder = folder or scratch_path(spark, "shards")
-    place = scratch_path(spark, "sequences")
-    sequences(docs, path, length).write.option("compression", "zstd").parquet(place)
-    table = spark.read.parquet(place)
+    folder = folder or scratch.path("shards")
+    table = scratch.write(sequences(docs, path, length), "sequences", compression="zstd")
     manifest = write_shards(table, folder, scratch, length, key, shard_sequences)
     firsts, total = _firsts(table)
     told = _with_slots(table, spark.sparkContext.broadcast(firsts), total, key, ["n_tokens", "doc_ids", "start"])
@@ -273,4 +270,5 @@ def training_order(
 
     spread = manifest.repartition(max(1, manifest.count()))
     back = read_shards(spread, folder, length).mapInArrow(digest, "slot bigint, shard int, byte_offset bigint, ids_crc32 bigint")
-    return back.join(told, "slot").select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", "start", "ids_crc32")
+    # Both sides grow with the sequences, which the size of a manifest does not show.
+    return back.join(told.hint("merge"), "slot").select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", "start", "ids_crc32")

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
 from .common import Scratch, small_batches
 
 CHUNK_BYTES = 1 << 18
@@ -232,9 +231,9 @@ def page_records(pages: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
 
     The digest of a response is that of the bytes read, and must be the one in its header.
     """
-    spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
-    archives = archive_pages(pages, folder, chunk=chunk)
+    scratch = Scratch(pages.sparkSession)
+    folder = scratch.path("warc")
+    archives = archive_pages(pages, folder, scratch, chunk)
     spread = archives.repartition(max(1, archives.count()))
     ends = read_archives(spread, folder, chunk, with_data=False).where("last")
     response = F.col("record_type") == "response"
