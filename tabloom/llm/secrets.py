@@ -109,9 +109,9 @@ def _mean(values: Column, n: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
 
 
-def _uniform(codes: Column, n: Column, k: int) -> Column:
+def _uniform(codes: Column, n: Column, k: Column) -> Column:
     """p-value of chi-squared over cells that expect five characters each, two cells at least."""
-    cells = F.greatest(F.least((n / 5).cast("int"), F.lit(k)), F.lit(2))
+    cells = F.greatest(F.least((n / 5).cast("int"), k), F.lit(2))
 
     def statistic(b: Column) -> Column:
         def cell(i: Column) -> Column:
@@ -131,10 +131,11 @@ def _neighbours(codes: Column, n: Column, f: Callable[[Column, Column], Column])
     return F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), f)
 
 
-def _runs(codes: Column, n: Column, k: int) -> Column:
+def _runs(codes: Column, n: Column, k: Column) -> Column:
     """p-value of the number of runs above and below the middle of the alphabet."""
-    high = F.size(F.filter(codes, lambda c: c >= k // 2)).cast("double")
-    runs = 1 + F.size(F.filter(_neighbours(codes, n, lambda a, b: (a >= k // 2) != (b >= k // 2)), lambda x: x))
+    upper = F.transform(codes, lambda c: 2 * c >= k)
+    high = F.size(F.filter(upper, lambda x: x)).cast("double")
+    runs = 1 + F.size(F.filter(_neighbours(upper, n, lambda a, b: a != b), lambda x: x))
 
     def p(h: Column) -> Column:
         twice = 2 * h * (n - h)
@@ -145,17 +146,17 @@ def _runs(codes: Column, n: Column, k: int) -> Column:
     return _let(high, p)
 
 
-def _serial(codes: Column, n: Column, k: int) -> Column:
+def _serial(codes: Column, n: Column, k: Column) -> Column:
     """p-value of the correlation of neighbouring characters."""
     mid, var = (k - 1) / 2, (k * k - 1) / 12
     total = F.aggregate(_neighbours(codes, n, lambda a, b: (a - mid) * (b - mid)), F.lit(0.0), lambda a, x: a + x)
     return _both(total / (var * F.sqrt(n - 1)))
 
 
-def _battery(token: Column, alphabet: str) -> Column:
+def _battery(token: Column, alphabet: Column) -> Column:
     """Combined p-value of a token against randomness in an alphabet."""
-    k = len(alphabet)
-    codes = F.transform(F.filter(F.split(token, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    k = F.length(alphabet)
+    codes = F.transform(F.filter(F.split(token, "", -1), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
 
     def combined(c: Column) -> Column:
         n = F.size(c)
@@ -169,12 +170,17 @@ def _battery(token: Column, alphabet: str) -> Column:
 def _judged(token: Column) -> Column:
     """``(band, bin)`` of a token; null if its characters fit no encoding."""
     bare = F.rtrim(token, F.lit("="))
-    p = F.lit(None).cast("double")
+    fitting = F.lit(None).cast("string")
     for _, pattern, alphabet in reversed(ENCODINGS):
-        p = F.when(bare.rlike(pattern), _battery(bare, alphabet)).otherwise(p)
+        fitting = F.when(bare.rlike(pattern), F.lit(alphabet)).otherwise(fitting)
+    p = _let(fitting, lambda alphabet: F.when(alphabet.isNotNull(), _battery(bare, alphabet)))
     band = F.least(F.log2(F.length(bare)).cast("int"), F.lit(BANDS - 1))
-    step = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-19))) * STEPS), F.lit(BINS - 1)).cast("int")
-    return F.when(p.isNotNull(), F.struct(band.alias("band"), step.alias("bin")))
+
+    def binned(q: Column) -> Column:
+        step = F.least(F.floor(-F.log10(F.greatest(q, F.lit(1e-19))) * STEPS), F.lit(BINS - 1)).cast("int")
+        return F.when(q.isNotNull(), F.struct(band.alias("band"), step.alias("bin")))
+
+    return _let(p, binned)
 
 
 def dismissal(docs: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVERIES) -> dict[int, int]:
