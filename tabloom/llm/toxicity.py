@@ -35,7 +35,7 @@ DECAY = 0.6
 # Offsets of the second and third symbol of a subsequence.
 PATTERNS = tuple((a, b) for b in range(2, 5) for a in range(1, b))
 BITS, BOUNDARY, TABLE = 6, 27, 1 << 18
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 REGULAR = 1e-2
 
 
@@ -142,7 +142,7 @@ class Landmarks:
         keep = values > 1e-6 * values[-1]
         self.root = (basis[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
-    def map(self, words: list[bytes], chunk: int = 2000) -> np.ndarray:
+    def map(self, words: list[bytes], chunk: int = 250) -> np.ndarray:
         """Nyström features of words."""
         out = np.zeros((len(words), self.root.shape[1]), np.float32)
         for at in range(0, len(words), chunk):
@@ -172,12 +172,16 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12
     scale = weight / weight.sum()
     active = np.ones(n, bool)
     for _ in range(rounds):
-        xa, s = x[active].astype(np.float64), scale[active]
-        a = np.zeros((d + 1, d + 1))
-        a[:d, :d] = (xa * s[:, None]).T @ xa + REGULAR * 1e-2 * np.eye(d)
-        a[:d, d] = a[d, :d] = (xa * s[:, None]).sum(axis=0)
-        a[d, d] = s.sum() + 1e-9
-        sol = np.linalg.solve(a, np.append((xa * (s * y[active])[:, None]).sum(axis=0), (s * y[active]).sum()))
+        a, rhs = np.zeros((d + 1, d + 1)), np.zeros(d + 1)
+        rows = np.flatnonzero(active)
+        for at in range(0, len(rows), 1000):  # in parts, so that only the small system is held
+            part = rows[at : at + 1000]
+            xa, s = np.hstack([x[part], np.ones((len(part), 1), np.float32)]).astype(np.float64), scale[part]
+            a += (xa * s[:, None]).T @ xa
+            rhs += xa.T @ (s * y[part])
+        a[np.arange(d), np.arange(d)] += REGULAR * 1e-2
+        a[d, d] += 1e-9
+        sol = np.linalg.solve(a, rhs)
         w, b = sol[:d], float(sol[d])
         now = y * (x @ w + b) < 1
         if (now == active).all() or not now.any():
@@ -261,9 +265,8 @@ def fit(texts: list[str], toxic: list[int], total: tuple[int, int] | None = None
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
-    words = [list(dict.fromkeys(normal(t).split())) for t in texts]
     index: dict[bytes, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in ws], np.int64) for ws in words]
+    docs = [np.array([index.setdefault(w, len(index)) for w in dict.fromkeys(normal(t).split())], np.int64) for t in texts]
     names = list(index)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     in1 = np.bincount(np.concatenate([d for d, t in zip(docs, y) if t]), minlength=len(names)).astype(float)
