@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..session import Scratch, scratch_scope
 
-__all__ = ["Scratch", "scratch_scope", "slices", "small_batches", "table", "text_bytes", "text_list"]
+__all__ = [
+    "Scratch", "plain_names", "scratch_scope", "slices", "small_batches", "table", "text_bytes", "text_list", "with_fields",
+]
 
 # Texts per Arrow batch, and bytes of text that a task looks at together.
 BATCH_ROWS = 1000
@@ -22,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named ``c0``, ``c1`` and so on, and what each is called there.
+
+    Operators add columns whose names start with an underscore; whatever the caller's
+    columns are called, they cannot clash with those.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def with_fields(schema: T.StructType, fields: str) -> T.StructType:
+    """A schema with more fields, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small; a lower setting of the session is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, slices, small_batches, text_list
+from .common import Scratch, slices, small_batches, text_list, with_fields
 
 CAPACITY = 2048
 END_ID = 0
@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     names = [*pieces.columns, "_rank"]
     rows = rows.select(*[F.col(f"`{c}`") for c in names])
     at, last = pieces.columns.index(length_col), len(names) - 1
-    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id bigint", "offset bigint"]
+    schema = with_fields(pieces.schema, "sequence_id bigint, offset bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = places.value
@@ -209,7 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             columns = [*batch.columns[:last], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [*names[:last], "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, ", ".join(out))
+    return rows.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import plain_names
+
 # Fixed patterns of the base rules. A match of `assign` counts if its second group has six characters.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -262,8 +264,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     Texts without secrets stay as they are, null included; where a text changes,
     ``length_col`` is its new number of code points.
     """
-    found = find_secrets(docs, text_col, q)
-    text = F.col(f"`{text_col}`")
+    rows, named = plain_names(docs)
+    found = find_secrets(rows, named[text_col], q)
+    text = F.col(named[text_col])
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
@@ -277,11 +280,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     hit = F.size("_spans") > 0
     fresh = found.withColumn("_clean", F.when(hit, clean).otherwise(text))
     out = []
-    for c in docs.columns:
+    for c, name in named.items():
         if c == text_col:
             out.append(F.col("_clean").alias(c))
         elif c == length_col:
-            out.append(F.when(hit, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            out.append(F.when(hit, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(name)).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col(name).alias(c))
     return fresh.select(*out)

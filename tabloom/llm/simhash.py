@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, slices, small_batches, text_bytes
+from .common import Scratch, plain_names, slices, small_batches, text_bytes
 from .graph import connected_components
 
 BYTES = 8
@@ -192,7 +192,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_
     """
     parts = simhash_components(docs, "doc_id", "text", shingle, max_bits)
     first = parts.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
-    return one.select("doc_id", "row.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows, named = plain_names(docs)
+    key = named["doc_id"]
+    kept = rows.join(first, F.col(key) == F.col("doc_id"), "left_semi")
+    one = kept.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("_row"))
+    whole = one.select(key, "_row.*").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
+    return whole.toDF(*docs.columns)

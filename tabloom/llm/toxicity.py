@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, small_batches, text_list
+from .common import plain_names, slices, small_batches, text_list, with_fields
 
 # Labelled documents of each class that are learnt from, and bytes of text of all of them.
 SAMPLE_DOCS = 2000
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("*", F.col(f"`{text_col}`").cast("string").alias("_scored_text"))
     at, names = len(docs.columns), [*docs.columns, out_col]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{out_col} double"])
+    schema = with_fields(docs.schema, f"`{out_col}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -363,7 +363,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
                 values = pa.array(m.scores(text_list(part.column(at))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], values], names)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -381,5 +381,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with the columns of ``docs``."""
-    model = learn(docs, labels)
-    return score(docs, model).where(F.col("_toxic_score") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = learn(docs.select("doc_id", "text"), labels)
+    rows, named = plain_names(docs)
+    return score(rows, model, named["text"]).where(F.col("_toxic_score") < limit).select(*rows.columns).toDF(*docs.columns)

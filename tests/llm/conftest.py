@@ -21,7 +21,8 @@ def clash(spark):
     """Documents with further columns whose names operators might use inside."""
 
     def add(df):
-        for name in ("fp", "n", "u", "v", "id", "component", "mask", "value", "lengths", "words", "row"):
+        names = "fp n u v id component mask value lengths words row c0 c1 _lang _text _kept _n_words _toxic_score _spans _base _row"
+        for name in [*names.split(), "a b"]:
             df = df.withColumn(name, F.lit(1))
         return df
 
