@@ -323,3 +323,23 @@ def training_set_create(spark, sf):
     T.save_feature_table(load(spark, sf, "supplier"), table, scratch_path(spark, table), stamp_at=stamp)
     path = create_training_set(spark, table, shared_root(spark), table)
     return preview_training_set(spark, path)
+
+
+@query(
+    "training_set_delete",
+    """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, false AS outside, true AS inside, false AS remains
+       FROM supplier WHERE s_acctbal >= 0""",
+)
+def training_set_delete(spark, sf):
+    """Two training sets: one may be deleted, the other lies outside the allowed folder and is read afterwards."""
+    root, other = scratch_path(spark, "deletable"), scratch_path(spark, "other")
+    rows = load(spark, sf, "supplier").where("s_acctbal >= 0")
+    gone, kept = T.training_set_path(root, "1"), T.training_set_path(other, "2")
+    for path in (gone, kept):
+        T.save_training_set(rows, path)
+    outside = T.delete_training_set(spark, kept, root)
+    inside = T.delete_training_set(spark, gone, root)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(gone)
+    remains = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    flags = {"outside": outside, "inside": inside, "remains": bool(remains)}
+    return D.read_training_set(spark, kept).select("s_suppkey", *[F.lit(v).alias(k) for k, v in flags.items()])
