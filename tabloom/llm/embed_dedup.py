@@ -25,9 +25,9 @@ from .graph import connected_components
 
 THRESHOLD = 0.93
 # Vectors that a cell should hold at home, pivots of a label, and pivots of all labels (the bound of the broadcast).
-CELL, LABEL_PIVOTS, ALL_PIVOTS = 4096, 256, 1 << 15
+CELL, LABEL_PIVOTS, ALL_PIVOTS = 4096, 256, 1 << 14
 # Vectors per pivot sought that the pivots of a label are chosen from, and rows in a block.
-SAMPLE, BLOCK = 16, 2048
+SAMPLE, BLOCK = 4, 2048
 # Distances from products of doubles are good to about 1e-8.
 SLACK = 1e-6
 
@@ -97,9 +97,9 @@ def pivots(classes: DataFrame, radius: float) -> dict[str, np.ndarray]:
     draw = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
     drawn = classes.join(F.broadcast(some), "group").where(draw < SAMPLE * F.col("wanted") / F.col("n"))
     first = Window.partitionBy("group").orderBy(F.xxhash64("vector"), "vec_id")
-    drawn = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= 4 * SAMPLE * F.col("wanted"))
+    drawn = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= 2 * SAMPLE * F.col("wanted"))
     by: dict[str, list] = {}
-    for r in drawn.select("group", "at", "wanted", "vector").toLocalIterator():
+    for r in drawn.select("group", "at", "wanted", "vector").collect():
         by.setdefault(r["group"], []).append((r["at"], r["wanted"], bytes(r["vector"])))
     out = {}
     for group, rows in by.items():

@@ -59,12 +59,38 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-@query("op7_warc")
+@query(
+    "op7_warc",
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+    k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> keeper THEN keeper END AS refers_to
+    FROM k""",
+)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
-@query("op8_embed_dedup")
+@query(
+    "op8_embed_dedup",
+    f"""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= {embed_dedup.THRESHOLD}),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+    SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e
+    JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = e.vec_id
+    LEFT JOIN (SELECT x, count(*) AS n_links FROM l GROUP BY x) n ON n.x = e.vec_id""",
+)
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -335,9 +335,9 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 0, sample: int
     few = F.broadcast(parts[0].unionByName(parts[1]))  # at most twice `sample` short rows
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id")
     each = SAMPLE_BYTES // (2 * sample)
-    # Of the sample, texts so long that a few would fill it are passed over.
-    rows = found.where(F.col("text").isNotNull() & (F.octet_length("text") <= 16 * each)).select("doc_id", "toxic", "text")
-    by_id = {r["doc_id"]: r for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))}
+    # Of the sample, texts so long that a few would fill it are passed over; this bounds what comes to the driver.
+    rows = found.where(F.col("text").isNotNull() & (F.octet_length("text") <= 8 * each)).select("doc_id", "toxic", "text")
+    by_id = {r["doc_id"]: r for r in sorted(rows.distinct().limit(4 * sample).collect(), key=lambda r: (r["doc_id"], r["text"]))}
     held, texts, toxic = {0: 0, 1: 0}, [], []
     for r in sorted(by_id.values(), key=lambda r: hash_of(str(r["doc_id"]).encode())):
         if held[r["toxic"]] + len(r["text"]) <= SAMPLE_BYTES // 2:
