@@ -173,7 +173,8 @@ def ranked(pieces: DataFrame, length_col: str, order: list[str], scratch: Scratc
     sizes = numbered.groupBy("_bucket", length_col).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.write(sizes.select("_bucket", length_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "base")
-    joined = numbered.join(base, ["_bucket", length_col])
+    # Almost as many counts as pieces, though they compress to little: not a side to broadcast.
+    joined = numbered.join(base.hint("merge"), ["_bucket", length_col])
     return joined.withColumn("_rank", F.col("_base") + F.col("_within")).drop("_bucket", "_within", "_base")
 
 
