@@ -5,7 +5,8 @@ randomness are expressions over the characters of a token, and the corpus-wide t
 is an aggregate of at most ``BANDS * BINS`` rows.
 
 The battery takes every run of 20 or more key characters that holds a digit and a letter
-and whose alphabet is that of a known encoding. Its hypothesis is that the token is
+and whose alphabet is that of a known encoding. A run with marks of two alphabets, such as a
+path that ends in a token, is taken apart at the marks foreign to each. Its hypothesis is that the token is
 random in that alphabet. Three tests look against it: chi-squared uniformity over pooled
 cells of the alphabet, the number of runs above and below the middle of the alphabet, and
 the correlation of neighbours. Their p-values are combined by Fisher's rule. Tokens of
@@ -30,6 +31,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+# Marks that no encoding holds together, and the runs of either alphabet within such a token.
+FOREIGN = "[+/].*[_-]|[_-].*[+/]"
+PIECES = (r"[A-Za-z0-9_-]{20,}+={0,2}", r"[A-Za-z0-9+/]{20,}+={0,2}")
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Encodings in the order in which they are tried: name, pattern, alphabet by code.
 ENCODINGS = (
@@ -89,12 +93,19 @@ def _pattern_spans(text: Column, kind: int) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Runs of key characters with a digit and a letter."""
+    """Runs of key characters with a digit and a letter; of a run that fits no encoding, the runs of each alphabet."""
 
-    def item(start: Column, end: Column, match: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), match.alias("token"))
+    def runs(of: Column, pattern: str, at: Column) -> Column:
+        def item(start: Column, end: Column, match: Column) -> Column:
+            return F.struct((at + start).alias("start"), (at + end).alias("end"), match.alias("token"))
+
+        return _found(of, pattern, item, lambda part: part.rlike("[0-9]") & part.rlike("[A-Za-z]"), _TOKENS)
+
+    def whole(t: Column) -> Column:
+        pieces = F.concat(*[runs(t["token"], pattern, t["start"]) for pattern in PIECES])
+        return F.when(t["token"].rlike(FOREIGN), pieces).otherwise(F.array(t))
 
-    return _found(text, TOKEN, item, lambda part: part.rlike("[0-9]") & part.rlike("[A-Za-z]"), _TOKENS)
+    return F.flatten(F.transform(runs(text, TOKEN, F.lit(0)), whole))
 
 
 def _tail(z: Column) -> Column:
