@@ -13,11 +13,14 @@ from ..session import Scratch, scratch_scope
 
 __all__ = [
     "Scratch", "plain_names", "scratch_scope", "slices", "small_batches", "table", "text_bytes", "text_list", "with_fields",
+    "word_lists",
 ]
 
 # Texts per Arrow batch, and bytes of text that a task looks at together.
 BATCH_ROWS = 1000
 SLICE_BYTES = 2 << 20
+# Bytes of one text that are split into words together.
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +71,25 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def text_list(column: pa.Array) -> list[str]:
     """Every text, nulls as empty texts."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def word_lists(text: bytes, plain: bytes, most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, in lists from about ``most`` bytes each, so that a huge text is never split at once.
+
+    ``plain`` translates bytes; what it turns into spaces stands between words.
+    """
+    at = 0
+    while at < len(text):
+        end = at + most
+        piece = text[at:end].translate(plain)
+        # Take the rest of a word that the cut goes through.
+        while end < len(text) and not piece.endswith(b" "):
+            more = text[end : end + 4096].translate(plain)
+            stop = more.find(b" ") + 1
+            more = more[:stop] if stop else more
+            piece += more
+            end += len(more)
+        at = end
+        words = piece.split()
+        if words:
+            yield words
