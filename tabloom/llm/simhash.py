@@ -51,7 +51,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` is the fingerprint as a signed long. Null texts have fingerprint 0."""
+    """``(doc_id, fp, same)`` per row: the fingerprint as a signed long, 0 for null texts, and a hash of the whole text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +59,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for start, end in slices(batch, 1):
                 part = batch.slice(start, end - start)
                 fps = np.array([fingerprint(t, shingle) for t in text_bytes(part.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), part.column(2)], ["doc_id", "fp", "same"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, same bigint")
 
 
 def postings(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -151,6 +152,24 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return entries.where(F.size("prints") > 1).select("prints").mapInArrow(run, "fp_a bigint, fp_b bigint").distinct()
 
 
+def _classes(prints: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
+    """``(fp, component, component_id)`` of the different fingerprints of a written table; ``component`` is a fingerprint."""
+    classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    links = scratch.write(fingerprint_links(classes, max_bits), "links")
+    # Components of fingerprints; the least doc_id over the classes of a component names it.
+    parts = connected_components(links, "fp_a", "fp_b")
+    labelled = scratch.write(classes.join(parts, F.col("fp") == F.col("id"), "inner").select("fp", "component", "first_id"), "labelled")
+    least = scratch.write(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    named = labelled.join(least, "component").select("fp", "component", "component_id")
+    alone = F.col("component").isNull()
+    of = classes.join(named, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    of = scratch.write(of, "components")
+    scratch.drop(classes, links, labelled, least)
+    return of
+
+
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,32 +188,48 @@ def simhash_components(
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    links = scratch.write(fingerprint_links(classes, max_bits), "links")
-    # Components of fingerprints; the least doc_id over the classes of a component names it.
-    parts = connected_components(links, "fp_a", "fp_b")
-    labelled = scratch.write(classes.join(parts, F.col("fp") == F.col("id"), "inner").select("fp", "component", "first_id"), "labelled")
-    least = scratch.write(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    named = labelled.join(least, "component").select("fp", "component_id")
-    of = scratch.write(
-        classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components"
-    )
-    scratch.drop(classes, links, labelled, least)
+    of = _classes(prints, max_bits, scratch)
     # Both sides are scans, so adaptive execution can split a fingerprint of very many documents.
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Rows to drop that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, one per component: the row whose ``doc_id`` names it; the least text of equal ids.
+    """The rows of ``docs``, one of each component: that with the least ``doc_id``, null ids last.
 
-    Ids that stand on several rows keep one row in all if their texts share a component.
-    Rows with a null id are kept, since no id can name them.
+    Ids need not be unique: rows of one id and one component are told apart by a hash of
+    their text, the least of which stays, and of rows that agree in both one stays. So no
+    component is lost and none keeps two rows. An empty table gives no rows. Decisions are
+    taken on ids and hashes; texts are read once more for the join with the rows to drop,
+    which is a broadcast of ids up to ``BROADCAST_ROWS``.
     """
-    parts = simhash_components(docs, "doc_id", "text", shingle, max_bits)
-    first = parts.where("doc_id = component_id").select("doc_id").distinct()
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(fingerprints(docs, "doc_id", "text", shingle), "fingerprints")
+    rows_of = prints.groupBy("fp", "doc_id", "same").agg(F.count(F.lit(1)).alias("n"))
+    rows_of = scratch.write(rows_of.join(_classes(prints, max_bits, scratch), "fp").select("component", "doc_id", "same", "n"), "rows-of")
+    least = rows_of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "same")).alias("one"))
+    # Both sides are scans, so a component of very many rows is split between tasks.
+    judged = rows_of.join(scratch.write(least, "least"), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("same") == F.col("one.same"))
+    judged = scratch.write(judged.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "n", stays.alias("stays")).where("NOT stays OR n > 1"), "judged")
+
     rows, named = plain_names(docs)
-    key = named["doc_id"]
-    kept = rows.join(first, F.col(key) == F.col("doc_id"), "left_semi")
-    one = kept.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("_row"))
-    whole = one.select(key, "_row.*").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
-    return whole.toDF(*docs.columns)
+    key = F.col(named["doc_id"]).cast("bigint")
+    hashed = rows.withColumns({"_own_id": key, "_own_same": F.xxhash64(F.col(named["text"]).cast("string"))})
+    match = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_same") == F.col("_same"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, match, how)
+
+    kept = joined(hashed, judged.where("NOT stays").select("_id", "_same"), "left_anti")
+    again = judged.where("stays").select("_id", "_same")
+    if not again.isEmpty():
+        # Rows repeated in id and text: any other columns decide, by a hash of the whole row.
+        own = [F.col(c) for c in rows.columns]
+        twice = joined(kept, again, "left_semi").withColumn("_order", F.xxhash64(F.to_json(F.struct(*own))))
+        one = twice.groupBy("_own_id", "_own_same").agg(F.min_by(F.struct(*own), "_order").alias("_row")).select("_row.*")
+        kept = joined(kept, again, "left_anti").select(*rows.columns).unionByName(one)
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -128,8 +128,8 @@ def planted(spark):
 def test_bands(planted):
     n, rows = planted
     assert all(rows[i].kept for i in range(n))
-    # Noise brings a new way for each of its n-grams, and leaves the band on the lower side.
-    assert not any(rows[n + i].kept for i in range(4)) and all(rows[n + i].deviations < -quality.LOWER for i in range(4))
+    # Noise is scored by texts that do not hold its n-grams, and leaves the band on the upper side.
+    assert not any(rows[n + i].kept for i in range(4)) and all(rows[n + i].deviations > quality.UPPER for i in range(4))
     assert not any(rows[n + i].kept for i in range(4, 10))
     assert [rows[n + i].base_failed for i in range(4, 10)] == [False, False, True, True, True, True]
     assert (rows[n + 7].n_words, rows[n + 7].log_perplexity) == (0, None)

@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabloom.llm import simhash
 from .conftest import frame
@@ -92,8 +94,24 @@ def test_keep_one(spark, clash):
     kept = simhash.keep_one(clash(frame(spark, texts)))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
     assert kept.columns == clash(frame(spark, [])).columns
-    twice = simhash.keep_one(frame(spark, ["a b c", "a b c", "z", "z"], [7, 7, None, 9]))
-    assert sorted((r.doc_id or -1, r.text) for r in twice.collect()) == [(-1, "z"), (7, "a b c"), (9, "z")]
+    assert simhash.keep_one(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("limit", [simhash.BROADCAST_ROWS, 0])
+def test_keep_one_row_of_each_component(spark, monkeypatch, limit):
+    """Shared and null ids, copies, and rows that differ in columns beside the text only."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    texts = ["a b c", "a b c", "wholly other words", "z", "z", "q", "q", "a b c", "Q"]
+    ids = [7, 7, 7, None, 9, None, None, 3, None]
+    df = frame(spark, texts, ids).withColumn("more", F.create_map(F.lit("k"), F.monotonically_increasing_id()))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in simhash.keep_one(df.repartition(3)).collect())
+    assert [g for g in got if g[0] >= 0] == [(3, "a b c"), (7, "wholly other words"), (9, "z")]
+    assert [t.lower() for i, t in got if i < 0] == ["q"]
+
+
+def test_keep_one_against_components(docs):
+    parts = {r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(parts)
 
 
 def test_many_copies_are_one_class(spark):
