@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tabloom.operators import catalog as C
 from tabloom.plans.profiling import profile_pending
 from tabloom.operators.profile import numeric_profile
+from tabloom.session import scratch_path, scratch_table
+from tabloom.sources import stored as S
 
 from .base import load, query, settle, settled_sql
 from .text import CUSTOMER_PERMISSION
@@ -241,3 +243,57 @@ def privacy_upsert(spark, sf):
         "doc_id", "nullif(lang, 'en') AS privacy_detection_result", "source AS privacy_detection_type", "1 AS run"
     )
     return C.upsert(stored, older.unionByName(newer), "doc_id", order="run")
+
+
+@query(
+    "upsert_null_order",
+    """
+    WITH ch AS (SELECT doc_id, source AS r, CASE WHEN doc_id % 2 = 0 THEN 1 END AS run, lang AS old FROM documents)
+    SELECT coalesce(l.doc_id, ch.doc_id) AS doc_id,
+      CASE WHEN ch.doc_id IS NULL THEN CAST(quality AS VARCHAR) WHEN run = 1 THEN r ELSE 'only' END AS privacy_detection_result
+    FROM labels l FULL JOIN ch ON ch.doc_id = l.doc_id""",
+)
+def upsert_null_order(spark, sf):
+    """Changes without an order come before those with one, and count where there is no other."""
+    stored = load(spark, sf, "labels").selectExpr("doc_id", "string(quality) AS privacy_detection_result")
+    documents = load(spark, sf, "documents")
+    first = documents.selectExpr("doc_id", "'only' AS privacy_detection_result", "CAST(NULL AS INT) AS run")
+    later = documents.where("doc_id % 2 = 0").selectExpr("doc_id", "source AS privacy_detection_result", "1 AS run")
+    return C.upsert(stored, first.unionByName(later), "doc_id", order="run")
+
+
+@query(
+    "status_update_stored",
+    """
+    SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 = 0 AND c_nationkey < 4 THEN CAST(nullif(c_custkey % 20, 0) // 5 AS INTEGER)
+      ELSE 1 END AS dataprep_status, c_nationkey FROM customer""",
+)
+def status_update_stored(spark, sf):
+    """New statuses in a table partitioned by nation; only four nations are written again."""
+    customers = load(spark, sf, "customer").selectExpr("c_custkey", "c_mktsegment", "1 AS dataprep_status", "c_nationkey")
+    table = scratch_table("catalog")
+    customers.write.format("orc").partitionBy("c_nationkey").option("path", scratch_path(spark, table)).saveAsTable(table)
+    updates = customers.where("c_custkey % 5 = 0 AND c_nationkey < 4").selectExpr("c_custkey", "int(nullif(c_custkey % 20, 0) div 5) AS new_status")
+    S.update_status(spark, table, "c_custkey", "dataprep_status", updates)
+    return spark.table(table)
+
+
+@query(
+    "privacy_upsert_stored",
+    """
+    WITH ch AS (SELECT doc_id, nullif(lang, 'en') AS r, source AS t FROM documents)
+    SELECT coalesce(l.doc_id, ch.doc_id) AS doc_id,
+      CASE WHEN ch.doc_id IS NULL THEN CAST(quality AS VARCHAR) ELSE r END AS privacy_detection_result,
+      CASE WHEN ch.doc_id IS NULL THEN CAST(toxic AS VARCHAR) ELSE t END AS privacy_detection_type
+    FROM labels l FULL JOIN ch ON ch.doc_id = l.doc_id""",
+)
+def privacy_upsert_stored(spark, sf):
+    """Results of a privacy run into a stored table in partitions by a hash of the key."""
+    stored = load(spark, sf, "labels").selectExpr(
+        "doc_id", "string(quality) AS privacy_detection_result", "string(toxic) AS privacy_detection_type"
+    )
+    table = scratch_table("privacy")
+    S.save_keyed_table(stored, table, scratch_path(spark, table), "doc_id", 16)
+    changes = load(spark, sf, "documents").selectExpr("doc_id", "nullif(lang, 'en') AS privacy_detection_result", "source AS privacy_detection_type")
+    S.upsert_rows(spark, table, changes, "doc_id")
+    return spark.table(table).drop(S.KEY_PART)

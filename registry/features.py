@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.stopwords import ENGLISH
-from tabloom.operators import features as X
+from tabloom.operators import features as X, vectors as V
 from tabloom.plans.ingest import feature_rows
 from tabloom.sources.tables import add_stamp
 
@@ -150,6 +150,53 @@ def feature_onehot(spark, sf):
     return X.one_hot(load(spark, sf, "events").select("event_id", "event_type"), "event_type")
 
 
+@query(
+    "feature_onehot_vector",
+    """
+    WITH d AS (SELECT value, row_number() OVER (ORDER BY encode(value)) - 1 AS number
+      FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL))
+    SELECT event_id, (SELECT count(*) FROM d) AS size, CAST(number AS VARCHAR) AS indices, 1.0::DOUBLE AS total
+    FROM events LEFT JOIN d ON CAST(user_id AS VARCHAR) = d.value""",
+)
+def feature_onehot_vector(spark, sf):
+    """Every user a place of a sparse vector."""
+    rows = V.one_hot_vector(load(spark, sf, "events").select("event_id", "user_id"), "user_id", "v")
+    total = F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x).alias("total")
+    return rows.select("event_id", "v.size", F.array_join(F.col("v.indices").cast("array<string>"), ",").alias("indices"), total)
+
+
+@query(
+    "feature_tfidf_vector",
+    f"""
+    WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{WS}')) AS term FROM documents),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+    d AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY count(*) DESC, encode(term)) - 1 AS number FROM c GROUP BY term),
+    e AS (SELECT doc_id, number, CAST(round(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) * 1000) AS BIGINT) AS weight FROM c JOIN d USING (term))
+    SELECT doc_id, (SELECT count(*) FROM d) AS size, coalesce(string_agg(CAST(number AS VARCHAR), ',' ORDER BY number), '') AS indices,
+      coalesce(string_agg(CAST(weight AS VARCHAR), ',' ORDER BY number), '') AS weights
+    FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id""",
+)
+def feature_tfidf_vector(spark, sf):
+    """Sparse vectors with the most frequent terms first; weights in thousandths."""
+    rows = V.tfidf_vector(load(spark, sf, "documents"), "doc_id", "text", by_frequency=True)
+    weights = F.transform("vector.values", lambda x: F.round(x * 1000).cast("bigint").cast("string"))
+    indices = F.col("vector.indices").cast("array<string>")
+    return rows.select("doc_id", "vector.size", F.array_join(indices, ",").alias("indices"), F.array_join(weights, ",").alias("weights"))
+
+
+@query(
+    "labels_repeated_code",
+    """
+    SELECT c_custkey, n_name AS c_nationkey, c_mktsegment FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
+)
+def labels_repeated_code(spark, sf):
+    """Every code listed once per customer of the nation: rows stay as many as they are."""
+    customers = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    listed = customers.join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    labels = listed.select(F.lit("c_nationkey").alias("column"), F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    return X.apply_value_labels(customers, labels, ["c_nationkey"])
+
+
 TEXT_SPEC = {
     "features": [
         {"name": "doc id"},

@@ -328,12 +328,12 @@ def training_set_create(spark, sf):
 @query(
     "training_set_delete",
     """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, false AS outside, true AS inside, false AS remains
-       FROM supplier WHERE s_acctbal >= 0""",
+       FROM supplier""",
 )
 def training_set_delete(spark, sf):
     """Two training sets: one may be deleted, the other lies outside the allowed folder and is read afterwards."""
     root, other = scratch_path(spark, "deletable"), scratch_path(spark, "other")
-    rows = load(spark, sf, "supplier").where("s_acctbal >= 0")
+    rows = load(spark, sf, "supplier")
     gone, kept = T.training_set_path(root, "1"), T.training_set_path(other, "2")
     for path in (gone, kept):
         T.save_training_set(rows, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import profile as P
 from tabloom.plans.profiling import profile_dataset, profile_feature_group, profile_online_group, profile_training_set
 from tabloom.session import scratch_path, scratch_table
-from tabloom.sources.tables import save_feature_table, save_training_set
+from tabloom.sources.tables import append_rows, save_feature_table, save_training_set
 
 from .base import load, query, settle, settled_sql, sql_list
 
@@ -33,6 +33,14 @@ PLANTED = (
     "'same' AS constant",
     "CASE WHEN l_partkey < 5 THEN 'rare' ELSE 'usual' END AS uneven",
     "concat('o', CAST(l_orderkey AS {text})) AS label",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_linestatus",
+    "l_shipdate",
 )
 PLANTED_SQL = "SELECT " + ", ".join(p.format(text="VARCHAR") for p in PLANTED) + " FROM lineitem"
 
@@ -92,14 +100,18 @@ def numeric_sql(columns, source: str, keys: str = "") -> str:
     return f"SELECT {prefix}variable, {settled_columns([*head, *MOMENTS])} FROM ({' UNION ALL '.join(parts)})"
 
 
+PLANTED_NUMBERS = ("l_orderkey", "line_id", "l_tax", "spike", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+PLANTED_TEXTS = ("l_returnflag", "constant", "uneven", "label", "l_linestatus")
+PLANTED_NAMES = (*PLANTED_NUMBERS, *PLANTED_TEXTS, "l_shipdate")
+
+
 @query(
     "profile_table",
     f"""
-    SELECT count(*) AS n_rows, 8 AS n_columns,
-      count(*) * 8 - count(l_orderkey) - count(line_id) - count(l_tax) - count(spike) - count(l_returnflag)
-        - count(constant) - count(uneven) - count(label) AS n_cells_missing,
-      round((count(*) * 2 - count(l_tax) - count(l_returnflag)) / (count(*) * 8), 6) AS p_cells_missing,
-      2 AS n_vars_with_missing, 4 AS n_numeric, 4 AS n_categorical, 0 AS n_datetime, 0 AS n_boolean
+    SELECT count(*) AS n_rows, {len(PLANTED_NAMES)} AS n_columns,
+      count(*) * {len(PLANTED_NAMES)} - {" - ".join(f"count({c})" for c in PLANTED_NAMES)} AS n_cells_missing,
+      round((count(*) * 2 - count(l_tax) - count(l_returnflag)) / (count(*) * {len(PLANTED_NAMES)}), 6) AS p_cells_missing,
+      2 AS n_vars_with_missing, {len(PLANTED_NUMBERS)} AS n_numeric, {len(PLANTED_TEXTS)} AS n_categorical, 1 AS n_datetime, 0 AS n_boolean
     FROM ({PLANTED_SQL})""",
 )
 def profile_table(spark, sf):
@@ -114,9 +126,6 @@ def columns_sql(columns, source: str) -> str:
     return f"SELECT variable, {settled_columns(COUNTS)} FROM ({' UNION ALL '.join(parts)})"
 
 
-PLANTED_NAMES = ("l_orderkey", "line_id", "l_tax", "spike", "l_returnflag", "constant", "uneven", "label")
-
-
 @query("profile_columns", columns_sql(PLANTED_NAMES, PLANTED_SQL))
 def profile_columns(spark, sf):
     return settle(P.distinct_counts(planted(spark, sf)))
@@ -256,7 +265,7 @@ def imbalance_sql(c: str, source: str) -> str:
       FROM (SELECT count(*) AS n FROM ({source}) WHERE {c} IS NOT NULL GROUP BY {c}))"""
 
 
-@query("profile_alerts", alerts_sql(PLANTED_NAMES[:4], PLANTED_NAMES[4:], PLANTED_SQL))
+@query("profile_alerts", alerts_sql(PLANTED_NUMBERS, PLANTED_TEXTS, PLANTED_SQL, ("l_shipdate",)))
 def profile_alerts(spark, sf):
     return P.alerts(planted(spark, sf))
 
@@ -326,6 +335,95 @@ def profile_grouped_values(spark, sf):
     return P.top_values(load(spark, sf, "events"), ["event_id", "user_id", "value", "props"], n=5, keys=["event_type"])
 
 
+@query(
+    "profile_grouped_mad",
+    f"SELECT event_type, variable, {settled_columns(['median', 'mad'])} FROM ("
+    + " UNION ALL ".join(
+        f"SELECT event_type, '{c}' AS variable, median(CAST({c} AS DOUBLE)) AS median, mad(CAST({c} AS DOUBLE)) AS mad FROM events GROUP BY event_type"
+        for c in ("event_id", "user_id", "value")
+    )
+    + ")",
+)
+def profile_grouped_mad(spark, sf):
+    columns = ["event_id", "user_id", "value"]
+    return settle(P.grouped_median_absolute_deviation(load(spark, sf, "events"), ["event_type"], columns))
+
+
+def grouped_histogram_sql(key: str, c: str, source: str, bins: int) -> str:
+    """Edges and counts of the bins of each group, whose own ends they share out."""
+    return f"""
+    SELECT e.{key}, '{c}' AS variable, CAST(b.bin AS INTEGER) AS bin, lo + b.bin * ((hi - lo) / {bins}) AS lower,
+      lo + (b.bin + 1) * ((hi - lo) / {bins}) AS upper, coalesce(n, 0) AS count
+    FROM (SELECT {key}, min({c})::DOUBLE - CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS lo,
+        max({c})::DOUBLE + CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS hi FROM ({source}) WHERE {c} IS NOT NULL GROUP BY {key}) e
+    CROSS JOIN (SELECT unnest(range({bins})) AS bin) b
+    LEFT JOIN (SELECT {key}, least({bins - 1}, floor(({c}::DOUBLE - lo) / CASE WHEN lo < hi THEN hi - lo ELSE 1 END * {bins})) AS bin, count(*) AS n
+      FROM (SELECT {key}, {c}, min({c}) OVER w - CASE WHEN min({c}) OVER w = max({c}) OVER w THEN 0.5 ELSE 0 END::DOUBLE AS lo,
+          max({c}) OVER w::DOUBLE AS hi FROM ({source}) WINDOW w AS (PARTITION BY {key})) WHERE {c} IS NOT NULL GROUP BY ALL) h
+    ON h.{key} IS NOT DISTINCT FROM e.{key} AND h.bin = b.bin"""
+
+
+@query(
+    "profile_grouped_histogram",
+    "SELECT l_returnflag, variable, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, count FROM ("
+    + " UNION ALL ".join(grouped_histogram_sql("l_returnflag", c, "SELECT * FROM lineitem", 20) for c in NUMBERS)
+    + ")",
+)
+def profile_grouped_histogram(spark, sf):
+    found = P.grouped_histogram(load(spark, sf, "lineitem"), ["l_returnflag"], list(NUMBERS), bins=20)
+    return found.withColumns({"lower": F.round("lower", 6), "upper": F.round("upper", 6)})
+
+
+def appended(spark, sf):
+    """Line items in a table that got three appends, each followed by a refresh of the states; what the states tell."""
+    rows = load(spark, sf, "lineitem")
+    table = scratch_table("line_features")
+    states = scratch_path(spark, "states")
+    for part in range(4):
+        some = rows.where(F.col("l_orderkey") % 4 == part)
+        if part:
+            append_rows(spark, some, table)
+        else:
+            save_feature_table(some, table, scratch_path(spark, table))
+        P.refresh_states(spark, table, states)
+    return P.state_sections(P.stored_states(spark, table, states))
+
+
+# Sums of other parts of the rows differ in the last digits: a value that lies between two rounded ones is moved off.
+NUDGE = 1 + 1e-10
+
+
+@query(
+    "profile_incremental",
+    "SELECT variable, "
+    + ", ".join(f"{settled_sql(f'({c} * {NUDGE})')} AS {c}" if c in DOUBLES else c for c in ("n", "n_missing", "p_missing", *MOMENTS))
+    + " FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_missing, (count(*) - count({c})) / count(*) AS p_missing,
+        {moments_sql(c)} FROM lineitem"""
+        for c in NUMBERS
+    )
+    + ")",
+)
+def profile_incremental(spark, sf):
+    """The profile of a growing table from states that were stored append by append."""
+    found = appended(spark, sf)["numeric"]
+    return settle(found.withColumns({c: F.col(c) * NUDGE for c in found.columns if c in DOUBLES}))
+
+
+@query(
+    "profile_incremental_values",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{c}' AS variable, CAST(row_number() OVER (ORDER BY count(*) DESC, {e}) AS INTEGER) AS rank,
+        {e} AS value, count(*) AS count, true AS exact FROM lineitem GROUP BY {e}) WHERE rank <= 10"""
+        for c, e in {c: f"CAST({c} AS VARCHAR)" for c in ("l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")}.items()
+    ),
+)
+def profile_incremental_values(spark, sf):
+    found = appended(spark, sf)["top"]
+    return found.where(F.col("variable").isin("l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"))
+
+
 def metrics_sql(source: str, numeric=(), text=(), times=()) -> str:
     """One row per variable and metric."""
     parts = []

@@ -90,16 +90,24 @@ def listing_total(df: DataFrame, **wanted) -> DataFrame:
     return matching(df, **wanted).agg(F.count(F.lit(1)).alias("total"))
 
 
+def only_change(changes: DataFrame, key: str) -> DataFrame:
+    """The changes, one row per key; a key that stands on several rows is an error."""
+    twice = F.raise_error(F.concat(F.lit("changed more than once, and no order is given: "), F.col(key).cast("string")))
+    columns = [c for c in changes.columns if c != key]
+    only = changes.groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"), F.count(F.lit(1)).alias("_times"))
+    return only.where((F.col("_times") == 1) | twice.cast("boolean")).select(key, "_row.*")
+
+
 def set_status(df: DataFrame, key: str, status: str, updates: DataFrame) -> DataFrame:
     """The table with new statuses from ``updates(key, new_status)``; other rows unchanged.
 
     A null in ``new_status`` is a value like any other; a number that is no status is an
-    error. ``updates`` has one row per key.
+    error, and so is a key that is updated more than once.
     """
     known = F.col("new_status").isNull() | F.col("new_status").isin([s for s in STATUSES if s is not None])
     wrong = F.raise_error(F.concat(F.lit("not a status: "), F.col("new_status").cast("string")))
     updates = updates.withColumn("new_status", F.when(known, F.col("new_status")).otherwise(wrong.cast(updates.schema["new_status"].dataType)))
-    changes = updates.select(F.col(key), F.col("new_status"), F.lit(True).alias("_changed"))
+    changes = only_change(updates.select(key, "new_status"), key).withColumn("_changed", F.lit(True))
     joined = df.join(changes, key, "left")
     new = F.when(F.col("_changed"), F.col("new_status")).otherwise(F.col(status))
     return joined.select(*[new.alias(c) if c == status else F.col(c) for c in df.columns])
@@ -132,18 +140,18 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = N
     """Insert new keys and overwrite the changed columns of known ones.
 
     A null in a change wins over the old value. Where a key is changed more than once, the
-    row with the highest ``order`` counts; without ``order`` it is an error. A small set of
-    changes is broadcast, and the table then does not move.
+    row with the highest ``order`` counts, rows without one before all others, and of equal
+    ones always the same; without ``order`` it is an error. A small set of changes is
+    broadcast, and the table then does not move.
     """
     columns = [c for c in changes.columns if c not in (key, order)]
     if order:
-        latest = F.max_by(F.struct(*columns), F.col(order)).alias("_row")
-        changes = changes.groupBy(key).agg(latest).select(key, "_row.*")
+        row = F.struct(*columns)
+        # max_by passes over rows whose order is null, and would find none where all are.
+        place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"), F.xxhash64(F.to_json(row)).alias("hash"))
+        changes = changes.groupBy(key).agg(F.max_by(row, place).alias("_row")).select(key, "_row.*")
     else:
-        once = F.count(F.lit(1)) == 1
-        twice = F.raise_error(F.concat(F.lit("changed more than once, and no order is given: "), F.col(key).cast("string")))
-        only = changes.groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"), once.alias("_once"))
-        changes = only.where(F.col("_once") | twice.cast("boolean")).select(key, "_row.*")
+        changes = only_change(changes, key)
     marked = changes.select(
         F.col(key), F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )

@@ -80,12 +80,18 @@ def preview_features(df: DataFrame, spec: Mapping, limit: int | None = None) ->
 
 
 def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Replace codes by labels from a ``(column, code, label)`` table; other codes stay."""
+    """Replace codes by labels from a ``(column, code, label)`` table; other codes stay.
+
+    A code that is listed twice with one label counts once; with two labels it is an error.
+    """
     out = df
     for i, c in enumerate(columns):
-        table = labels.where(F.col("column") == c).select(
-            F.col("code").cast("string").alias(f"_code{i}"), F.col("label").alias(f"_label{i}")
-        )
+        listed = labels.where(F.col("column") == c).groupBy(F.col("code").cast("string").alias(f"_code{i}"))
+        twice = F.raise_error(F.concat(F.lit(f"two labels in {c} for code "), F.col(f"_code{i}"))).cast("boolean")
+        # A null label beside another is a second one, too.
+        same = F.min("label").eqNullSafe(F.max("label")) & F.count("label").isin(0, F.count(F.lit(1)))
+        table = listed.agg(F.min("label").alias(f"_label{i}"), same.alias(f"_one{i}"))
+        table = table.where(F.col(f"_one{i}") | twice).drop(f"_one{i}")
         out = out.join(table, F.col(f"`{c}`").cast("string") == F.col(f"_code{i}"), "left")
         out = out.withColumn(c, F.coalesce(F.col(f"_label{i}"), F.col(f"`{c}`").cast("string")))
         out = out.drop(f"_code{i}", f"_label{i}")

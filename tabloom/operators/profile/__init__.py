@@ -10,14 +10,25 @@ from .frequencies import (
 )
 from .moments import grouped_profile, numeric_profile, table_profile
 from .order import monotonic_profile
-from .quantiles import grouped_quantiles, histogram, median_absolute_deviation, quantiles
+from .quantiles import (
+    grouped_histogram,
+    grouped_median_absolute_deviation,
+    grouped_quantiles,
+    histogram,
+    median_absolute_deviation,
+    quantiles,
+)
 from .report import alerts, profile_json, profile_report
+from .states import column_states, refresh_states, state_sections, stored_states
 
 __all__ = [
     "alerts",
     "boolean_counts",
+    "column_states",
     "datetime_profile",
     "distinct_counts",
+    "grouped_histogram",
+    "grouped_median_absolute_deviation",
     "grouped_profile",
     "grouped_quantiles",
     "histogram",
@@ -28,6 +39,9 @@ __all__ = [
     "profile_json",
     "profile_report",
     "quantiles",
+    "refresh_states",
+    "state_sections",
+    "stored_states",
     "table_profile",
     "top_values",
     "value_frequencies",

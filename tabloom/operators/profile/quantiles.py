@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ...session import written
+from ...session import Scratch, written
 from .columns import chunks, columns_of_kind, sql_text
 
 DEFAULT_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -235,12 +235,22 @@ def grouped_quantiles(
     """
     probs = sorted({*probs, 0.25, 0.75})
     group = [*keys, "variable"]
+    found = _grouped_at(_grouped_values(df, keys, columns), group, probs)
+    return found.withColumn("iqr", F.col("q75") - F.col("q25"))
+
+
+def _grouped_values(df: DataFrame, keys: list[str], columns: list[str] | None) -> DataFrame:
+    """``(keys, variable, value, n)``: equal values of a group combined, missing ones left out."""
     values = {c: v for c, v in _numeric(df, columns).items() if c not in keys}
     pairs = ", ".join(f"{sql_text(c)}, {v}" for c, v in values.items())
     cells = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (variable, value)")).where("value is not null")
-    counted = cells.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grouped_at(counted: DataFrame, group: list[str], probs: list[float], scratch: Scratch | None = None) -> DataFrame:
+    """``(group, q05, ...)``: exact quantiles of counted values, one table ordered by group and value."""
     ranged = counted.repartitionByRange(*group, "value").sortWithinPartitions(*group, "value")
-    ordered = written(ranged, "ordered").select("*", F.col("_metadata.file_path").alias("_file"))
+    ordered = written(ranged, "ordered", scratch).select("*", F.col("_metadata.file_path").alias("_file"))
 
     per_file = ordered.groupBy(*group, "_file").agg(F.sum("n").alias("_rows"), F.min("value").alias("_least"))
     whole = Window.partitionBy(*group)
@@ -268,8 +278,53 @@ def grouped_quantiles(
         low, high, h = F.col(f"floor{i}"), F.col(f"ceil{i}"), places[i]
         return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 
-    named = found.select(*group, *[between(i).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probs)])
-    return named.withColumn("iqr", F.col("q75") - F.col("q25"))
+    return found.select(*group, *[between(i).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probs)])
+
+
+def _same_group(group: list[str], left: str, right: str) -> list[Column]:
+    """Equality of groups, of which a null key is one."""
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in group]
+
+
+def grouped_median_absolute_deviation(
+    df: DataFrame, keys: list[str], columns: list[str] | None = None, scratch: Scratch | None = None
+) -> DataFrame:
+    """``median_absolute_deviation`` for every value of the keys.
+
+    Equal values are combined and written once; medians and distances from them come from
+    that table. Medians are one row per group, and a group of any size is split between
+    the tasks that join them.
+    """
+    group = [*keys, "variable"]
+    counted = written(_grouped_values(df, keys, columns), "counted", scratch)
+    medians = written(_grouped_at(counted, group, [0.5], scratch), "medians", scratch)
+    both = counted.alias("l").join(medians.alias("r"), _same_group(group, "l", "r"))
+    distances = both.select(*[F.col(f"l.{c}") for c in group], F.abs(F.col("l.value") - F.col("r.q50")).alias("value"), "n")
+    distances = distances.groupBy(*group, "value").agg(F.sum("n").alias("n"))
+    mads = _grouped_at(distances, group, [0.5], scratch)
+    both = medians.alias("l").join(mads.alias("r"), _same_group(group, "l", "r"))
+    return both.select(*[F.col(f"l.{c}") for c in group], F.col("l.q50").alias("median"), F.col("r.q50").alias("mad"))
+
+
+def grouped_histogram(
+    df: DataFrame, keys: list[str], columns: list[str] | None = None, bins: int = 50, scratch: Scratch | None = None
+) -> DataFrame:
+    """``histogram`` for every value of the keys, with the group's own range: ``(keys, variable, bin, lower, upper, count)``."""
+    group = [*keys, "variable"]
+    finite = _grouped_values(df, keys, columns).where("abs(value) < double('Infinity')")
+    counted = written(finite, "counted", scratch)
+    ends = counted.groupBy(*group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    narrow = F.col("lo") == F.col("hi")
+    ends = ends.withColumns({"lo": F.when(narrow, F.col("lo") - 0.5).otherwise(F.col("lo")), "hi": F.when(narrow, F.col("hi") + 0.5).otherwise(F.col("hi"))})
+    ends = written(ends, "ends", scratch)
+    both = counted.alias("l").join(ends.alias("r"), _same_group(group, "l", "r"))
+    place = F.least(F.floor((F.col("l.value") - F.col("r.lo")) / (F.col("r.hi") - F.col("r.lo")) * bins), F.lit(bins - 1)).cast("int")
+    held = both.select(*[F.col(f"l.{c}") for c in group], place.alias("bin"), "n").groupBy(*group, "bin").agg(F.sum("n").alias("count"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    width = (F.col("hi") - F.col("lo")) / bins
+    every = every.withColumns({"lower": F.col("lo") + F.col("bin") * width, "upper": F.col("lo") + (F.col("bin") + 1) * width})
+    joined = every.alias("l").join(held.alias("r"), _same_group([*group, "bin"], "l", "r"), "left")
+    return joined.select(*[F.col(f"l.{c}") for c in (*group, "bin")], "lower", "upper", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def median_absolute_deviation(
