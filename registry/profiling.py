@@ -9,7 +9,7 @@ from tabloom.plans.profiling import profile_dataset, profile_feature_group, prof
 from tabloom.session import scratch_path, scratch_table
 from tabloom.sources.tables import append_rows, save_feature_table, save_training_set
 
-from .base import load, query, settle, settled_sql, sql_list
+from .base import ORACLES, load, query, settle, settled_sql, sql_list
 
 NUMBERS = (
     "l_orderkey",
@@ -202,6 +202,11 @@ def profile_value_counts(spark, sf):
     return P.top_values(load(spark, sf, "lineitem"))
 
 
+@query("profile_frequent_values", ORACLES["profile_value_counts"])
+def profile_frequent_values(spark, sf):
+    return P.frequent_values(load(spark, sf, "lineitem"))
+
+
 @query(
     "profile_datetime",
     """

@@ -121,29 +121,62 @@ def gazetteer_counts(
     return counts.join(names, "name").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
+def name_index(names: DataFrame) -> DataFrame:
+    """``(first, sizes)``: how many words names that begin with a word have."""
+    words = names.select(F.split("name", " ").alias("words"))
+    return words.groupBy(F.col("words")[0].alias("first")).agg(F.collect_set(F.size("words")).alias("sizes"))
+
+
+def found_entities(
+    df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame | None = None, longest: int | None = None, scratch: Scratch | None = None
+) -> DataFrame:
+    """``(keys, label, n)`` of patterns and names, and under the empty label the number of texts; n is above 0.
+
+    Patterns and words come from one projection, so texts are read once. A word leaves the
+    scan only if a name begins with it, and then only the runs of as many words as such
+    names have are built. More than ``BROADCAST_NAMES`` names are counted by a join of
+    their own, in a second scan.
+    """
+    parts = [*keys, "_label", "_n"]
+    counted = count_patterns(df.select(*keys, F.col(text).alias("_text")), "_text")
+    plain = [F.struct(F.lit("").alias("label"), F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("int").alias("at"))]
+    plain += [F.struct(F.lit(label).alias("label"), F.col(f"n_{label}").alias("n"), F.lit(None).cast("int").alias("at")) for label in ENTITY_PATTERNS]
+    items = F.filter(F.array(*plain), lambda item: item["n"] > 0)
+    names = n = None
+    if gazetteer is not None:
+        names = written(gazetteer.select("name", "label").distinct(), "names", scratch)
+        n = names.count()
+    if not n or n > BROADCAST_NAMES:
+        rows = counted.select(*keys, F.explode(items).alias("_item"))
+        sums = rows.groupBy(*keys, F.col("_item.label").alias("label")).agg(F.sum("_item.n").alias("n"))
+        return sums.unionByName(gazetteer_counts(df, keys, text, names, longest, scratch)) if n else sums
+    if longest:
+        names = names.where(F.size(F.split("name", " ")) <= longest)
+    rows = counted.select(*keys, items.alias("_items"), bare_words("_text").alias("_words"))
+    word = F.transform("_words", lambda w, i: F.struct(F.lit(None).cast("string").alias("label"), F.lit(1).cast("bigint").alias("n"), i.alias("at")))
+    rows = rows.select(*keys, "_words", F.explode(F.concat("_items", word)).alias("_item"))
+    rows = rows.withColumn("_first", F.get("_words", F.col("_item.at")))
+    index = name_index(names).select(F.col("first").alias("_first"), F.col("sizes").alias("_sizes"))
+    met = rows.join(F.broadcast(index), "_first", "left").where("_item.label IS NOT NULL OR _sizes IS NOT NULL")
+    runs = met.select(*keys, "_item", "_words", F.explode_outer("_sizes").alias("_size"))
+    run = F.when(F.col("_item.at") + F.col("_size") <= F.size("_words"), F.array_join(F.expr("slice(_words, _item.at + 1, _size)"), " "))
+    runs = runs.select(*keys, "_item", run.alias("_name"))
+    known = names.select(F.col("name").alias("_name"), F.col("label").alias("_known"))
+    labelled = runs.join(F.broadcast(known), "_name", "left").select(*keys, F.coalesce("_item.label", "_known").alias("_label"), F.col("_item.n").alias("_n"))
+    sums = labelled.select(*parts).where("_label IS NOT NULL").groupBy(*keys, "_label").agg(F.sum("_n").alias("n"))
+    return sums.withColumnRenamed("_label", "label")
+
+
 def entity_counts(df: DataFrame, key: str, text: str, gazetteer: DataFrame | None = None, longest: int | None = None) -> DataFrame:
     """``(key, label, n)`` for the labels found in every document; n is above 0."""
-    pairs = ", ".join(f"'{label}', n_{label}" for label in ENTITY_PATTERNS)
-    counted = count_patterns(df.select(key, text), text)
-    counts = counted.select(key, F.expr(f"stack({len(ENTITY_PATTERNS)}, {pairs}) as (label, n)")).where("n > 0")
-    if gazetteer is None:
-        return counts
-    return counts.unionByName(gazetteer_counts(df, [key], text, gazetteer, longest))
+    return found_entities(df, [key], text, gazetteer, longest).where("label <> ''")
 
 
 def _column_totals(sample: DataFrame, gazetteer: DataFrame | None, longest: int | None) -> DataFrame:
-    counted = count_patterns(sample.select("column_name", "value"), "value")
-    per_cell = reduce(lambda a, b: a + b, [F.col(f"n_{label}") for label in ENTITY_PATTERNS])
-    totals = counted.groupBy("column_name").agg(
-        F.sum(per_cell).alias("n_entities"), F.count(F.lit(1)).alias("n_sampled")
-    )
-    if gazetteer is None:
-        return totals
-    named = gazetteer_counts(sample, ["column_name"], "value", gazetteer, longest)
-    named = named.groupBy("column_name").agg(F.sum("n").alias("n_named"))
-    joined = totals.join(named, "column_name", "left")
-    return joined.select(
-        "column_name", (F.col("n_entities") + F.coalesce("n_named", F.lit(0))).alias("n_entities"), "n_sampled"
+    found = found_entities(sample.select("column_name", "value"), ["column_name"], "value", gazetteer, longest)
+    return found.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("label") != "", F.col("n"))), F.lit(0).cast("bigint")).alias("n_entities"),
+        F.sum(F.when(F.col("label") == "", F.col("n"))).alias("n_sampled"),
     )
 
 

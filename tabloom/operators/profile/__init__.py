@@ -1,9 +1,11 @@
 """Profiling: moments, quantiles, value frequencies, alerts and whole reports."""
 
 from .frequencies import (
+    approximate_summary,
     boolean_counts,
     datetime_profile,
     distinct_counts,
+    frequent_values,
     imbalance,
     top_values,
     value_frequencies,
@@ -23,10 +25,12 @@ from .states import column_states, refresh_states, state_sections, stored_states
 
 __all__ = [
     "alerts",
+    "approximate_summary",
     "boolean_counts",
     "column_states",
     "datetime_profile",
     "distinct_counts",
+    "frequent_values",
     "grouped_histogram",
     "grouped_median_absolute_deviation",
     "grouped_profile",

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ...session import written
 from .columns import columns_of_kind, kind_of, present
 
 
@@ -135,6 +136,77 @@ def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 10, key
     return reduce(DataFrame.unionByName, parts)
 
 
+# Frequent values by sketch: values that a sketch tracks, candidates counted per wanted value, buckets of the others.
+TRACKED, CANDIDATES, BUCKETS = 4096, 8, 4096
+
+
+def frequent_values(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
+    """``top_values`` without a shuffle of all distinct values, where that can be proven right.
+
+    A first scan sketches each column's frequent values; the sketches merge. A second one
+    counts the best candidates exactly and all other rows by a hash of their value into
+    ``BUCKETS`` buckets, so only candidates and buckets are shuffled. No other value can
+    have more rows than the fullest bucket: if the ``n``-th candidate has more, or no row
+    lies outside the candidates, the column is done. The rest, such as columns whose values
+    are all different, takes the way of ``top_values``. Results are equal in any case.
+    """
+    names = list(columns or df.columns)
+    by_type: dict[str, list[str]] = {}
+    for c in names:
+        by_type.setdefault(_storage_type(df.schema[c].dataType), []).append(c)
+    parts, proven = [], []
+    for value_type, own in by_type.items():
+        cells = df.select(*[present(df, c).cast(value_type).alias(c) for c in own])
+        cells = cells.unpivot([], [F.col(f"`{c}`") for c in own], "variable", "value").where("value IS NOT NULL")
+        sketched = cells.groupBy("variable").agg(F.expr(f"approx_top_k(string(value), {CANDIDATES * n}, {max(TRACKED, CANDIDATES * n)})").alias("top"))
+        # At most CANDIDATES * n values per column.
+        few = sketched.select("variable", F.explode("top.item").alias("_text")).withColumn("_hit", F.lit(True))
+        text = F.col("value").cast("string")
+        met = cells.withColumn("_text", text).join(F.broadcast(few), ["variable", "_text"], "left")
+        bucket = F.when(F.col("_hit").isNull(), F.pmod(F.xxhash64("_text"), F.lit(BUCKETS)))
+        counted = met.groupBy("variable", F.when(F.col("_hit"), F.col("value")).alias("value"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        counted = written(counted, "candidates")
+        order = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
+        best = counted.where("bucket IS NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        others = counted.groupBy("variable").agg(F.coalesce(F.max(F.when(F.col("bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("most"))
+        last = best.groupBy("variable").agg(F.min("n").alias("least"), F.max("rank").alias("found"))
+        sure = (F.col("most") == 0) | ((F.col("found") == n) & (F.col("least") > F.col("most")))
+        done = {r["variable"] for r in others.join(last, "variable").where(sure).select("variable").collect()}
+        proven += done
+        parts.append(
+            best.where(F.col("variable").isin(*done)).select("variable", "rank", F.col("value").cast("string").alias("value"), F.col("n").alias("count"))
+        )
+    rest = [c for c in names if c not in proven]
+    if rest:
+        parts.append(top_values(df, rest, n))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Registers of a sketch of distinct values, as a power of two: its estimate is off by 0.9 % in two of three cases.
+HLL_BITS = 14
+
+
+def approximate_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``frequency_summary`` in one scan without a shuffle of values; distinct values are estimated.
+
+    Values seen once and the entropy cannot be told from a sketch, and are null.
+    """
+    names = list(columns or df.columns)
+    cells = df.select(*[present(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    figures = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(names)):
+        figures += [F.count(f"v{i}").alias(f"p{i}"), F.expr(f"hll_sketch_estimate(hll_sketch_agg(string(v{i}), {HLL_BITS}))").alias(f"d{i}")]
+    rows = [
+        F.struct(
+            F.lit(c).alias("variable"), F.col("n"), (F.col("n") - F.col(f"p{i}")).alias("n_missing"),
+            F.when(F.col(f"p{i}") > 0, F.col(f"d{i}")).otherwise(F.lit(0).cast("bigint")).alias("n_distinct"),
+            F.lit(None).cast("bigint").alias("n_unique"), F.lit(None).cast("double").alias("n_log_n"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return cells.agg(*figures).select(F.inline(F.array(*rows)))
+
+
 def datetime_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per date or time column: rows, missing, earliest, latest and the seconds between."""
     names = columns_of_kind(df, "DateTime", columns)

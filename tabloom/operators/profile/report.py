@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..features import drop_null_rows, fill_zero
 from .columns import KINDS, columns_of_kind, kind_of
 from ...session import Scratch, written
-from .frequencies import boolean_counts, datetime_profile, distinct_metrics, frequency_summary, imbalance_metric, top_values
+from .frequencies import (
+    approximate_summary,
+    boolean_counts,
+    datetime_profile,
+    distinct_metrics,
+    frequency_summary,
+    frequent_values,
+    imbalance_metric,
+    top_values,
+)
 from .moments import numeric_profile, table_profile
 from .quantiles import histogram, median_absolute_deviation, quantiles
 
@@ -110,7 +119,7 @@ def _section(frame: DataFrame, section: str, **columns: Column) -> DataFrame:
     return frame.select(F.lit(section).alias("section"), *picked)
 
 
-def profile_report(df: DataFrame, na: str = "keep", scratch: Scratch | None = None) -> DataFrame:
+def profile_report(df: DataFrame, na: str = "keep", scratch: Scratch | None = None, approximate: bool = False) -> DataFrame:
     """``(section, variable, name, rank, text, value)``: the whole report of a table.
 
     Sections: ``table`` holds the figures of the table, ``metric`` those of each column
@@ -121,19 +130,26 @@ def profile_report(df: DataFrame, na: str = "keep", scratch: Scratch | None = No
     Rows that are filled or dropped first, and rows of files that are not columnar, are
     written once, since every part reads the columns it needs by itself; ``scratch`` owns
     them. Jobs that search quantiles and medians run while the report is planned.
+
+    With ``approximate`` distinct values are estimated by sketches in one scan (see
+    ``approximate_summary``), frequent ones are searched by sketches and proven, and figures
+    that need every single value are left out: values seen once, imbalance, uniqueness.
     """
     rows = handle_missing(df, na)
     if na != "keep" or not _columnar(df):
         rows = written(rows, "profiled", scratch)
     # Short frames, one row per column, that several parts use.
-    counts = written(frequency_summary(rows), "counts", scratch)
+    counts = written(approximate_summary(rows) if approximate else frequency_summary(rows), "counts", scratch)
     moments = written(numeric_profile(rows), "moments", scratch) if columns_of_kind(rows, "Numeric") else None
     figures = table_profile(rows)
     whole = figures.select(*[F.col(c).cast("double").alias(c) for c in figures.columns]).unpivot([], figures.columns, "name", "value")
+    metrics = _metrics(rows, counts, moments)
+    if approximate:
+        metrics = metrics.where(~F.col("metric").isin("n_unique", "p_unique", "is_unique", "imbalance"))
     parts = [
         _section(whole, "table", name=F.col("name"), value=F.col("value")),
-        _section(_metrics(rows, counts, moments), "metric", variable=F.col("variable"), name=F.col("metric"), value=F.col("value")),
-        _section(top_values(rows), "top", variable=F.col("variable"), rank=F.col("rank"), text=F.col("value"), value=F.col("count")),
+        _section(metrics, "metric", variable=F.col("variable"), name=F.col("metric"), value=F.col("value")),
+        _section(frequent_values(rows) if approximate else top_values(rows), "top", variable=F.col("variable"), rank=F.col("rank"), text=F.col("value"), value=F.col("count")),
         _section(alerts(rows, counts, moments), "alert", variable=F.col("variable"), name=F.col("alert")),
     ]
     if columns_of_kind(rows, "Boolean"):

@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ...sources.tables import describe, table_format
 from .columns import chunks, kind_of, present, sql_text
+from .frequencies import HLL_BITS
 from .moments import COLUMNS_PER_PASS, MAX_PASSES, _derived
 
-# Distinct counts: 2 ** 14 registers, off by 0.9 % in two of three cases.
-HLL_BITS = 14
 # Ranks are off by some 0.35 % of the rows at this size.
 KLL_SIZE = 800
 # Frequent values are exact for columns of at most so many distinct values.

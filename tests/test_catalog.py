@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import catalog as C
 from tabloom.operators.profile import numeric_profile
+from tabloom.plans import profiling as P
 from tabloom.plans.profiling import profile_pending
+from tabloom.session import scratch_path
 
 
 def rows(df):
@@ -106,3 +108,36 @@ def test_empty_queue(spark):
     queue = spark.createDataFrame([("a", 0)], "item string, status int")
     run = profile_pending(queue, "item", "status", None)
     assert run.reports is None and rows(run.catalog) == [("a", 0)] and run.outcomes.collect() == []
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_queue_that_was_ended_is_taken_up(spark, workers):
+    queue = spark.createDataFrame([(k, 1) for k in "abcdef"], "item string, status int")
+    folder, ledger = scratch_path(spark, "reports"), scratch_path(spark, "ledger")
+    seen = []
+
+    class Ended(BaseException):
+        pass
+
+    def load(item):
+        seen.append(item)
+        if item == "c" and seen.count("c") == 1:
+            raise Ended
+        if item == "d" and seen.count("d") == 1:
+            raise IOError("not now")
+        return spark.range(ord(item)).toDF("v")
+
+    def run():
+        return profile_pending(queue, "item", "status", load, numeric_profile, folder=folder, ledger=ledger, workers=workers)
+
+    with pytest.raises(Ended):
+        run()
+    first = set(seen)
+    done = {item for item, state, _ in P._ledger_rows(spark, ledger) if state == C.DONE}
+    assert "c" not in done and done <= first
+    result = run()
+    if result.outcomes.where("new_status = 3").count():  # d failed in this run, if it was not reached before
+        result = run()
+    assert {r.item: r.new_status for r in result.outcomes.collect()} == dict.fromkeys("abcdef", 0)
+    assert all(seen.count(item) == 1 for item in done)
+    assert {r.item: r.n for r in result.reports.collect()} == {k: ord(k) for k in "abcdef"} and result.reports.count() == 6

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import profile as P
 
 quantile_module = sys.modules["tabloom.operators.profile.quantiles"]
+frequencies = sys.modules["tabloom.operators.profile.frequencies"]
 
 
 def by_variable(df):
@@ -259,3 +260,35 @@ def test_long_texts_are_told_apart_by_digest(spark):
     assert (r["n_distinct"], r["n_unique"]) == (4, 3)
     top = P.top_values(df, n=1).first()
     assert (top["value"], top["count"]) == (long + "a", 2)
+
+
+def test_frequent_values_are_proven_or_counted_in_full(spark, monkeypatch):
+    df = spark.sql(
+        "SELECT IF(id % 3 = 0, 'hot', IF(id % 5 = 0, 'warm', string(id))) AS a, id AS key, id % 7 AS few, double(id % 40) / 3 AS d,"
+        " CAST(NULL AS STRING) AS nothing, date_add(date'2020-01-01', int(id % 9)) AS day FROM range(6000)"
+    )
+    asked = []
+    full = frequencies.top_values
+    monkeypatch.setattr(frequencies, "top_values", lambda df, columns, *a, **k: (asked.append(columns), full(df, columns, *a, **k))[1])
+    for n in (2, 10):
+        asked.clear()
+        got = sorted(map(tuple, frequencies.frequent_values(df, n=n).collect()))
+        assert got == sorted(map(tuple, full(df, n=n).collect()))
+        rest = {c for columns in asked for c in columns}
+        # Forty values of equal frequency are more than the candidates for two.
+        assert "key" in rest and not rest & {"few", "day"} and ("a" in rest, "d" in rest) == (n == 10, n == 2)
+
+
+def test_approximate_counts(spark):
+    df = spark.range(50_000).selectExpr("id", "id % 1000 AS m", "IF(id % 2 = 0, NULL, string(id % 77)) AS s", "CAST(NULL AS INT) AS z", "double(id) AS d")
+    want = {r.variable: r for r in frequencies.frequency_summary(df).collect()}
+    for r in frequencies.approximate_summary(df).collect():
+        whole = want[r.variable]
+        assert (r.n, r.n_missing) == (whole.n, whole.n_missing)
+        assert abs(r.n_distinct - whole.n_distinct) <= 0.04 * whole.n_distinct
+    plan = frequencies.approximate_summary(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("FileScan") == 1
+    report = P.profile_report(df, approximate=True)
+    rows = {(r.section, r.variable, r.name): r.value for r in report.collect()}
+    assert abs(rows["metric", "m", "n_distinct"] - 1000) < 40 and ("metric", "m", "n_unique") not in rows
+    assert rows["metric", "m", "mean"] == 499.5
