@@ -14,6 +14,7 @@ toxic document at least the worst words are toxic. Which those are is settled in
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,11 @@ PATTERNS = tuple((a, b) for b in range(2, 5) for a in range(1, b))
 BITS, BOUNDARY, TABLE = 6, 27, 1 << 18
 BLOCK = 1 << 19
 REGULAR = 1e-2
+# Neighbouring words whose values are summed; documents that are joined to longer ones for the curve.
+WINDOW, CLEAR, MOST = 400, 0.4, 1.8
+LENGTHS, JOINED_WEIGHT = (8, 64, 512), 0.05
+# Forms with one character put in that the machine is shown of a toxic word, and their share of its weight.
+FORMS, FORM_WEIGHT = 4, 0.5
 
 
 def _classes() -> np.ndarray:
@@ -209,9 +215,14 @@ def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return beta
 
 
+# Three or more words of one character each, one after the other.
+_SPELT = re.compile(rb"(?<![^\s])(?:(?:[\x00-\x7F]|[\xC0-\xFF][\x80-\xBF]+)[ \t]){2,}(?:[\x00-\x7F]|[\xC0-\xFF][\x80-\xBF]+)(?!\S)")
+
+
 def normal(text: str) -> bytes:
-    """Lower case in UTF-8 without marks, so that a word with marks in it is the word."""
-    return text.lower().encode().translate(None, MARKS)
+    """Lower case in UTF-8 without marks, so that a word with marks in it is the word, as is one spelt with spaces."""
+    plain = text.lower().encode().translate(None, MARKS)
+    return _SPELT.sub(lambda m: m[0].replace(b" ", b"").replace(b"\t", b""), plain)
 
 
 @dataclass
@@ -223,7 +234,11 @@ class ToxicityModel:
     curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -5.0]))
 
     def word_scores(self, text: bytes) -> np.ndarray:
-        """Decision values of all units of a text, block by block; a unit longer than a block is cut."""
+        """Decision values of all units of a text, block by block.
+
+        Blocks end at white space; only a unit longer than a block, which is no word of any
+        language, is cut.
+        """
         parts, at = [], 0
         while at < len(text):
             end = min(at + BLOCK, len(text))
@@ -244,18 +259,56 @@ class ToxicityModel:
 
 
 def summarize(values: list[np.ndarray]) -> np.ndarray:
-    """Per document: the highest value, how many words look toxic, and that number per hundred words."""
+    """Per document: what looks toxic in the worst window, that per word of it, and the length.
+
+    Values count from ``CLEAR`` up, ``MOST`` at most, so a harmless word adds nothing, and
+    only those of the ``WINDOW`` neighbouring words that hold most; length alone adds nothing.
+    """
     out = np.zeros((len(values), 3))
     for i, v in enumerate(values):
-        hits = _sigmoid(4 * v).sum() if len(v) else 0.0
-        out[i] = (min(max(v.max(), -3.0), 3.0) if len(v) else -3.0, np.log1p(hits), np.log1p(100 * hits / max(len(v), 1)))
+        if not len(v):
+            continue
+        upto = np.concatenate([[0.0], np.cumsum(np.clip(v - CLEAR, 0.0, MOST))])
+        size = min(len(v), WINDOW)
+        worst = float((upto[size:] - upto[:-size]).max())
+        out[i] = np.log1p(4 * worst), np.log1p(WINDOW * worst / size), np.log1p(len(v) / WINDOW)
     return out
 
 
+def joined_examples(values: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Longer documents made of the sample's, with their labels.
+
+    Harmless documents one after the other are harmless, and a toxic one among harmless ones
+    is toxic; the curve learns from both what length does to a summary.
+    """
+    clean = [v for v, t in zip(values, y) if not t]
+    bad = [v for v, t in zip(values, y) if t]
+    made, label = [], []
+    for times in LENGTHS:
+        for at in range(0, len(clean) - times + 1, times):
+            made.append(np.concatenate(clean[at : at + times]))
+            label.append(0)
+        for i, v in enumerate(bad[:: max(times // 4, 1)]):
+            around = [clean[(i * times + k) % len(clean)] for k in range(min(times, len(clean)))] if clean else []
+            made.append(np.concatenate([*around[: times // 2], v, *around[times // 2 :]]))
+            label.append(1)
+    return made, np.array(label, np.int64)
+
+
 def hash_of(word: bytes) -> int:
     return zlib.crc32(word)
 
 
+def gapped_forms(word: bytes) -> list[bytes]:
+    """The word with one letter or digit put in, at places and with characters that its hash names."""
+    h, out = hash_of(word), []
+    for k in range(FORMS if len(word) > 3 else 0):
+        at = 1 + (h >> 4 * k) % (len(word) - 1)
+        if word[at] & 0xC0 != 0x80:  # not within a letter of several bytes
+            out.append(word[:at] + b"abcdefghijklmnopqrstuvwxyz0123456789"[(h >> 5 * k) % 36 :][:1] + word[at:])
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], total: tuple[int, int] | None = None) -> ToxicityModel:
     """A model from labelled texts. Without texts of both kinds every text scores near zero.
 
@@ -289,6 +342,9 @@ def fit(texts: list[str], toxic: list[int], total: tuple[int, int] | None = None
     allowed = np.zeros(len(names), bool)
     allowed[of_toxic] = True
     value = first.copy()
+    forms = [(i, f) for i in of_toxic if in1[i] > 1 for f in gapped_forms(names[i]) if f not in index]
+    shaped = np.array([i for i, _ in forms], np.int64)
+    x_forms = marks.map([f for _, f in forms])
     w, b = np.zeros(x.shape[1]), -1.0
     for _ in range(ROUNDS):
         picked = np.zeros(len(names))
@@ -306,14 +362,20 @@ def fit(texts: list[str], toxic: list[int], total: tuple[int, int] | None = None
         often = np.log1p(in0[negative])
         label = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         weight = np.concatenate([picked[positive] / picked.sum(), 2 * often / max(often.sum(), 1e-9)])
-        w, b = train_svm(x[rows], label, weight)
+        some = np.flatnonzero(picked[shaped] >= 1)
+        label = np.concatenate([label, np.ones(len(some))])
+        weight = np.concatenate([weight, FORM_WEIGHT / FORMS * picked[shaped[some]] / picked.sum()])
+        w, b = train_svm(np.concatenate([x[rows], x_forms[some]]), label, weight)
         value = np.full(len(names), -np.inf)
         value[used] = x @ w + b
     model = ToxicityModel(marks.fold(w), b)
-    rows = summarize([model.word_scores(normal(t)) for t in texts])
+    values = [model.word_scores(normal(t)) for t in texts]
+    more, label = joined_examples(values, y)
+    rows = summarize([*values, *more])
     all0, all1 = total or (n0, n1)
-    weight = np.where(y == 1, all1 / n1, all0 / n0)
-    model.curve = train_logistic(rows, y, weight * len(y) / weight.sum())
+    label = np.concatenate([y, label])
+    weight = np.where(label == 1, all1 / n1, all0 / n0) * np.concatenate([np.ones(len(y)), np.full(len(more), JOINED_WEIGHT)])
+    model.curve = train_logistic(rows, label, weight * len(y) / weight.sum())
     return model
 
 
@@ -322,7 +384,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 0, sample: int
 
     Rows whose crc32 of the id leaves ``fold`` modulo 5 are not learnt from (all are for
     ``None``). The sample is that of the lowest hashes of the id, whatever the size of the
-    tables; each document is read whole. Labels other than 0 and 1, labels without a
+    tables. Of a long harmless document a part of some 17,000 characters teaches, a toxic one
+    of over 67 kB does not. Labels other than 0 and 1, labels without a
     document and repeated rows of an id count once or not at all.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -334,12 +397,17 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 0, sample: int
     parts = [marked.where(F.col("toxic") == t).orderBy(*order).limit(sample) for t in (0, 1)]
     few = F.broadcast(parts[0].unionByName(parts[1]))  # at most twice `sample` short rows
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id")
-    each = SAMPLE_BYTES // (2 * sample)
-    # Of the sample, texts so long that a few would fill it are passed over; this bounds what comes to the driver.
-    rows = found.where(F.col("text").isNotNull() & (F.octet_length("text") <= 8 * each)).select("doc_id", "toxic", "text")
-    by_id = {r["doc_id"]: r for r in sorted(rows.distinct().limit(4 * sample).collect(), key=lambda r: (r["doc_id"], r["text"]))}
+    # Long texts teach by a bounded part, taken at a place that the id's hash names; this bounds what comes to the driver.
+    most = 4 * SAMPLE_BYTES // (2 * sample)
+    text = F.col("text")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - most, F.lit(0)) + 1).cast("int") + 1
+    rows = found.where(text.isNotNull()).select("doc_id", "toxic", F.when(F.col("toxic") == 1, text).otherwise(F.substring(text, start, F.lit(most))).alias("text"))
+    # A toxic label says nothing of single parts: such a text is taken whole, or passed over if a few like it would fill the sample.
+    rows = rows.where(F.octet_length("text") <= 4 * most)
+    # Of rows that share an id, the least text counts.
+    one = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
     held, texts, toxic = {0: 0, 1: 0}, [], []
-    for r in sorted(by_id.values(), key=lambda r: hash_of(str(r["doc_id"]).encode())):
+    for r in sorted(one.collect(), key=lambda r: (hash_of(str(r["doc_id"]).encode()), r["doc_id"])):
         if held[r["toxic"]] + len(r["text"]) <= SAMPLE_BYTES // 2:
             held[r["toxic"]] += len(r["text"])
             texts.append(r["text"])

@@ -71,6 +71,55 @@ def test_gaps(spark, model):
         assert model.scores([clean + " " + insults])[0] > max(0.5, plain)
 
 
+@pytest.fixture(scope="module")
+def harmless(spark, model):
+    """English documents that are labelled harmless and predicted so."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 300 AND 6000").join(labels, "doc_id", "left_semi")
+    texts = [r.text for r in rows.orderBy("doc_id").limit(1200).collect()]
+    return [t for t, s in zip(texts, model.scores(texts)) if s < 0.5]
+
+
+def test_length_alone_is_not_toxic(model, harmless):
+    """Harmless documents one after the other stay harmless, up to megabytes."""
+    rng = np.random.default_rng(3)
+    for size in (25_000, 240_000, 1_200_000):
+        flagged = []
+        for _ in range(40):
+            text, n = [], 0
+            while n < size:
+                text.append(harmless[rng.integers(len(harmless))])
+                n += len(text[-1])
+            flagged.append(model.scores(["\n".join(text)])[0] >= 0.5)
+        assert np.mean(flagged) <= 0.01, size
+
+
+def test_one_form_of_insults_at_a_time(model, harmless):
+    """Three learnt insults in a harmless document, all plain, with marks, with a letter put in, or spelt with spaces."""
+    ways = {
+        "plain": lambda w: w, "marks": lambda w: ".".join(w), "inserted": lambda w: w[:3] + "x" + w[3:],
+        "spaces": lambda w: " ".join(w), "capitals": str.upper,
+    }
+    caught = {}
+    for name, change in ways.items():
+        texts = []
+        for t in harmless[:200]:
+            words = t.split(" ")
+            for k, insult in enumerate(["idiot", "worthless", "pathetic"]):
+                words.insert((k + 1) * len(words) // 4, change(insult))
+            texts.append(" ".join(words))
+        caught[name] = float((model.scores(texts) >= 0.5).mean())
+    assert all(caught[name] >= 0.9 for name in ("plain", "marks", "spaces", "capitals")) and caught["inserted"] >= 0.4, caught
+
+
+def test_spelt_out_words_are_joined():
+    for text, want in {
+        "you i d i o t now": b"you idiot now", "a b": b"a b", "a b c": b"abc", "é è ê": "éèê".encode(), "x y zz": b"x y zz",
+        "aa b c d": b"aa bcd", "a\nb\nc": b"a\nb\nc", "": b"",
+    }.items():
+        assert toxicity.normal(text) == want
+
+
 def test_long_text_in_blocks(model, monkeypatch):
     text = toxicity.normal("the nation of stupid words " * 500)
     whole = model.word_scores(text)
