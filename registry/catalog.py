@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tabloom.operators import catalog as C
 from tabloom.plans.profiling import profile_pending
 from tabloom.operators.profile import numeric_profile
-from tabloom.session import scratch_path, scratch_table
-from tabloom.sources import stored as S
+from tabloom.session import scratch_path, scratch_table, written
+from tabloom.sources import ranges as R, stored as S
 
 from .base import load, query, settle, settled_sql
 from .text import CUSTOMER_PERMISSION
@@ -297,3 +297,37 @@ def privacy_upsert_stored(spark, sf):
     changes = load(spark, sf, "documents").selectExpr("doc_id", "nullif(lang, 'en') AS privacy_detection_result", "source AS privacy_detection_type")
     S.upsert_rows(spark, table, changes, "doc_id")
     return spark.table(table).drop(S.KEY_PART)
+
+
+def sorted_orders(spark, sf):
+    """Orders in a table of sorted files, and the ranges of their keys."""
+    table = scratch_table("sorted")
+    R.save_sorted_table(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), table, scratch_path(spark, table), "o_orderkey", 12)
+    return table, written(R.file_ranges(spark, table, "o_orderkey"), "ranges")
+
+
+@query(
+    "catalog_by_id",
+    "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > 700)",
+)
+def catalog_by_id(spark, sf):
+    """One item of a stored table by its key."""
+    table, ranges = sorted_orders(spark, sf)
+    wanted = load(spark, sf, "orders").where("o_orderkey > 700").agg(F.min("o_orderkey")).scalar()
+    return R.lookup(spark, table, ranges, "o_orderkey", wanted)
+
+
+@query(
+    "list_keyset",
+    """
+    SELECT page, o_orderkey, o_orderstatus, o_orderpriority FROM (
+      SELECT 'first' AS page, * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
+      UNION ALL SELECT 'middle', * FROM (SELECT * FROM orders WHERE o_orderkey > (SELECT median(o_orderkey) // 1 FROM orders) ORDER BY o_orderkey LIMIT 100)
+      UNION ALL SELECT 'last', * FROM (SELECT * FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) - 30 FROM orders) ORDER BY o_orderkey LIMIT 100))""",
+)
+def list_keyset(spark, sf):
+    """Three pages of a stored table, each from the files that hold it."""
+    table, ranges = sorted_orders(spark, sf)
+    ends = load(spark, sf, "orders").agg(F.floor(F.median("o_orderkey")).alias("middle"), (F.max("o_orderkey") - 30).alias("last")).first()
+    pages = [R.keyset_page(spark, table, ranges, "o_orderkey", after).withColumn("page", F.lit(name)) for name, after in (("first", None), ("middle", ends["middle"]), ("last", ends["last"]))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])

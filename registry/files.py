@@ -94,6 +94,18 @@ def scan_csv_long_rows(spark, sf):
     return D.read_csv(spark, path, long_rows="drop")
 
 
+@query(
+    "scan_csv_rejects",
+    """SELECT concat_ws(',', c_custkey, c_name, repeat('x,', c_nationkey) || 'extra') AS row, c_nationkey + 3 AS n_fields, 2 AS n_columns
+       FROM customer WHERE c_nationkey < 3""",
+)
+def scan_csv_rejects(spark, sf):
+    """The rows that a reader leaves out because they have too many fields."""
+    line = "concat_ws(',', c_custkey, c_name, CASE WHEN c_nationkey < 3 THEN concat(repeat('x,', c_nationkey), 'extra') END)"
+    path = write_lines(load(spark, sf, "customer"), line, "c_custkey,c_name", "rejects")
+    return D.rejected_rows(spark, path).drop("file")
+
+
 @query(
     "scan_csv_na_markers",
     """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey,

@@ -170,16 +170,21 @@ def tfidf(df: DataFrame, key: str, column: str, scratch: Scratch | None = None)
     return both.select(key, "term", "tf", "df", weight.alias("tfidf"))
 
 
+# Values of a column that may become a column each.
+MOST_CATEGORIES = 10_000
+
+
 def categories(df: DataFrame, column: str, at_most: int | None = None) -> list[str]:
-    """The sorted values of a column; more than ``at_most``, if given, is an error.
+    """The sorted values of a column; more than ``at_most``, or ``MOST_CATEGORIES``, is an error.
 
-    They come to the driver, since each becomes a column: for a column of unboundedly many
-    values set a bound, or use ``one_hot_long``.
+    They come to the driver, since each becomes a column. Columns of more values are for
+    ``vectors.one_hot_vector`` or ``one_hot_long``.
     """
+    at_most = MOST_CATEGORIES if at_most is None else at_most
     rows = df.select(F.col(f"`{column}`").cast("string").alias("v")).where("v is not null").distinct()
-    found = sorted(r.v for r in (rows if at_most is None else rows.limit(at_most + 1)).collect())
-    if at_most is not None and len(found) > at_most:
-        raise ValueError(f"{column} has over {at_most} values: use one_hot_long")
+    found = sorted(r.v for r in rows.limit(at_most + 1).collect())
+    if len(found) > at_most:
+        raise ValueError(f"{column} has over {at_most} values: use one_hot_vector or one_hot_long")
     return found
 
 

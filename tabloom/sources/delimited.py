@@ -24,8 +24,8 @@ MISSING_MARKERS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# What to do with a row that has more fields than its header.
-LONG_ROWS = ("fail", "drop")
+# What to do with a row that has more fields than its header; "only" reads these rows as they stand.
+LONG_ROWS = ("fail", "drop", "only")
 
 
 def first_line(spark: SparkSession, path: str | list[str]) -> str:
@@ -95,6 +95,10 @@ def _rows(spark: SparkSession, path: str | list[str], delimiter: str, multi_line
     # Always true, and names a field: a plan that needs the raw text alone is refused.
     readable = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0
     fits = F.col(raw).isNull() | (delimiters < len(header))
+    if long_rows == "only":
+        return rows.where(~fits & readable).select(
+            F.col("_metadata.file_path").alias("file"), F.col(raw).alias("row"), (delimiters + 1).alias("n_fields"), F.lit(len(header)).alias("n_columns")
+        )
     if long_rows == "fail":
         fits = fits | F.raise_error(F.concat(F.lit(f"a row has more than {len(header)} fields: "), F.col(raw))).cast("boolean")
     return rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
@@ -127,6 +131,16 @@ def read_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def rejected_rows(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
+    """``(file, row, n_fields, n_columns)``: the rows that readers with ``long_rows="drop"`` leave out, as they stand.
+
+    With the rows that are read they account for every row of the files.
+    """
+    empty = "file string, row string, n_fields int, n_columns int"
+    found = read_csv(spark, path, delimiter, long_rows="only")
+    return found if found.columns else spark.createDataFrame([], empty)
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = ",", long_rows: str = "fail") -> DataFrame:
     """A file whose delimiter the caller knows, without type inference."""
     return read_csv(spark, path, delimiter=delimiter, long_rows=long_rows)
