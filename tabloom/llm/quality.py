@@ -1,17 +1,21 @@
 """Quality rules: counts of words, symbols and repetition, and perplexity bands by language.
 
-The language model is a modified Kneser-Ney model over symbols. A symbol is one of 64
-classes of bytes of UTF-8, so that an n-gram of ``ORDER`` symbols packs into one integer
-without collisions, and a language has at most ``64 ** ORDER`` of them. Spark counts, for
-each n-gram, in how many different ways ``SPAN - ORDER`` further symbols precede it: the
-continuation counts of Kneser-Ney. A text that is copied any number of times adds no new
-way, so large groups of copies neither bend the model nor look too easy to it.
+The language model is a modified Kneser-Ney model over characters. A character is one of
+256 symbols: ASCII as it is, letters of other scripts by a hash that keeps the letters of
+one alphabet apart, so that texts of any script have words and not just letter kinds. An
+n-gram of ``ORDER`` characters packs into one integer, and a language has as many as its
+texts show. Spark counts, for each n-gram, in how many different ways ``SPAN - ORDER``
+further characters precede it: the continuation counts of Kneser-Ney, at full length too.
+A text that is copied any number of times adds no new way, so large groups of copies
+neither bend the model nor look too easy to it.
 
 A text is never scored by a model that has counted it. Texts are dealt into ``FOLDS`` folds
 by a hash of their content, so that copies share a fold, and each way remembers the folds
 it was seen in. The counts without one fold become sorted arrays of n-grams with their
 interpolated log-probabilities, one set for each language and fold, and the texts of that
 fold are scored by lookup. Junk is then improbable however little or much of it there is.
+The arrays are sorted by a hash of the n-gram, and a table of where each range of hashes
+begins leads to an n-gram in a step or two.
 """
 
 from __future__ import annotations
@@ -35,13 +39,11 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 # The model: symbols scored together, symbols whose ways are counted, bits of a symbol.
-ORDER, SPAN, BITS = 4, 7, 6
+ORDER, SPAN, BITS = 5, 7, 8
 # Folds of texts; those of one are scored by what the others hold.
 FOLDS = 4
 # N-grams of all models that tasks hold at a time; beyond it, texts are scored in several passes.
 MAX_ENTRIES = 1 << 23
-# Languages whose indexes, one per fold, a worker holds.
-INDEXED = 16
 # Symbols looked at together, and n-grams that a task gathers before it merges them.
 BLOCK = 1 << 20
 GATHER = 1 << 21
@@ -62,21 +64,20 @@ LEAST_TEXTS = 30
 SMALL = "\0small"
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte: letters one by one, other bytes by kind; 0 stands before every text."""
-    of = np.full(256, 55, np.uint8)
-    of[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    of[ord("A") : ord("Z") + 1] = np.arange(27, 53)
-    of[ord("0") : ord("9") + 1] = 53
-    of[ord(" ")] = 54
-    for kind, marks in enumerate((b".,;:!?", b"\"'()[]{}", SYMBOLS, b"+-/=@\\^_`~"), start=56):
-        of[list(marks)] = kind
-    of[0x80:0xC0] = 60 + np.arange(0x80, 0xC0) % 3
-    of[0xC0:] = 63
-    return of
+def symbols_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the characters of UTF-8 bytes, and which bytes begin one; texts begin at ``starts``.
 
-
-CLASSES = _classes()
+    Letters of two bytes keep seven bits, which tells those of one alphabet apart; longer
+    ones are hashed to seven bits.
+    """
+    first = (raw & 0xC0) != 0x80
+    first[starts] = True
+    at = np.flatnonzero(first)
+    lead = raw[at]
+    follow = [raw[np.minimum(at + k, len(raw) - 1)] & 63 for k in (1, 2, 3)] if len(at) else [lead] * 3
+    two = (lead & 1) << 6 | follow[0]
+    more = follow[0] * 45 + follow[1] * (1 + 2 * (lead >= 0xF0)) + (lead >= 0xF0) * follow[2]
+    return np.where(lead < 0x80, lead, 0x80 | np.where(lead < 0xE0, two, more & 0x7F)).astype(np.uint8), first
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -108,16 +109,22 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _blocks(texts: list[bytes], span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, packed n-gram) of every byte of the texts, block by block; starts of texts are padded."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    """(text number, packed n-gram) of every character of the texts, block by block; starts of texts are padded."""
+    held = [i for i, t in enumerate(texts) if t]
+    if not held:
+        return
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in held])[:-1]]).astype(np.int64)
+    found, first = symbols_of(raw, starts)
+    size = np.add.reduceat(first.astype(np.int64), starts)
     pad = span - 1
     ends = np.cumsum(size + pad)
-    owners = np.repeat(np.arange(len(texts), dtype=np.int32), size + pad)
-    symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    owners = np.repeat(np.array(held, np.int32), size + pad)
+    symbols = np.zeros(int(ends[-1]), np.uint8)
     real = np.ones(len(symbols), bool)
     for k in range(1, pad + 1):
         real[ends - size - k] = False
-    symbols[real] = CLASSES[np.frombuffer(b"".join(texts), np.uint8)]
+    symbols[real] = found
     for at in range(0, len(symbols), BLOCK):
         low = max(at - pad, 0)
         part = symbols[low : at + BLOCK].astype(np.uint64)
@@ -214,7 +221,7 @@ def continuation_counts(docs: DataFrame, text_col: str = "text", lang_col: str =
             folds = ways & np.uint64((1 << FOLDS) - 1)
             grams, at, n = np.unique(ways >> np.uint64(FOLDS) & np.uint64((1 << BITS * ORDER) - 1), return_inverse=True, return_counts=True)
             only = [np.bincount(at[folds == np.uint64(1 << f)], minlength=len(n)).astype(np.int32) for f in range(FOLDS)]
-            columns = [pa.array([key[0]] * len(n), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))]
+            columns = [pa.array([key[0]] * len(n), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))]
             return pa.RecordBatch.from_arrays([*columns, *map(pa.array, only)], ["lang", "gram", "n", *alone])
 
         for batch in batches:
@@ -230,7 +237,7 @@ def continuation_counts(docs: DataFrame, text_col: str = "text", lang_col: str =
             yield counted()
 
     dealt = rows.mapInArrow(gather, "lang string, bucket int, ways binary").repartition("lang", "bucket")
-    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(count, ", ".join(["lang string, gram int, n bigint", *[f"{c} int" for c in alone]]))
+    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(count, ", ".join(["lang string, gram bigint, n bigint", *[f"{c} int" for c in alone]]))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -244,11 +251,42 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-_indexed: list[LanguageModel] = []
+class HashArray:
+    """Different keys sorted by a hash, found by where their range of hashes begins."""
+
+    def __init__(self, keys: np.ndarray):
+        hashes = self._hash(keys.astype(np.uint64))
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.shift = 64 - max(int(len(keys)).bit_length(), 1)
+        starts = np.arange(1 << 64 - self.shift, dtype=np.uint64) << np.uint64(self.shift)
+        self.starts = np.append(np.searchsorted(self.hashes, starts), len(keys)).astype(np.int32)
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        """A permutation of 64-bit numbers, so that different keys never meet."""
+        x = keys * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is not held."""
+        h = self._hash(keys)
+        at = (h >> np.uint64(self.shift)).astype(np.int64)
+        place, end = self.starts[at], self.starts[at + 1]
+        out = np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero(place < end)
+        place, end, h = place[todo], end[todo], h[todo]
+        while len(todo):
+            hit = self.hashes[place] == h
+            out[todo[hit]] = place[hit]
+            place = place + 1
+            more = ~hit & (place < end)
+            todo, place, end, h = todo[more], place[more], end[more], h[more]
+        return out
 
 
 class LanguageModel:
-    """Sorted arrays of n-grams of every order, with log-probabilities and back-off weights."""
+    """Sorted hash arrays of n-grams of every order, with log-probabilities and back-off weights."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         order = np.argsort(grams)
@@ -266,58 +304,28 @@ class LanguageModel:
             back = np.add.reduceat(d, first) / total
             lower = 1 / (1 << BITS) if k == 0 else prob[np.searchsorted(levels[k - 1][0], keys & ((1 << BITS * k) - 1))]
             prob = (n - d) / np.repeat(total, size) + np.repeat(back, size) * lower
-            self.keys.append(keys.astype(np.uint32))
-            self.logs.append(np.log(prob).astype(np.float32))
-            self.contexts.append(context[first].astype(np.uint32))
-            self.backs.append(np.log(back).astype(np.float32))
-        self._index: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __getstate__(self) -> dict:
-        """Only the arrays travel; a task makes the index of a language when it first needs it."""
-        return {**self.__dict__, "_index": None}
-
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where the n-grams of a context lie: which last symbols it has, and how many n-grams stand before it.
-
-        A worker holds the indexes it has used last, as many as ``INDEXED`` languages have.
-        """
-        if self._index is None:
-            top = self.keys[-1].astype(np.int64)
-            lasts = np.zeros(1 << BITS * (ORDER - 1), np.uint64)
-            np.bitwise_or.at(lasts, top >> BITS, np.uint64(1) << (top & 63).astype(np.uint64))
-            self._index = lasts, np.searchsorted(top >> BITS, np.arange(len(lasts))).astype(np.int32)
-        if self in _indexed:
-            _indexed.remove(self)
-        _indexed.append(self)
-        if len(_indexed) > INDEXED * FOLDS:
-            _indexed.pop(0)._index = None
-        return self._index
+            held, before = HashArray(keys), HashArray(context[first])
+            self.keys.append(held)
+            self.logs.append(np.log(prob[held.order]).astype(np.float32))
+            self.contexts.append(before)
+            self.backs.append(np.log(back[before.order]).astype(np.float32))
+        for held in (*self.keys, *self.contexts):
+            del held.order
 
     def score(self, grams: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each n-gram given the others."""
-        context = (grams >> np.uint64(BITS)).astype(np.int32)
-        last = np.uint64(1) << (grams & np.uint64(63))
-        lasts, before = self.index()
-        held = lasts[context]
-        at = before[context] + np.bitwise_count(held & (last - np.uint64(1)))
-        seen = (held & last) != 0
-        out = self.logs[-1][np.minimum(at, len(self.keys[-1]) - 1)].astype(np.float64)
-        todo = np.flatnonzero(~seen)
-        if not len(todo):
-            return out
-        out[todo] = 0.0
-        grams = grams.astype(np.uint32)
+        """Log-probability of the last character of each n-gram given the others."""
+        out, todo = np.zeros(len(grams)), np.arange(len(grams))
         for k in range(ORDER - 1, -1, -1):
-            part = grams[todo] & np.uint32((1 << BITS * (k + 1)) - 1)
-            at = np.minimum(np.searchsorted(self.keys[k], part), len(self.keys[k]) - 1)
-            hit = self.keys[k][at] == part
+            part = grams[todo] & np.uint64((1 << BITS * (k + 1)) - 1)
+            at = self.keys[k].find(part)
+            hit = at >= 0
             out[todo[hit]] += self.logs[k][at[hit]]
             todo, part = todo[~hit], part[~hit]
             if not len(todo):
                 return out
             # A context that was never seen has no weight; a seen one passes its share on.
-            at = np.minimum(np.searchsorted(self.contexts[k], part >> np.uint32(BITS)), len(self.contexts[k]) - 1)
-            known = self.contexts[k][at] == part >> np.uint32(BITS)
+            at = self.contexts[k].find(part >> np.uint64(BITS))
+            known = at >= 0
             out[todo[known]] += self.backs[k][at[known]]
         out[todo] -= BITS * np.log(2)
         return out
@@ -355,7 +363,7 @@ def language_models(counts: DataFrame, which: dict[str, list[int]]) -> dict[tupl
 
 
 def scored(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the base counts and ``_log_perplexity`` per byte.
+    """The columns ``keep`` of ``docs`` with the base counts and ``_log_perplexity`` per character.
 
     It is null for empty texts, and where no text of the language lies in another fold.
     Every n-gram counts: if the models are more than tasks should hold at a time, the texts
@@ -393,7 +401,9 @@ def scored(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
                             total[at] -= np.bincount(owner, model.score(grams), len(at))
                         if not model:
                             total[at] = np.nan
-                mean = pa.array(total / np.maximum(size, 1), mask=(size == 0) | np.isnan(total))
+                # Characters are what is left of a text without the further bytes of each.
+                letters = np.fromiter((len(t.translate(None, _CONTINUATION)) for t in texts), np.int64, len(texts))
+                mean = pa.array(total / np.maximum(letters, 1), mask=(size == 0) | np.isnan(total))
                 columns = [*part.columns[3:], part.column(1), pa.array(size), *[pa.array(c, pa.int64()) for c in counts], mean]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "_lang", "_bytes", *[f"_{c}" for c in names], "_log_perplexity"])
 

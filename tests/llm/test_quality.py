@@ -39,11 +39,31 @@ def test_base_counts_of_table(docs):
         assert quality.base_counts(r.text.encode()) == brute_counts(r.text)
 
 
+def symbol(c):
+    """The symbol of one character: ASCII as it is, others from 128 up."""
+    b = [x if i == 0 else x & 63 for i, x in enumerate(c.encode())] + [0, 0]
+    if len(c.encode()) == 1:
+        return b[0]
+    if len(c.encode()) == 2:
+        return 128 | (b[0] & 1) << 6 | b[1]
+    return 128 | (b[1] * 45 + b[2] * (3 if len(c.encode()) == 4 else 1) + (b[3] if len(c.encode()) == 4 else 0)) % 256 & 127
+
+
+def test_symbols():
+    text = "aZ 09\n~éßñÉжЖяωعשक中文字\U0001f600\U00010348"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found, first = quality.symbols_of(raw, np.array([0]))
+    assert found.tolist() == [symbol(c) for c in text] and first.sum() == len(text)
+    # The letters of an alphabet are told apart.
+    for alphabet in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "àâçéèêëîïôûùüÿñäöß"):
+        assert len({symbol(c) for c in alphabet}) == len(alphabet)
+
+
 def ways(texts):
-    """{n-gram of classes: number of different ways it is preceded}, one symbol at a time."""
+    """{n-gram of symbols: number of different ways it is preceded}, one symbol at a time."""
     found = set()
     for t in texts:
-        s = [0] * (quality.SPAN - 1) + [int(quality.CLASSES[b]) for b in t.encode()]
+        s = [0] * (quality.SPAN - 1) + [symbol(c) for c in t]
         found |= {tuple(s[i : i + quality.SPAN]) for i in range(len(s) - quality.SPAN + 1)}
     return Counter(w[-quality.ORDER :] for w in found)
 
@@ -53,11 +73,11 @@ def packed(gram):
 
 
 def test_counts_are_whole_and_copies_add_nothing(spark, monkeypatch):
-    texts = ["The cat, the hat.", "a mat & 12 rats", "The cat, the hat.", "é", "", None, "The cat"]
+    texts = ["The cat, the hat.", "a mat & 12 rats", "The cat, the hat.", "é", "", None, "The cat", "кот и 中文", "x😀y"]
     for block in (1 << 20, 5):
         monkeypatch.setattr(quality, "BLOCK", block)
         held = [g for _, g in quality._blocks([t.encode() for t in texts if t], quality.SPAN)]
-        mine = Counter(int(w) & 0xFFFFFF for w in np.unique(np.concatenate(held)))
+        mine = Counter(int(w) & (1 << quality.BITS * quality.ORDER) - 1 for w in np.unique(np.concatenate(held)))
         assert mine == {packed(g): n for g, n in ways([t for t in texts if t]).items()}
     rows = quality.continuation_counts(frame(spark, texts).repartition(3)).collect()
     assert {r.gram: r.n for r in rows} == {packed(g): n for g, n in ways([t for t in texts if t]).items()}
@@ -84,7 +104,7 @@ def brute_model(counts):
     def prob(gram):
         k = len(gram)
         if not k:
-            return 1 / 64
+            return 1 / 256
         context = gram[:-1]
         if context not in total[k]:
             return prob(gram[1:])
@@ -102,13 +122,23 @@ def test_model_against_recursion():
     counts = ways(texts)
     model = quality.LanguageModel(np.array([packed(g) for g in counts]), np.array(list(counts.values())))
     prob = brute_model(counts)
-    some = [tuple(rng.choice([0, 1, 2, 3, 4, 5, 54, 60]) for _ in range(quality.ORDER)) for _ in range(400)] + list(counts)[:200]
+    some = [tuple(rng.choice([0, 32, 97, 98, 99, 100, 101, 200]) for _ in range(quality.ORDER)) for _ in range(400)] + list(counts)[:200]
     got = model.score(np.array([packed(g) for g in some], np.uint64))
     assert np.allclose(got, [math.log(prob(g)) for g in some], atol=1e-5)
-    whole = model.score(np.array([packed((1, 2, 3, c)) for c in range(64)], np.uint64))
+    whole = model.score(np.array([packed((101, 32, 97, 98, c)) for c in range(256)], np.uint64))
     assert math.isclose(np.exp(whole).sum(), 1, abs_tol=1e-4)
 
 
+def test_hash_array():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000, 5000):
+        keys = np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64))
+        held = quality.HashArray(keys)
+        place = held.find(keys)
+        assert sorted(place.tolist()) == list(range(len(keys))) and (keys[held.order][place] == keys).all()
+        assert (held.find(keys + np.uint64(1 << 41)) == -1).all()
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = random.Random(8)

@@ -81,3 +81,24 @@ def test_small_languages_share_a_band(spark):
     rows = {r.doc_id: r for r in quality.quality_report(languages(spark, [*texts, ("aa", noise(rng))])).collect()}
     assert all(rows[i].kept for i in range(60))
     assert rows[60].deviations > quality.UPPER and not rows[60].kept
+
+
+@pytest.mark.parametrize("count", [1, 20, 200])
+def test_random_letters_of_any_script_leave_above(spark, count):
+    """Letters in a random order, in Latin and in Cyrillic, beside prose of the same letters and length of words."""
+    rng = random.Random(count)
+    latin, cyrillic = SYLLABLES, "ст но то на ен ов ни ра во ко пр ер ос ро ли по ал ан ет ре ка ва та".split()
+
+    def prose_of(syllables):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(80, 300)))
+
+    def salad_of(syllables):
+        letters = sorted(set("".join(syllables)))
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(150))
+
+    clean = [prose_of(s) for s in (latin, cyrillic) for _ in range(200)]
+    junk = [salad_of(s) for s in (latin, cyrillic) for _ in range(max(count // 2, 1))]
+    docs = frame(spark, clean + junk).withColumn("lang", F.when(F.col("text").rlike("[a-z]"), "en").otherwise("ru"))
+    rows = quality.quality_report(docs).collect()
+    assert all(r.kept for r in rows if r.doc_id < len(clean))
+    assert not any(r.kept or r.base_failed for r in rows if r.doc_id >= len(clean))
