@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.names import WHITESPACE_RUN
+from ..session import written
 
 NUMBER_PATTERN = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 INTEGER_PATTERN = "^\\s*[+-]?[0-9]+\\s*$"
@@ -39,11 +40,21 @@ def delimiter_of(line: str, default: str = ",") -> str:
     return places[min(places)] if places else default
 
 
+def _without_quoted(line: Column, delimiter: str) -> Column:
+    """The line without its quoted fields that end on it."""
+    mark = re.escape(delimiter)
+    return F.regexp_replace(line, f'(^|{mark})"(?:[^"]++|"")*+"(?=$|{mark})', "$1")
+
+
 def _open_quote(line: Column, delimiter: str) -> Column:
     """True if a line ends inside a quoted field; a quote within a plain field opens nothing."""
-    mark = re.escape(delimiter)
-    closed = F.regexp_replace(line, f'(^|{mark})"(?:[^"]++|"")*+"(?=$|{mark})', "$1")
-    return closed.rlike(f'(?:^|{mark})"')
+    return _without_quoted(line, delimiter).rlike(f'(?:^|{re.escape(delimiter)})"')
+
+
+def _odd_quote(line: Column, delimiter: str) -> Column:
+    """True if a quoted field ends on the line, but not at a delimiter, so that quotes alone do not tell records apart."""
+    field = F.regexp_extract(_without_quoted(line, delimiter), f'(?s)(?:^|{re.escape(delimiter)})"(.*)$', 1)
+    return field.rlike('^(?:[^"]++|"")*+"')
 
 
 def file_headers(spark: SparkSession, path: str | list[str], delimiter: str) -> dict[str, tuple[str, bool]]:
@@ -85,11 +96,14 @@ def _rows(spark: SparkSession, path: str | list[str], delimiter: str, multi_line
     while raw in header:
         raw += "_"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, raw]])
-    rows = (
-        spark.read.schema(schema)
-        .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=raw, columnPruning=False)
-        .csv(path)
-    )
+    parsing = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": raw, "columnPruning": False}
+    records = _records(spark, path, delimiter) if multi_line else None
+    if records is None:
+        rows = spark.read.schema(schema).options(**parsing).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    else:
+        said = {k: str(v).lower() if isinstance(v, bool) else v for k, v in parsing.items() if k != "header"}
+        rows = records.select(F.col("file").alias("_file"), F.from_csv("record", _ddl(schema), said).alias("_row"))
+        rows = rows.select("_row.*", "_file")
     unquoted = F.regexp_replace(raw, '"(?:[^"]++|"")*+"', "")
     delimiters = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
     # Always true, and names a field: a plan that needs the raw text alone is refused.
@@ -97,13 +111,77 @@ def _rows(spark: SparkSession, path: str | list[str], delimiter: str, multi_line
     fits = F.col(raw).isNull() | (delimiters < len(header))
     if long_rows == "only":
         return rows.where(~fits & readable).select(
-            F.col("_metadata.file_path").alias("file"), F.col(raw).alias("row"), (delimiters + 1).alias("n_fields"), F.lit(len(header)).alias("n_columns")
+            F.col("_file").alias("file"), F.col(raw).alias("row"), (delimiters + 1).alias("n_fields"), F.lit(len(header)).alias("n_columns")
         )
     if long_rows == "fail":
         fits = fits | F.raise_error(F.concat(F.lit(f"a row has more than {len(header)} fields: "), F.col(raw))).cast("boolean")
     return rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+
+
+def _records(spark: SparkSession, path: str | list[str], delimiter: str) -> DataFrame | None:
+    """``(file, record)`` of files whose records span lines, read in splits; None if only a whole file can be parsed.
+
+    A line either opens a quoted field, closes one, does both or neither, depending on
+    whether it begins inside one; what it does in both cases is known from the line alone.
+    These changes are chained within each split of a file, then over the splits, which gives
+    every split the state it begins in, and every line the record it belongs to. Lines that
+    are a record by themselves stay where they are; the others are joined in order. The
+    header of each file is left out, as are blank lines.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # grows within a split
+        "value",
+    )
+    bare = F.regexp_replace("value", "\r$", "")
+    inside = F.concat(F.lit('"'), bare)
+    lines = lines.withColumns(
+        {
+            "shut": _open_quote(bare, delimiter), "open": _open_quote(inside, delimiter),
+            "odd_shut": _odd_quote(bare, delimiter), "odd_open": _odd_quote(inside, delimiter),
+        }
+    )
+    split = Window.partitionBy("file", "block").orderBy("at")
+    fixed, turns = F.col("shut") == F.col("open"), (F.col("shut") & ~F.col("open")).cast("int")
+    # Turns so far, and the state that the last line which fixes it leaves, less the turns before it.
+    lines = lines.withColumn("turns", F.sum(turns).over(split) % 2)
+    lines = lines.withColumn("base", F.last(F.when(fixed, (F.col("shut").cast("int") + F.col("turns")) % 2), ignorenulls=True).over(split))
+    ends = lines.groupBy("file", "block").agg(F.max_by(F.struct("turns", "base"), "at").alias("end")).select("file", "block", "end.*")
+    over = Window.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("sum", F.sum("turns").over(over) % 2)
+    left = F.when(F.col("base").isNotNull(), (F.col("base") + F.col("turns") + F.col("sum")) % 2)
+    ends = ends.withColumn("after", (F.coalesce(F.last(left, ignorenulls=True).over(over), F.lit(0)) + F.col("sum")) % 2)
+    ends = ends.withColumn("before", F.coalesce(F.lag("after").over(over), F.lit(0)))
+    # A row for each split; an open quote at the end of a file is for the parser of whole files.
+    ends = written(ends.select("file", "block", "before", "after"), "splits")
+    last = ends.groupBy("file").agg(F.max_by("after", "block").alias("after"))
+    if not last.where("after = 1").isEmpty():
+        return None
+    placed = lines.join(F.broadcast(ends.select("file", "block", "before")), ["file", "block"])
+    after = (F.coalesce("base", "before") + F.col("turns")) % 2
+    placed = placed.withColumn("after", after).withColumn("begins", F.coalesce(F.lag("after").over(split), F.col("before")) == 0)
+    placed = placed.withColumn("number", F.sum(F.col("begins").cast("int")).over(split))
+    # Up to the first line with an odd quote all states are right, so that none is overlooked.
+    odd = F.bool_or(F.when(F.col("begins"), F.col("odd_shut")).otherwise(F.col("odd_open"))).alias("odd")
+    counts = placed.groupBy("file", "block").agg(F.max("number").alias("n"), odd)
+    so_far = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = written(counts.select("file", "block", "odd", so_far.alias("so_far")), "splits")
+    if not counts.where("odd").isEmpty():
+        return None
+    numbered = placed.join(F.broadcast(counts.drop("odd")), ["file", "block"]).withColumn("number", F.col("number") + F.col("so_far"))
+    alone = F.col("begins") & (F.col("after") == 0)
+    parts = numbered.where(~alone).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("lines"))
+    joined = parts.select("file", "number", F.array_join(F.col("lines.value"), "\n").alias("record"))
+    whole = numbered.where(alone).select("file", "number", F.col("value").alias("record")).unionByName(joined)
+    record = F.regexp_replace("record", "\r$", "")
+    return whole.where("number > 1").select("file", record.alias("record")).where("trim(record) <> ''")
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -115,9 +193,9 @@ def read_csv(
 
     The delimiter is found in the first line unless given. Files whose headers differ are
     joined by column name; a column that a file lacks is null there. A row with more
-    fields than its header is an error, or is left out with ``long_rows="drop"``. A
-    multi-line file cannot be split between tasks, so ``"auto"`` reads in that mode only
-    the files in which a quoted field stays open at the end of a line.
+    fields than its header is an error, or is left out with ``long_rows="drop"``. Records
+    that span lines are put together first (see ``_records``), with ``"auto"`` only in files in
+    which a quoted field stays open at the end of a line, so such files are split, too.
     """
     delimiter = delimiter or delimiter_of(first_line(spark, path))
     files = file_headers(spark, path, delimiter)
