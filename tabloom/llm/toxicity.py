@@ -275,24 +275,20 @@ def summarize(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joined_examples(values: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Longer documents made of the sample's, with their labels.
+def joined_examples(values: list[np.ndarray], y: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Longer documents made of the sample's, one by one, with their labels.
 
     Harmless documents one after the other are harmless, and a toxic one among harmless ones
     is toxic; the curve learns from both what length does to a summary.
     """
     clean = [v for v, t in zip(values, y) if not t]
     bad = [v for v, t in zip(values, y) if t]
-    made, label = [], []
     for times in LENGTHS:
         for at in range(0, len(clean) - times + 1, times):
-            made.append(np.concatenate(clean[at : at + times]))
-            label.append(0)
+            yield np.concatenate(clean[at : at + times]), 0
         for i, v in enumerate(bad[:: max(times // 4, 1)]):
-            around = [clean[(i * times + k) % len(clean)] for k in range(min(times, len(clean)))] if clean else []
-            made.append(np.concatenate([*around[: times // 2], v, *around[times // 2 :]]))
-            label.append(1)
-    return made, np.array(label, np.int64)
+            around = [clean[(i * times + k) % len(clean)] for k in range(min(times, len(clean)))]
+            yield np.concatenate([*around[: times // 2], v, *around[times // 2 :]]), 1
 
 
 def hash_of(word: bytes) -> int:
@@ -370,11 +366,11 @@ def fit(texts: list[str], toxic: list[int], total: tuple[int, int] | None = None
         value[used] = x @ w + b
     model = ToxicityModel(marks.fold(w), b)
     values = [model.word_scores(normal(t)) for t in texts]
-    more, label = joined_examples(values, y)
-    rows = summarize([*values, *more])
+    joined = [(summarize([v])[0], t) for v, t in joined_examples(values, y)]
+    rows = np.vstack([summarize(values), *[r for r, _ in joined]])
     all0, all1 = total or (n0, n1)
-    label = np.concatenate([y, label])
-    weight = np.where(label == 1, all1 / n1, all0 / n0) * np.concatenate([np.ones(len(y)), np.full(len(more), JOINED_WEIGHT)])
+    label = np.concatenate([y, np.array([t for _, t in joined], np.int64)])
+    weight = np.where(label == 1, all1 / n1, all0 / n0) * np.concatenate([np.ones(len(y)), np.full(len(joined), JOINED_WEIGHT)])
     model.curve = train_logistic(rows, label, weight * len(y) / weight.sum())
     return model
 
