@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.names import WHITESPACE_RUN
-from ..session import written
+from ..session import Scratch, written
 
 NUMBER_PATTERN = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 INTEGER_PATTERN = "^\\s*[+-]?[0-9]+\\s*$"
@@ -57,19 +56,23 @@ def _odd_quote(line: Column, delimiter: str) -> Column:
     return field.rlike('^(?:[^"]++|"")*+"')
 
 
-def file_headers(spark: SparkSession, path: str | list[str], delimiter: str) -> dict[str, tuple[str, bool]]:
-    """{file: (its first line, does a record of it span lines)}, for files that have lines.
-
-    One splittable pass; a row per file reaches the driver, as does the listing of files.
-    """
+def _heads(spark: SparkSession, path: str | list[str], delimiter: str) -> DataFrame:
+    """``(file, head, open)``: the first line of each file that has lines, and whether a record of it spans lines."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         # Only the task that reads the start of a file sees its first line, and sees it first.
         F.when(F.col("_metadata.file_block_start") == 0, F.col("value")).alias("head"),
         _open_quote(F.col("value"), delimiter).alias("open"),
     )
-    found = lines.groupBy("file").agg(F.first("head", ignorenulls=True).alias("head"), F.bool_or("open").alias("open"))
-    return {unquote(r["file"]): (r["head"], r["open"]) for r in found.collect()}
+    return lines.groupBy("file").agg(F.first("head", ignorenulls=True).alias("head"), F.bool_or("open").alias("open"))
+
+
+def file_headers(spark: SparkSession, path: str | list[str], delimiter: str) -> dict[str, tuple[str, bool]]:
+    """{file: (its first line, does a record of it span lines)}, for files that have lines.
+
+    One splittable pass; a row per file reaches the driver, as does the listing of files.
+    """
+    return {unquote(r["file"]): (r["head"], r["open"]) for r in _heads(spark, path, delimiter).collect()}
 
 
 def _literal(path: str) -> str:
@@ -118,6 +121,65 @@ def _rows(spark: SparkSession, path: str | list[str], delimiter: str, multi_line
     return rows.where(fits & readable).select(*[F.col(f"`{n}`") for n in header])
 
 
+def _mixed(spark: SparkSession, path: str | list[str], delimiter: str, heads: DataFrame, kinds: list[T.Row], long_rows: str) -> DataFrame:
+    """Files with several headers, in one plan whatever their number.
+
+    Records are parsed by place. Each file brings the places of the columns, so that a field
+    finds its column by a lookup and no header has a branch of its own. Only files whose
+    records span lines are listed, since they are put together apart from the others.
+    """
+    if long_rows not in LONG_ROWS:
+        raise ValueError(f"long_rows must be one of {LONG_ROWS}")
+    options = {"sep": delimiter, "escape": '"'}
+    fold = str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    columns: dict[str, str] = {}
+    held = {}
+    for kind in kinds:
+        spans = kind["head"].count('"') % 2 == 1
+        names = spark.read.options(header=True, multiLine=spans, **options).csv(_literal(unquote(kind["file"]))).columns
+        held[kind["head"]] = {fold(n): i for i, n in enumerate(names)}
+        for n in names:
+            columns.setdefault(fold(n), n)
+    places = [(head, len(at), [at.get(n, -1) for n in columns]) for head, at in held.items()]
+    told = heads.join(spark.createDataFrame(places, "head string, width int, places array<int>"), "head")
+    told = told.select(F.col("file").alias("_of"), "width", "places")
+
+    # A separator that no table holds leaves each line whole; the header of each file goes.
+    whole = {"header": True, "sep": "\u0001", "quote": "", "escape": "\u0000"}
+    spanning = [_literal(unquote(r["file"])) for r in heads.where("open").select("file").collect()] if any(k["open"] for k in kinds) else []
+    lines = spark.read.options(**whole).schema("record string").csv(path).select(F.col("_metadata.file_path").alias("file"), "record")
+    if spanning:
+        lines = lines.join(heads.where("NOT open").select("file"), "file", "left_semi")
+    most = max(width for _, width, _ in places)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(most)])
+    fields = F.array(*[F.col(f"_row.c{i}") for i in range(most)]).alias("fields")
+    said = {**options, "mode": "PERMISSIVE"}
+    rows = lines.select("file", "record", F.from_csv("record", _ddl(schema), said).alias("_row")).select("file", "record", fields)
+    if spanning:
+        records = _records(spark, spanning, delimiter)
+        if records is not None:
+            more = records.select("file", "record", F.from_csv("record", _ddl(schema), said).alias("_row"))
+            rows = rows.unionByName(more.select("file", "record", fields))
+        else:
+            # A field more than any header has, so that every row but the longest comes with its text.
+            wide = T.StructType([*schema.fields, T.StructField("over", T.StringType()), T.StructField("_raw", T.StringType())])
+            parsing = {**said, "header": True, "multiLine": True, "columnNameOfCorruptRecord": "_raw", "columnPruning": False}
+            more = spark.read.schema(wide).options(**parsing).csv(spanning)
+            text = F.coalesce("_raw", F.to_csv(F.struct(*[f"c{i}" for i in range(most)], "over"), {"sep": delimiter}))
+            more = more.select(F.col("_metadata.file_path").alias("file"), text.alias("record"), F.array(*schema.names).alias("fields"))
+            rows = rows.unionByName(more)
+    rows = rows.join(told, F.col("file") == F.col("_of"))
+    unquoted = F.regexp_replace("record", '"(?:[^"]++|"")*+"', "")
+    found = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
+    fits = found <= F.col("width")
+    if long_rows == "only":
+        return rows.where(~fits).select("file", F.col("record").alias("row"), found.alias("n_fields"), F.col("width").alias("n_columns"))
+    if long_rows == "fail":
+        said_why = F.concat(F.lit("a row has more than "), F.col("width").cast("string"), F.lit(" fields: "), F.col("record"))
+        fits = fits | F.raise_error(said_why).cast("boolean")
+    return rows.where(fits).select(*[F.get("fields", F.get("places", F.lit(i))).alias(n) for i, n in enumerate(columns.values())])
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
 
@@ -198,15 +260,17 @@ def read_csv(
     which a quoted field stays open at the end of a line, so such files are split, too.
     """
     delimiter = delimiter or delimiter_of(first_line(spark, path))
-    files = file_headers(spark, path, delimiter)
-    broken = {f: o if multi_line == "auto" else bool(multi_line) for f, (_, o) in files.items()}
-    kinds: dict[tuple[str, bool], list[str]] = {}
-    for file, (head, _) in sorted(files.items()):
-        kinds.setdefault((head, broken[file]), []).append(_literal(file))
-    if len(kinds) < 2:
-        return _rows(spark, path, delimiter, any(broken.values()), long_rows)
-    parts = [_rows(spark, group, delimiter, spans, long_rows) for (_, spans), group in kinds.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    scratch = Scratch(spark)
+    heads = _heads(spark, path, delimiter)
+    if multi_line != "auto":
+        heads = heads.withColumn("open", F.lit(bool(multi_line)))
+    heads = scratch.write(heads, "heads")
+    # A row for each different header; files are not listed here.
+    kinds = heads.groupBy("head").agg(F.min("file").alias("file"), F.bool_or("open").alias("open")).orderBy("file").collect()
+    if len(kinds) > 1:
+        return _mixed(spark, path, delimiter, heads, kinds, long_rows)
+    scratch.drop(heads)
+    return _rows(spark, path, delimiter, any(k["open"] for k in kinds), long_rows)
 
 
 def rejected_rows(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
