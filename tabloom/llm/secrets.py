@@ -49,9 +49,12 @@ ENCODINGS = (
 BANDS, BINS, STEPS = 32, 400, 20
 FALSE_DISCOVERIES = 0.01
 MARK = "[SECRET]"
+# Items that a fold holds before it sets them aside.
+HELD = 128
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
-_TOKENS = "array<struct<start:int,end:int,token:string>>"
+_SPAN = "struct<start:int,kind:int,end:int>"
+_SPANS = f"array<{_SPAN}>"
+_TOKEN = "struct<start:int,end:int,token:string>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,6 +62,29 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _folded(items: Column, state: Column, step: Callable, keep: Callable, row: Callable, kind: str) -> Column:
+    """A row of type ``kind`` for each kept item, in order, from the state before it.
+
+    Rows are added to a short list that is set aside when it is full, so that a row is
+    copied a bounded number of times however many there are.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        at = acc["at"]
+        held = F.when(keep(at, x), F.concat(acc["held"], F.array(row(at, x).cast(kind)))).otherwise(acc["held"])
+
+        def moved(h: Column) -> Column:
+            short = F.size(h) < HELD
+            full = F.when(short, acc["full"]).otherwise(F.concat(acc["full"], F.array(h)))
+            return F.struct(step(at, x).alias("at"), F.when(short, h).otherwise(none).alias("held"), full.alias("full"))
+
+        return _let(held, moved)
+
+    start = F.struct(state.alias("at"), none.alias("held"), nones.alias("full"))
+    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["held"]))))
+
+
 def _found(text: Column, pattern: str, item: Callable[[Column, Column, Column], Column], keep: Callable[[Column], Column], kind: str, group: int = 0) -> Column:
     """An item for each kept match of a pattern, from its start, end and text, in code points.
 
@@ -70,17 +96,20 @@ def _found(text: Column, pattern: str, item: Callable[[Column, Column, Column],
         F.regexp_extract_all(text, pat, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pat, F.lit(group)).alias("part"),
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        kept = x["match"].isNotNull() & keep(x["part"])
-        found = F.when(kept, F.concat(acc["items"], F.array(item(start, end, x["match"])))).otherwise(acc["items"])
-        return F.struct(end.alias("at"), found.alias("items"))
-
-    none = F.array().cast(kind)
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("items")), step, lambda acc: acc["items"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    # Lengths once, then starts and ends by a running sum.
+    sized = F.transform(
+        parts,
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("own"), x["match"].alias("match"), x["part"].alias("part")),
+    )
+    walked = _folded(
+        sized,
+        F.lit(0),
+        lambda at, x: at + x["gap"] + x["own"],
+        lambda at, x: x["match"].isNotNull() & keep(x["part"]),
+        lambda at, x: item(at + x["gap"], at + x["gap"] + x["own"], x["match"]),
+        kind,
+    )
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _pattern_spans(text: Column, kind: int) -> Column:
@@ -88,8 +117,8 @@ def _pattern_spans(text: Column, kind: int) -> Column:
         return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
 
     if KINDS[kind] == "assign":
-        return _found(text, ASSIGN, item, lambda part: F.length(part) >= 6, _SPANS, group=2)
-    return _found(text, (ASSIGN, ACCESS, HEX)[kind], item, lambda part: F.lit(True), _SPANS)
+        return _found(text, ASSIGN, item, lambda part: F.length(part) >= 6, _SPAN, group=2)
+    return _found(text, (ASSIGN, ACCESS, HEX)[kind], item, lambda part: F.lit(True), _SPAN)
 
 
 def _tokens(text: Column) -> Column:
@@ -99,7 +128,7 @@ def _tokens(text: Column) -> Column:
         def item(start: Column, end: Column, match: Column) -> Column:
             return F.struct((at + start).alias("start"), (at + end).alias("end"), match.alias("token"))
 
-        return _found(of, pattern, item, lambda part: part.rlike("[0-9]") & part.rlike("[A-Za-z]"), _TOKENS)
+        return _found(of, pattern, item, lambda part: part.rlike("[0-9]") & part.rlike("[A-Za-z]"), _TOKEN)
 
     def whole(t: Column) -> Column:
         pieces = F.concat(*[runs(t["token"], pattern, t["start"]) for pattern in PIECES])
@@ -196,6 +225,25 @@ def _judged(token: Column) -> Column:
     return _let(p, binned)
 
 
+def _outside(tokens: Column, spans: Column) -> Column:
+    """The tokens that no span holds: spans and tokens in order of their starts, with the farthest end of a span so far."""
+
+    def place(of: Column, last: int, token: Column) -> Column:
+        return F.struct(of["start"].alias("start"), F.lit(last).alias("last"), of["end"].alias("end"), token.alias("token"))
+
+    # A span comes before the tokens that start where it does.
+    both = F.concat(F.transform(spans, lambda s: place(s, 0, F.lit(None).cast("string"))), F.transform(tokens, lambda t: place(t, 1, t["token"])))
+    left = _folded(
+        F.array_sort(both),
+        F.lit(-1),
+        lambda at, x: F.when(x["last"] == 0, F.greatest(at, x["end"])).otherwise(at),
+        lambda at, x: (x["last"] == 1) & (x["end"] > at),
+        lambda at, x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")),
+        _TOKEN,
+    )
+    return F.when((F.size(tokens) == 0) | (F.size(spans) == 0), tokens).otherwise(left)
+
+
 def dismissal(docs: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVERIES) -> dict[int, int]:
     """{length band: first bin of p-values that is dismissed as ordinary}, over all tokens of all texts.
 
@@ -232,12 +280,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", q: float = FALSE_DISCO
                 first = F.when(j["band"] == band, F.lit(at)).otherwise(first)
             return j.isNotNull() & (j["bin"] < first)
 
-        known = F.exists(F.col("_base"), lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"]))
-        return ~known & _let(_judged(t["token"]), undismissed)
+        return _let(_judged(t["token"]), undismissed)
 
     kind = F.lit(KINDS.index("random"))
     more = F.transform(
-        F.filter(F.col("_tokens"), random),
+        F.filter(_outside(F.col("_tokens"), F.col("_base")), random),
         lambda t: F.struct(t["start"].alias("start"), kind.alias("kind"), t["end"].alias("end")),
     ).cast(_SPANS)
     none = F.size("_tokens") == 0
