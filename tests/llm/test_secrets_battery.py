@@ -129,16 +129,3 @@ def test_very_many_matches(spark):
                 far = max(far, end)
             else:
                 assert end > far
-
-
-def test_tokens_inside_spans_are_left_out(spark):
-    rng = random.Random(6)
-
-    def some(n):
-        return [(a := rng.randint(0, 60), a + rng.randint(1, 20)) for _ in range(n)]
-
-    rows = [(i, sorted((a, 0, b) for a, b in some(rng.randint(0, 5))), [(a, b, f"t{a}") for a, b in some(rng.randint(0, 300))]) for i in range(60)]
-    df = spark.createDataFrame(rows, f"id int, spans {secrets._SPANS}, tokens array<{secrets._TOKEN}>")
-    for r in df.select("*", secrets._outside(F.col("tokens"), F.col("spans")).alias("out")).collect():
-        want = [tuple(t) for t in r.tokens if not any(s.start <= t.start and t.end <= s.end for s in r.spans)]
-        assert sorted(map(tuple, r.out)) == sorted(want)
