@@ -1,9 +1,10 @@
 """WARC archives of pages, written and read as a table of record chunks.
 
-A record is one or more rows of identifier, chunk number and bytes. The writer turns
-pages into chunk rows and appends them to archives, one per task; the reader walks an
-archive in pieces of bounded size and gives the chunks back. Digests advance with each
-chunk, so no step needs room for a whole record, beyond the row that a page itself is.
+A record is one or more rows of identifier, chunk number and bytes. Pages are turned into
+chunk rows before they leave the JVM; the writer appends them to archives, one per task,
+and the reader walks an archive in pieces of bounded size and gives the chunks back.
+Digests advance with each chunk on both sides, so no step needs room for a whole record,
+beyond the row that a page of the table itself is.
 
 Payloads of at least ``REVISIT_BYTES`` that are equal are stored once, with the page of the
 largest id; the other pages get revisit records that name it and carry no payload.
@@ -96,41 +97,71 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def write_archives(rows: DataFrame, revisits: DataFrame, folder: str, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """``(archive, n_records, n_bytes)``: a row for each archive that a finished task has written.
+def chunk_rows(rows: DataFrame, revisits: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``(record, page_id, url, payload_bytes, payload_digest, keeper, chunk, last, data)`` of the records to write.
 
-    A task writes to a name of its own attempt, so a repeated or lost task leaves at most
-    an archive that no row names; readers open named archives only.
+    A payload is cut into rows of ``chunk`` bytes at most; an empty one, and a revisit,
+    which carries none, are one row without bytes. The rows of a record lie one after the
+    other in its partition, as they come from one row, whatever way the join is done.
     """
     # Revisits are told apart beside the payloads, which move once.
     marked = rows.join(revisits, (rows.page_id.eqNullSafe(revisits.page_id)) & (rows.payload_digest == revisits.payload_digest), "left")
-    ready = marked.select(rows.page_id, rows.url, rows.payload, rows.payload_bytes, rows.payload_digest, revisits.keeper)
+    fixed = ["record", "page_id", "url", "payload_bytes", "payload_digest", "keeper"]
+    records = marked.select(
+        F.monotonically_increasing_id().alias("record"), rows.page_id, rows.url, rows.payload_bytes, rows.payload_digest, revisits.keeper,
+        F.when(revisits.keeper.isNull(), rows.payload).otherwise(F.lit(b"")).alias("payload"),
+    )
+    # The number of the last chunk is taken from the payload itself, so that it is read once for all of its chunks.
+    numbers = F.expr(f"explode(sequence(0, greatest(0, cast((octet_length(payload) - 1L) div {chunk} as int))))")
+    numbered = records.select(*fixed, "payload", numbers.alias("chunk"))
+    last = F.expr(f"(chunk + 1L) * {chunk} >= octet_length(payload)")
+    return numbered.select(*fixed, "chunk", last.alias("last"), F.expr(f"substring(payload, chunk * {chunk} + 1, {chunk})").alias("data"))
+
+
+def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
+    """``(archive, n_records, n_bytes)`` of ``chunk_rows``: a row for each archive that a finished task has written.
+
+    A digest advances with the chunks of a record and must end at the one in its header.
+    A task writes to a name of its own attempt, so a repeated or lost task leaves at most
+    an archive that no row names; readers open named archives only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
         name, records, size, out = f"{uuid.uuid4().hex}.warc", 0, 0, None
+        now, due, running = None, 0, None  # the open record, its next chunk, its digest so far
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, length, digest, keeper = (c[i] for c in batch.columns)
-                if out is None:
-                    out = system.open_output_stream(f"{root}/{name}")
-                keeper = keeper.as_py()
-                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{records}")
-                head = record_head(str(record), page.as_py(), url.as_py(), length.as_py(), digest.as_py(), keeper)
-                out.write(head)
-                size += len(head) + 4
-                if keeper is None:
-                    view = memoryview(payload.as_buffer())
-                    for at in range(0, len(view), chunk):
-                        out.write(view[at : at + chunk])
-                    size += len(view)
-                out.write(b"\r\n\r\n")
-                records += 1
+                record, page, url, length, digest, keeper, number, last, data = (c[i] for c in batch.columns)
+                record, number = record.as_py(), number.as_py()
+                if (now is None and number != 0) or (now is not None and (record, number) != (now, due)):
+                    raise ValueError("the chunks of a record do not follow each other")
+                keeper, digest = keeper.as_py(), digest.as_py()
+                if now is None:
+                    if out is None:
+                        out = system.open_output_stream(f"{root}/{name}")
+                    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{records}")
+                    head = record_head(str(own), page.as_py(), url.as_py(), length.as_py(), digest, keeper)
+                    out.write(head)
+                    size += len(head) + 4
+                    running = hashlib.sha1()
+                view = memoryview(data.as_buffer())
+                out.write(view)
+                running.update(view)
+                size += len(view)
+                now, due = record, number + 1
+                if last.as_py():
+                    if keeper is None and running.hexdigest() != digest:
+                        raise ValueError("the chunks of a record are not its payload")
+                    out.write(b"\r\n\r\n")
+                    records, now = records + 1, None
+        if now is not None:
+            raise ValueError("the last chunk of a record is missing")
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["archive", "n_records", "n_bytes"])
 
-    return ready.mapInArrow(run, "archive string, n_records bigint, n_bytes bigint")
+    return chunks.mapInArrow(run, "archive string, n_records bigint, n_bytes bigint")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -223,7 +254,7 @@ def archive_pages(pages: DataFrame, folder: str, scratch: Scratch | None = None,
     rows, revisits = planned(pages, scratch)
     system_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(system_path)
-    return scratch.write(write_archives(rows, revisits, folder, chunk), "archives")
+    return scratch.write(write_archives(chunk_rows(rows, revisits, chunk), folder), "archives")
 
 
 def page_records(pages: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:

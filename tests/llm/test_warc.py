@@ -88,3 +88,39 @@ def test_reader_is_bounded_and_strict():
     for broken in (record[:-1], record[:-5000], record[:30], b"junk\r\n\r\n" + record):
         with pytest.raises(ValueError):
             list(warc.record_chunks(io.BytesIO(broken), 4096))
+
+
+def test_chunk_rows_are_bounded(spark):
+    rows = [r for r in ODD if r[0] is not None]
+    own, revisits = warc.planned(spark.createDataFrame(rows, SCHEMA).repartition(3), Scratch(spark))
+    got = warc.chunk_rows(own, revisits, 999).collect()
+    assert max(len(r.data) for r in got) == 999
+    records = defaultdict(list)
+    for r in got:
+        records[r.record].append(r)
+    for parts in records.values():
+        # In the order in which the writer sees them.
+        assert [r.chunk for r in parts] == list(range(len(parts)))
+        assert [r.last for r in parts] == [False] * (len(parts) - 1) + [True]
+    whole = sorted((p[0].page_id, b"".join(bytes(r.data) for r in p)) for p in records.values())
+    assert whole == sorted((i, b"" if i in (5, 8) else (html or "").encode()) for i, _, html in rows)
+
+
+def test_writer_refuses_torn_records(spark):
+    rows, revisits = warc.planned(spark.createDataFrame([(1, "u", "ab" * 700)], SCHEMA), Scratch(spark))
+    chunks = warc.chunk_rows(rows, revisits, 1000).coalesce(1)
+    folder = scratch_path(spark, "warc-torn")
+    assert warc.archive_pages(spark.createDataFrame([], SCHEMA), folder).isEmpty()  # makes the folder
+    for torn in ("chunk = 0", "chunk = 1"):
+        with pytest.raises(Exception, match="chunk"):
+            warc.write_archives(chunks.where(torn), folder).collect()
+    with pytest.raises(Exception, match="not its payload"):
+        changed = chunks.selectExpr("* except (data)", "if(last, cast('x' AS binary), data) AS data")
+        warc.write_archives(changed, folder).collect()
+
+
+def test_page_of_many_megabytes(spark):
+    html = "<p>0123456789é</p>" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", "short")], SCHEMA).unionByName(spark.range(1).selectExpr("2L AS page_id", "'u' AS url", "repeat('<p>0123456789é</p>', 3000000) AS html"))
+    data = html.encode()
+    assert result(pages) == sorted([(1, 5, hashlib.sha1(b"short").hexdigest(), "response", None), (2, len(data), hashlib.sha1(data).hexdigest(), "response", None)], key=str)
