@@ -45,13 +45,23 @@ def sample_cells(df: DataFrame, key: list[str], columns: list[str] | None = None
     """Up to ``n`` non-null values of every column: ``(column_name, rank, value)``.
 
     The sample is the rows with the lowest hash of column and key, so it is the same on
-    every run. ``key`` must identify a row. Ranking works on hashes alone, each task keeps
-    its own best ``n``, and only the values of the winners are fetched.
+    every run. ``key`` must identify a row. Hashes are counted by their leading zeros first,
+    which says how many zeros the lowest ``n`` of a column have at least; only hashes with as
+    many, some ``16 * n`` of a column of any size, are ranked, and only the values of the
+    winners are fetched.
     """
     present = cells(df, key, columns)
     hashed = present.select("column_name", *key, F.md5(F.concat_ws("|", "column_name", *key)).alias("_hash"))
+    hashed = hashed.withColumn("_zeros", F.length("_hash") - F.length(F.ltrim("_hash", F.lit("0"))))
+    counts = hashed.groupBy("column_name", "_zeros").agg(F.count(F.lit(1)).alias("_n"))
+    # A row per column and number of zeros.
+    as_many = F.sum("_n").over(Window.partitionBy("column_name").orderBy(F.desc("_zeros")))
+    enough = counts.withColumn("_enough", as_many >= n).groupBy(F.col("column_name").alias("_column"))
+    least = enough.agg(F.coalesce(F.max(F.when(F.col("_enough"), F.col("_zeros"))), F.lit(0)).alias("_least"))
+    lowest = (F.col("column_name") == F.col("_column")) & (F.col("_zeros") >= F.col("_least"))
+    low = hashed.join(F.broadcast(least), lowest).select("column_name", *key, "_hash")
     order = Window.partitionBy("column_name").orderBy("_hash", *key)
-    winners = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_hash")
+    winners = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_hash")
     # At most n rows per column. Keys may be null and still name a row.
     few = winners.select(F.col("column_name").alias("_column"), *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], "rank")
     same = F.col("column_name") == F.col("_column")

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -64,6 +65,18 @@ def test_sample_size_and_repeatability(spark):
     assert sum(r[0] == "a" for r in first) == 10 and sum(r[0] == "b" for r in first) == 4
 
 
+def test_sample_ranks_the_lowest_hashes_only(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("a"), F.when(F.col("id") < 4, "z").alias("b"))
+    sample = P.sample_cells(df, ["id"])
+
+    def lowest(column, ids):
+        ordered = sorted(ids, key=lambda i: hashlib.md5(f"{column}|{i}".encode()).hexdigest())[:10]
+        return {(column, i, rank) for rank, i in enumerate(ordered, start=1)}
+
+    assert {(r.column_name, r.id, r["rank"]) for r in sample.collect()} == lowest("a", range(3000)) | lowest("b", range(4))
+    assert "_zeros" in sample._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_table_flags_nothing(spark):
     assert P.pii_columns(spark.createDataFrame([], "id int, v string"), ["id"]).collect() == []
 
