@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import names, text
@@ -146,10 +148,27 @@ def lemmatize_with_table(
         F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas")
     )
     joined = low.join(maps, key, "left")
-    lemmas = F.transform(output, lambda w: F.coalesce(F.element_at("_lemmas", w), w))
+    lemmas = _replaced(F.col(output), F.map_keys("_lemmas"), F.map_values("_lemmas"))
     return joined.withColumn(output, F.when(F.col("_lemmas").isNull(), F.col(output)).otherwise(lemmas)).drop("_lemmas")
 
 
+def _replaced(tokens: Column, forms: Column, lemmas: Column) -> Column:
+    """Tokens with known forms replaced, by a hash lookup for each; a map's keys would be searched one by one.
+
+    A form has the same lemma in every row, so the rows of a batch are looked up together.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def replaced(words: pa.Array, known: pa.Array, put: pa.Array) -> pa.Array:
+        flat = words.flatten()
+        done = pc.coalesce(put.flatten().take(pc.index_in(flat, value_set=known.flatten())), flat)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0))
+        starts = pa.concat_arrays([pa.array([0], ends.type), ends])
+        return pa.ListArray.from_arrays(starts, done, mask=words.is_null())
+
+    return replaced(tokens, forms, lemmas)
+
+
 def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, term, tf)``: lower-cased white-space words per row."""
     terms = df.select(key, F.explode(F.split(F.lower(column), names.WHITESPACE_RUN)).alias("term"))

@@ -70,6 +70,17 @@ def test_large_lexicon_gives_the_same_as_a_small_one(spark, monkeypatch):
     assert [r.lemmas for r in large] == [["cat", "x", "cat"], [], ["mouse"]]
 
 
+def test_lemmas_are_looked_up_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(X, "INLINE_LEXICON", 0)
+    rows = [(1, ["A", None, "b", "A", "c"]), (2, None), (3, []), (4, ["z", "C"]), (5, ["b", "a"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").coalesce(1)
+    lexicon = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "")], "form string, lemma string")
+    done = X.lemmatize_with_table(df, "id", "tokens", lexicon, "lemmas")
+    got = {r.id: r.lemmas for r in done.collect()}
+    assert got == {1: ["x", None, "y", "x", ""], 2: None, 3: [], 4: ["z", ""], 5: ["y", "x"]}
+    assert "element_at" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lexicon_with_nulls_and_repeats_is_the_same_on_both_sides(spark, monkeypatch):
     df = spark.createDataFrame([(1, ["ran", "ox", "geese", None])], "id int, tokens array<string>")
     given = [("ran", "run"), ("ran", "go"), ("ox", None), (None, "x"), ("geese", "goose")]
