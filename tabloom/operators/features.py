@@ -170,8 +170,14 @@ def _replaced(tokens: Column, forms: Column, lemmas: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, term, tf)``: lower-cased white-space words per row."""
-    terms = df.select(key, F.explode(F.split(F.lower(column), names.WHITESPACE_RUN)).alias("term"))
+    """``(key, term, tf)``: lower-cased white-space words per row.
+
+    The texts are dealt out by key and split where they arrive, which moves a fraction of
+    what their terms would. Their tasks are not put together, since terms need more room.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(key, column).repartition(tasks, key)
+    terms = dealt.select(key, F.explode(F.split(F.lower(column), names.WHITESPACE_RUN)).alias("term"))
     return terms.where("term <> ''").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -72,7 +72,8 @@ def tfidf_vector(df: DataFrame, key: str, column: str, by_frequency: bool = Fals
     entries = words.select(F.col("value").alias("term"), "number", F.log((rows + 1) / (F.col("n") + 1)).alias("idf"))
     weighted = split_join(counts, entries, "term", scratch=scratch)
     weighted = weighted.select(key, F.struct("number", (F.col("tf") * F.col("idf")).alias("weight")).alias("_entry"))
-    own = weighted.groupBy(key).agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
+    # Entries of a key lie in many tasks, one or two in each: they are moved as rows and gathered once.
+    own = weighted.repartition(key).groupBy(key).agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
     entries = F.coalesce("_entries", F.expr("CAST(array() AS array<struct<number: bigint, weight: double>>)"))
     vector = _vector(size, F.transform(entries, lambda e: e["number"]), F.transform(entries, lambda e: e["weight"]))
     return df.select(key).join(own, key, "left").select(key, vector.alias("vector"))

@@ -81,6 +81,15 @@ def test_lemmas_are_looked_up_by_hash(spark, monkeypatch):
     assert "element_at" not in done._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_terms_are_not_moved_before_they_are_counted(spark):
+    df = spark.createDataFrame([(1, "a B a"), (1, "b c"), (None, "a"), (None, " a d "), (2, None)], "id int, t string")
+    counts = X.term_counts(df, "id", "t")
+    got = {(r.id, r.term): r.tf for r in counts.collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (None, "a"): 2, (None, "d"): 1}
+    moves = [line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moves and not any("term" in line for line in moves)
+
+
 def test_lexicon_with_nulls_and_repeats_is_the_same_on_both_sides(spark, monkeypatch):
     df = spark.createDataFrame([(1, ["ran", "ox", "geese", None])], "id int, tokens array<string>")
     given = [("ran", "run"), ("ran", "go"), ("ox", None), (None, "x"), ("geese", "goose")]
